@@ -11,11 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT, Settings
+from ..operators import benchmark as B
 from ..operators import clean as C
+from ..operators import knn as K
+from ..operators import recommend as R
 from ..operators import skill as S
+from ..session import scratch_path
 from ..sources import testdata as td
 
 
+def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: the lineage is cut, reuse costs one scan, and a lost executor
+    never forces the upstream stages to rerun."""
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 class Inputs:
     """Lazily built, cached-by-name DataFrames over one TESTDATA folder."""
 
@@ -48,6 +61,54 @@ class Inputs:
     def user_tag(self) -> DataFrame:
         return self._get("user_tag", lambda: S.user_tag_strengths(self.attempts(), self.profiles()))
 
+    # written stages (reused by several consumers)
+    def attempts_table(self) -> DataFrame:
+        return self._get("attempts_t", lambda: materialize(self.spark, self.attempts(), "attempts"))
+
+    def profiles_table(self) -> DataFrame:
+        return self._get("profiles_t", lambda: materialize(
+            self.spark, S.derive_profiles(self.attempts_table(), self.ratings()), "profiles"))
+
+    def user_tag_table(self) -> DataFrame:
+        return self._get("user_tag_t", lambda: materialize(
+            self.spark, S.user_tag_strengths(self.attempts_table(), self.profiles_table()), "user_tag"))
+
+    # E-3
+    def vectors(self) -> DataFrame:
+        return self._get("vectors", lambda: K.knn_vectors(self.user_tag_table()))
+
+    def peers(self) -> DataFrame:
+        def build():
+            v = materialize(self.spark, self.vectors(), "vectors")
+            return materialize(self.spark, K.nearest_peers(v, v, self.settings.knn), "peers")
+        return self._get("peers", build)
+
+    # E-2
+    def peer_benchmark(self) -> DataFrame:
+        return self._get("bench", lambda: B.peer_benchmark(self.attempts_table(), self.peers()))
+
+    # E-4
+    def context(self) -> DataFrame:
+        return self._get("ctx", lambda: R.user_context(self.user_tag_table(), self.profiles_table(),
+                                                        self.attempts_table()))
+
+    def pool(self) -> DataFrame:
+        return self._get("pool", lambda: R.collaborative_candidates(
+            self.peers(), self.attempts_table(), self.settings.recommend.limit))
+
+    def features(self) -> DataFrame:
+        return self._get("features", lambda: R.candidate_features(self.pool(), self.context()))
+
+    def peer_strength(self) -> DataFrame:
+        return self._get("peer_strength", lambda: R.weighted_peer_strength(self.peers(), self.user_tag_table()))
+
+    def recommendations(self) -> DataFrame:
+        return self._get("recs", lambda: R.prioritise(self.features(), self.peer_strength(), self.settings.recommend))
+
+    def tag_impact(self) -> DataFrame:
+        return self._get("impact", lambda: R.counterfactual_impact(self.features(), self.context(),
+                                                                   self.settings.recommend))
+
 
 def skill_table_build(inp: Inputs) -> tuple[DataFrame, DataFrame]:
     """E-1: returns (user_tag, enriched_profiles)."""
