@@ -15,9 +15,9 @@ from ..functions import formulas as fx
 from . import skill as S
 
 
-def item_stats(attempts: DataFrame) -> DataFrame:
+def item_stats(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """A-1 (rated items only, P-13) -> A-5, zero-filled for the 20 tags."""
-    return S.user_tag_item_stats(S.per_item(attempts, rated_only=True), zero_fill=True)
+    return S.user_tag_item_stats(pairs.filter(F.col("item_rating") > 0), items, zero_fill=True)
 
 
 def peer_medians(peers: DataFrame, stats: DataFrame) -> DataFrame:
@@ -67,9 +67,9 @@ def tag_strengths_vs_peers(target_stats: DataFrame, medians: DataFrame) -> DataF
     )
 
 
-def peer_benchmark(attempts: DataFrame, peers: DataFrame) -> DataFrame:
+def peer_benchmark(pairs: DataFrame, items: DataFrame, peers: DataFrame) -> DataFrame:
     """E-2 for all targets in ``peers``."""
-    stats = item_stats(attempts)
+    stats = item_stats(pairs, items)
     targets = peers.select("target_key").distinct().withColumnRenamed("target_key", "user_key")
     target_stats = stats.join(targets, "user_key", "left_semi")
     return tag_strengths_vs_peers(target_stats, peer_medians(peers, stats))

@@ -115,14 +115,18 @@ def drop_unrated(df: DataFrame, col: str = "item_rating") -> DataFrame:
     return df.filter(F.expr(f"try_cast({col} as double)") > 0)
 
 
-def clean_attempts(df: DataFrame, min_accepted: int = MIN_ACCEPTED, strict: bool = False) -> DataFrame:
-    """E-6: P-6 -> P-7 -> P-8 -> P-10 -> P-12 on the attempt log (the AC
-    count of P-10 is taken before P-12 drops no-signal items)."""
-    out = consolidate_verdicts(df)
-    out = drop_undecided(out)
-    out = drop_null_items(out)
-    out = min_activity_filter(out, min_accepted, strict)
-    return drop_no_signal_items(out)
+def decided(df: DataFrame) -> DataFrame:
+    """P-6 -> P-7 -> P-8: the narrow, row-level part of the cleaning."""
+    return drop_null_items(drop_undecided(consolidate_verdicts(df)))
+
+
+def clean_attempts(df: DataFrame, items: DataFrame, min_accepted: int = MIN_ACCEPTED,
+                   strict: bool = False) -> DataFrame:
+    """E-6 at row level: P-6 -> P-7 -> P-8 -> P-10 -> P-12 (the AC count of
+    P-10 is taken before P-12 drops no-signal items; tags come from the item
+    dimension)."""
+    out = min_activity_filter(decided(df), min_accepted, strict)
+    return drop_no_signal_items(out.join(items.select("item", "tags"), "item"))
 
 
 # P-14 .. P-23 ----------------------------------------------------------------

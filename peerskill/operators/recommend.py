@@ -21,37 +21,33 @@ from . import scoring as SC
 
 # A-18 / U-4 -------------------------------------------------------------------
 
-def item_metadata(attempts: DataFrame) -> DataFrame:
-    """A-18: one row per rated item (rating, tags).  Attributes are functions
-    of the item, so max() is just a deterministic pick (V-5)."""
-    return (
-        attempts.filter(F.col("item_rating") > 0)
-        .groupBy("item")
-        .agg(F.max("item_rating").alias("item_rating"), F.max("tags").alias("tags"))
-    )
+def item_metadata(items: DataFrame) -> DataFrame:
+    """A-18: one row per rated item (rating, tags) from the item dimension."""
+    return items.filter(F.col("item_rating") > 0).select("item", "item_rating", "tags")
 
 
-def solved_pairs(attempts: DataFrame) -> DataFrame:
-    """U-4: distinct (user, item) with an accepted attempt."""
-    return attempts.filter(F.col("is_ac") == 1).select("user_key", "item").distinct()
+def solved_pairs(pairs: DataFrame) -> DataFrame:
+    """U-4: distinct (user, item) with an accepted attempt (the pair table is
+    already one row per (user, item))."""
+    return pairs.filter(F.col("ever_ac") == 1).select("user_key", "item")
 
 
 # A-16 / J-5 / J-7 / L-1 ---------------------------------------------------------
 
-def collaborative_candidates(peers: DataFrame, attempts: DataFrame, limit: int = 200,
+def collaborative_candidates(peers: DataFrame, pairs: DataFrame, items: DataFrame, limit: int = 200,
                              weight_col: str = "similarity") -> DataFrame:
     """Pool of items peers solved and the target did not, scored by the sum of
     peer weights (weight = similarity / 100; the k-th peer weighs 0 and its
     items stay with score 0, V-6), inner-joined to rated item metadata and cut
     to the top ``limit`` per target by (score desc, item)."""
-    solved = solved_pairs(attempts)
+    solved = solved_pairs(pairs)
     w = peers.select("target_key", "peer_key", (F.col(weight_col) / 100.0).alias("w"))
     pool = (
         w.join(solved.withColumnRenamed("user_key", "peer_key"), "peer_key")
         .join(solved.withColumnRenamed("user_key", "target_key"), ["target_key", "item"], "left_anti")
         .groupBy("target_key", "item")
         .agg(F.sum("w").alias("collab_score"))
-        .join(item_metadata(attempts), "item")
+        .join(item_metadata(items), "item")
     )
     # order keys rounded to 1e-9 so float summation order cannot flip ties
     rn = F.row_number().over(
@@ -59,10 +55,10 @@ def collaborative_candidates(peers: DataFrame, attempts: DataFrame, limit: int =
     return pool.withColumn("pool_rank", rn).filter(F.col("pool_rank") <= limit)
 
 
-def collaborative_candidates_rr(peers: DataFrame, attempts: DataFrame, limit: int = 300) -> DataFrame:
+def collaborative_candidates_rr(peers: DataFrame, pairs: DataFrame, items: DataFrame, limit: int = 300) -> DataFrame:
     """A-17 / W-9 variant: weight = 1 / rank (rank from 1 = 1/(rank0+1))."""
     p = peers.withColumn("rr_weight", F.lit(100.0) / F.col("rank"))
-    return collaborative_candidates(p, attempts, limit, weight_col="rr_weight")
+    return collaborative_candidates(p, pairs, items, limit, weight_col="rr_weight")
 
 
 # A-15 -----------------------------------------------------------------------------
@@ -90,13 +86,13 @@ def strength_map(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
 # Feature frame for the pool --------------------------------------------------------
 
-def user_context(user_tag: DataFrame, profiles: DataFrame, attempts: DataFrame) -> DataFrame:
+def user_context(user_tag: DataFrame, profiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per target: strength map, rating used for scoring (1200 when missing or
     <= 0, J-6), num_solved = distinct rated solved items (V-13)."""
     smap = strength_map(user_tag, "user_key", "tag_strength", "smap")
     n_solved = (
-        attempts.filter((F.col("is_ac") == 1) & (F.col("item_rating") > 0))
-        .groupBy("user_key").agg(F.countDistinct("item").alias("num_solved"))
+        pairs.filter((F.col("ever_ac") == 1) & (F.col("item_rating") > 0))
+        .groupBy("user_key").agg(F.count(F.lit(1)).alias("num_solved"))
     )
     rating = F.when(F.col("cf_rating") > 0, F.col("cf_rating")).otherwise(F.lit(DEFAULT_RATING))
     return (

@@ -18,11 +18,13 @@ from ..functions import formulas as fx
 
 # A-1 / A-2 / A-3: per-(user, item) collapse ---------------------------------
 
-def per_item(attempts: DataFrame, rated_only: bool = True) -> DataFrame:
-    """One row per (user, item): ever_ac, wa_count, attempts, first verdict.
+def per_item(attempts: DataFrame) -> DataFrame:
+    """One row per (user, item) - the grain every later stage starts from.
 
-    ``first_is_ac`` is the verdict of the earliest attempt by
-    (submitted_at, attempt_id); exact ties prefer AC (V-4)."""
+    n_attempts, n_ac, n_wa (attempt-row counts), ever_ac, wa_count and
+    ``first_is_ac``: the verdict of the earliest attempt by
+    (submitted_at, attempt_id), exact ties preferring AC (V-4).  One shuffle
+    on (user, item) with map-side partial aggregation."""
     first = F.min(
         F.struct(
             F.col("submitted_at").alias("ts"),
@@ -30,24 +32,42 @@ def per_item(attempts: DataFrame, rated_only: bool = True) -> DataFrame:
             (F.lit(1) - F.col("is_ac")).alias("not_ac"),
         )
     )
-    out = attempts.groupBy("user_key", "item").agg(
-        F.max("is_ac").cast("int").alias("ever_ac"),
-        F.sum("is_wa").cast("bigint").alias("wa_count"),
-        F.count(F.lit(1)).alias("n_attempts"),
+    return attempts.groupBy("user_key", "item").agg(
         F.max("item_rating").alias("item_rating"),
-        F.max("tags").alias("tags"),
+        F.count(F.lit(1)).alias("n_attempts"),
+        F.sum("is_ac").cast("bigint").alias("n_ac"),
+        F.sum("is_wa").cast("bigint").alias("n_wa"),
+        F.max("is_ac").cast("int").alias("ever_ac"),
         (F.lit(1) - first.getField("not_ac")).cast("int").alias("first_is_ac"),
-    )
-    if rated_only:
-        out = out.filter(F.col("item_rating") > 0)
-    return out
+    ).withColumn("wa_count", F.col("n_wa"))
+
+
+def with_tags(df: DataFrame, items: DataFrame) -> DataFrame:
+    """Attach the item's tag array (item dimension join; AQE broadcasts it
+    at runtime when it is small)."""
+    return df.join(items.select("item", "tags"), "item")
+
+
+def clean_pairs(pairs: DataFrame, items: DataFrame, min_accepted: int, strict: bool = False) -> DataFrame:
+    """P-10 / P-11 and P-12 at the (user, item) grain: the user's accepted
+    count is the sum of n_ac (taken before P-12), no-signal items are an item
+    attribute."""
+    per_user = pairs.groupBy("user_key").agg(F.sum("n_ac").alias("n_ac"))
+    if strict:
+        keep = per_user.filter(F.col("n_ac") >= min_accepted).select("user_key")
+        out = pairs.join(keep, "user_key", "left_semi")
+    else:
+        drop = per_user.filter((F.col("n_ac") > 0) & (F.col("n_ac") < min_accepted)).select("user_key")
+        out = pairs.join(drop, "user_key", "left_anti")
+    no_signal = items.filter((F.coalesce(F.col("item_rating"), F.lit(0)) == 0) & (F.size("tags") == 0)).select("item")
+    return out.join(no_signal, "item", "left_anti")
 
 
 # A-20 / A-22: profile derivation ---------------------------------------------
 
-def derive_profiles(attempts: DataFrame, ratings: DataFrame) -> DataFrame:
-    """A-22: activity columns of the profile, derived from the attempt log and
-    joined to the rating columns (only users with attempts).
+def derive_profiles(pairs: DataFrame, items: DataFrame, ratings: DataFrame) -> DataFrame:
+    """A-22: activity columns of the profile, derived from the cleaned
+    (user, item) table and joined to the rating columns (users with attempts).
 
     total_ac           = accepted attempt rows
     first_try_rate     = share of distinct items whose earliest attempt is AC (A-20 b)
@@ -55,7 +75,6 @@ def derive_profiles(attempts: DataFrame, ratings: DataFrame) -> DataFrame:
     unique_problems_*  = distinct solved / tried items
     unique_tags_solved, tag_coverage_pct, solved_* rating bands
     """
-    pi = per_item(attempts, rated_only=False)
     r = F.col("item_rating")
     solved = F.col("ever_ac") == 1
     bands = [
@@ -66,45 +85,49 @@ def derive_profiles(attempts: DataFrame, ratings: DataFrame) -> DataFrame:
         ("solved_2501_3000", (r > 2500) & (r <= 3000)),
         ("solved_gt_3000", r > 3000),
     ]
-    per_user = pi.groupBy("user_key").agg(
+    per_user = pairs.groupBy("user_key").agg(
         F.count_if(solved).cast("bigint").alias("unique_problems_solved"),
         F.count(F.lit(1)).cast("bigint").alias("unique_problems_tried"),
         F.avg("first_is_ac").alias("first_try_rate"),
-        F.avg(F.when(solved, F.col("n_attempts"))).alias("avg_attempts_to_ac"),
+        F.coalesce(F.avg(F.when(solved, F.col("n_attempts"))), F.lit(0.0)).alias("avg_attempts_to_ac"),
         *[F.count_if(solved & (r > 0) & cond).cast("bigint").alias(name) for name, cond in bands],
+        F.sum("n_ac").cast("bigint").alias("total_ac"),
     )
     tags_solved = (
-        pi.filter(solved)
+        with_tags(pairs.filter(solved).select("user_key", "item"), items)
         .select("user_key", F.explode("tags").alias("tag"))
         .groupBy("user_key")
         .agg(F.countDistinct("tag").cast("bigint").alias("unique_tags_solved"))
     )
-    total_ac = attempts.groupBy("user_key").agg(F.sum("is_ac").cast("bigint").alias("total_ac"))
     prof = (
-        per_user.join(total_ac, "user_key")
-        .join(tags_solved, "user_key", "left")
+        per_user.join(tags_solved, "user_key", "left")
         .withColumn("unique_tags_solved", F.coalesce("unique_tags_solved", F.lit(0).cast("bigint")))
         .withColumn("tag_coverage_pct", F.col("unique_tags_solved") * 100.0 / len(TAGS))
-        .withColumn("avg_attempts_to_ac", F.coalesce("avg_attempts_to_ac", F.lit(0.0)))
     )
     return prof.join(ratings, "user_key", "inner")
 
 
 # A-4: per-(user, tag) aggregate over attempt rows -------------------------------
 
-def user_tag_aggregate(attempts: DataFrame) -> DataFrame:
-    """A-4: explode the active tags (only real tags make rows) and aggregate."""
-    ac = F.col("is_ac") == 1
+def user_tag_aggregate(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """A-4 at attempt grain, computed from the (user, item) table: every
+    attempt row of an item counts once for each of the item's tags, so the
+    per-tag counts are sums of the per-item counts and the attempt-weighted
+    rating means are sum(n * rating) / sum(n) (exact: ratings are integers)."""
+    r = F.col("item_rating").cast("bigint")
+    t = with_tags(pairs, items).select(
+        "user_key", "n_attempts", "n_ac", "n_wa", r.alias("r"), F.explode("tags").alias("tag")
+    )
     return (
-        attempts.select("user_key", "item_rating", "is_ac", "is_wa", F.explode("tags").alias("tag"))
-        .groupBy("user_key", "tag")
+        t.groupBy("user_key", "tag")
         .agg(
-            F.count(F.lit(1)).alias("total_attempts"),
-            F.sum("is_ac").cast("bigint").alias("ac_count"),
-            F.sum("is_wa").cast("bigint").alias("wa_count"),
-            F.avg("item_rating").alias("avg_rating_attempted"),
-            F.coalesce(F.max(F.when(ac, F.col("item_rating"))), F.lit(0)).cast("double").alias("max_rating_solved"),
-            F.coalesce(F.avg(F.when(ac, F.col("item_rating"))), F.lit(0.0)).alias("avg_rating_solved"),
+            F.sum("n_attempts").alias("total_attempts"),
+            F.sum("n_ac").alias("ac_count"),
+            F.sum("n_wa").alias("wa_count"),
+            (F.sum(F.col("n_attempts") * F.col("r")) / F.sum("n_attempts")).alias("avg_rating_attempted"),
+            F.coalesce(F.max(F.when(F.col("n_ac") > 0, F.col("r"))), F.lit(0)).cast("double").alias("max_rating_solved"),
+            F.coalesce(F.sum(F.col("n_ac") * F.col("r")) / F.when(F.sum("n_ac") > 0, F.sum("n_ac")), F.lit(0.0))
+            .alias("avg_rating_solved"),
         )
     )
 
@@ -126,9 +149,9 @@ def score_components(user_tag: DataFrame) -> DataFrame:
     )
 
 
-def user_tag_strengths(attempts: DataFrame, profiles: DataFrame) -> DataFrame:
+def user_tag_strengths(pairs: DataFrame, items: DataFrame, profiles: DataFrame) -> DataFrame:
     """E-1 core: A-4 -> J-1 (one left join on user) -> F-1..F-8."""
-    agg = user_tag_aggregate(attempts)
+    agg = user_tag_aggregate(pairs, items)
     prof = profiles.select("user_key", *PROFILE_SIGNALS)
     return score_components(agg.join(prof, "user_key", "left"))
 
@@ -179,14 +202,14 @@ def enriched_profiles(profiles: DataFrame, user_tag: DataFrame) -> DataFrame:
 
 # A-5: per-(user, tag) stats over distinct items --------------------------------
 
-def user_tag_item_stats(per_item_rows: DataFrame, zero_fill: bool = True) -> DataFrame:
+def user_tag_item_stats(per_item_rows: DataFrame, items: DataFrame, zero_fill: bool = True) -> DataFrame:
     """A-5: solved / attempted distinct items and mean solved rating per tag,
     plus total_solved per user; zero-filled for all 20 tags.
 
     ``avg_difficulty`` is kept at full precision (rounding only in sinks, V-21)."""
     solved = F.col("ever_ac") == 1
     per_tag = (
-        per_item_rows.select("user_key", "ever_ac", "item_rating", F.explode("tags").alias("tag"))
+        with_tags(per_item_rows, items).select("user_key", "ever_ac", "item_rating", F.explode("tags").alias("tag"))
         .groupBy("user_key", "tag")
         .agg(
             F.count_if(solved).cast("bigint").alias("solved"),

@@ -9,6 +9,7 @@ cluster they are written once (``materialize``) rather than recomputed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..operators import benchmark as B
@@ -51,27 +52,50 @@ class Inputs:
     def ratings(self) -> DataFrame:
         return self._get("ratings", lambda: td.customer_profiles(self.spark, self.sf_dir))
 
-    # E-6 / A-22 / E-1
+    # E-6 / A-22 / E-1 ------------------------------------------------------
+    def raw_pairs(self) -> DataFrame:
+        """(user, item) table of decided attempts (P-6..P-8 then A-1..A-3):
+        the only stage that reads the attempt log; written once."""
+        return self._get("raw_pairs", lambda: materialize(
+            self.spark, S.per_item(C.decided(self.att_scale())), "raw_pairs"))
+
+    def items(self) -> DataFrame:
+        """Item dimension of the items present (distinct over the pair table)."""
+        return self._get("items", lambda: materialize(self.spark, td.items(self.raw_pairs_keys()), "items"))
+
+    def raw_pairs_keys(self) -> DataFrame:
+        return self.raw_pairs().select("item", F.regexp_extract("item", r"(\d+)$", 1).cast("int").alias("item_key"))
+
     def attempts(self) -> DataFrame:
-        return self._get("attempts", lambda: C.clean_attempts(self.att_scale(), self.settings.min_accepted))
+        """Row-level cleaned attempts (E-6), with tags."""
+        return self._get("attempts", lambda: C.clean_attempts(self.att_scale(), self.items(),
+                                                                self.settings.min_accepted))
+
+    def pairs(self) -> DataFrame:
+        """Cleaned (user, item) table (P-10, P-12 at pair grain)."""
+        return self._get("pairs", lambda: S.clean_pairs(self.raw_pairs(), self.items(), self.settings.min_accepted))
 
     def profiles(self) -> DataFrame:
-        return self._get("profiles", lambda: S.derive_profiles(self.attempts(), self.ratings()))
+        return self._get("profiles", lambda: S.derive_profiles(self.pairs(), self.items(), self.ratings()))
 
     def user_tag(self) -> DataFrame:
-        return self._get("user_tag", lambda: S.user_tag_strengths(self.attempts(), self.profiles()))
+        return self._get("user_tag", lambda: S.user_tag_strengths(self.pairs(), self.items(), self.profiles()))
+
+    # written stages reused by several consumers
+    def items_table(self) -> DataFrame:
+        return self.items()
 
-    # written stages (reused by several consumers)
-    def attempts_table(self) -> DataFrame:
-        return self._get("attempts_t", lambda: materialize(self.spark, self.attempts(), "attempts"))
+    def pairs_table(self) -> DataFrame:
+        return self._get("pairs_t", lambda: materialize(self.spark, self.pairs(), "pairs"))
 
     def profiles_table(self) -> DataFrame:
         return self._get("profiles_t", lambda: materialize(
-            self.spark, S.derive_profiles(self.attempts_table(), self.ratings()), "profiles"))
+            self.spark, S.derive_profiles(self.pairs_table(), self.items(), self.ratings()), "profiles"))
 
     def user_tag_table(self) -> DataFrame:
         return self._get("user_tag_t", lambda: materialize(
-            self.spark, S.user_tag_strengths(self.attempts_table(), self.profiles_table()), "user_tag"))
+            self.spark, S.user_tag_strengths(self.pairs_table(), self.items(), self.profiles_table()),
+            "user_tag"))
 
     # E-3
     def vectors(self) -> DataFrame:
@@ -85,16 +109,16 @@ class Inputs:
 
     # E-2
     def peer_benchmark(self) -> DataFrame:
-        return self._get("bench", lambda: B.peer_benchmark(self.attempts_table(), self.peers()))
+        return self._get("bench", lambda: B.peer_benchmark(self.pairs_table(), self.items_table(), self.peers()))
 
     # E-4
     def context(self) -> DataFrame:
         return self._get("ctx", lambda: R.user_context(self.user_tag_table(), self.profiles_table(),
-                                                        self.attempts_table()))
+                                                        self.pairs_table()))
 
     def pool(self) -> DataFrame:
         return self._get("pool", lambda: R.collaborative_candidates(
-            self.peers(), self.attempts_table(), self.settings.recommend.limit))
+            self.peers(), self.pairs_table(), self.items_table(), self.settings.recommend.limit))
 
     def features(self) -> DataFrame:
         return self._get("features", lambda: R.candidate_features(self.pool(), self.context()))

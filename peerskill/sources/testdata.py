@@ -4,9 +4,10 @@
 ``att_order``  events              -> attempts with a unique, total order
 ``profiles``   customer            -> user profiles
 
-Every adapter is a narrow projection (plus one equi-join for ``att_scale``);
-item rating and tags are pure functions of the item key, so no item dimension
-has to be joined in.
+Every adapter is a narrow projection (plus one equi-join for ``att_scale``).
+Attempt rows carry the item key and rating; the tag arrays live in the item
+dimension (``items``), built from the distinct item keys actually present,
+so tags are computed once per item rather than once per attempt.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ def _attempt_columns(user_key: Column, item_key: Column, verdict: Column, ts: Co
         F.concat(F.lit("I_"), item_key.cast("string")).alias("item"),
         item_key.cast("int").alias("item_key"),
         item_rating_col(item_key).alias("item_rating"),
-        item_tags_col(item_key).alias("tags"),
         verdict.alias("verdict"),
         F.coalesce(is_ac, F.lit(0).cast("tinyint")).alias("is_ac"),
         F.coalesce(is_wa, F.lit(0).cast("tinyint")).alias("is_wa"),
@@ -55,6 +55,15 @@ def _attempt_columns(user_key: Column, item_key: Column, verdict: Column, ts: Co
     ]
 
 
+def items(attempts: DataFrame) -> DataFrame:
+    """Item dimension (item, item_key, item_rating, tags) of the items present
+    in an attempt log: one partial/final distinct on item_key, then per-item
+    columns."""
+    keys = attempts.select("item", "item_key").distinct()
+    k = F.col("item_key")
+    return keys.select("item", "item_key", item_rating_col(k).alias("item_rating"), item_tags_col(k).alias("tags"))
+
+
 def att_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attempt per lineitem row; user = order customer, item = part % 200.
 
