@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..operators import benchmark as B
+from ..operators import evaluate as EV
+from ..operators import features as FE
 from ..operators import clean as C
 from ..operators import knn as K
 from ..operators import recommend as R
@@ -133,6 +135,20 @@ class Inputs:
         return self._get("impact", lambda: R.counterfactual_impact(self.features(), self.context(),
                                                                    self.settings.recommend))
 
+    # M-1 / M-2 / M-20
+    def success_frame(self) -> DataFrame:
+        return self._get("success_frame", lambda: materialize(self.spark, FE.success_frame(
+            self.pairs_table(), self.items(), self.user_tag_table(), self.profiles_table()), "success_frame"))
+
+    def attempts_frame(self) -> DataFrame:
+        return self._get("attempts_frame", lambda: FE.attempts_frame(self.success_frame()))
+
+    def growth_frame(self) -> DataFrame:
+        return self._get("growth_frame", lambda: FE.growth_frame(self.profiles_table(), self.user_tag_table()))
+
+    def loo_user_metrics(self) -> DataFrame:
+        return self._get("loo_user", lambda: EV.loo_user_metrics(self.peers(), self.user_tag_table()))
+
 
 def skill_table_build(inp: Inputs) -> tuple[DataFrame, DataFrame]:
     """E-1: returns (user_tag, enriched_profiles)."""

@@ -367,3 +367,36 @@ imp AS (
          CAST(row_number() OVER (PARTITION BY target_key ORDER BY delta_problems DESC, round(delta_problems / 10.0 * 50) DESC, ord) AS INTEGER) AS impact_rank
   FROM imp0
 )"""
+
+
+def success_frame(pi: str = "spi", ut: str = "user_tag", prof: str = "profiles") -> str:
+    """M-1 frame + closed-form prediction; needs per_item(clean, 'spi')."""
+    return f"""
+sf_rated AS (SELECT * FROM {pi} WHERE item_rating > 0 AND user_key IN (SELECT user_key FROM {ut})),
+sf_tags AS (SELECT user_key, item, unnest(tags) AS tag FROM sf_rated),
+sf_feat AS (
+  SELECT t.user_key, t.item, avg(coalesce(u.tag_strength, 0.0)) AS mean_ts, min(coalesce(u.tag_strength, 0.0)) AS min_ts,
+         max(coalesce(u.tag_strength, 0.0)) AS max_ts, count(*) AS n_tags
+  FROM sf_tags t LEFT JOIN {ut} u ON u.user_key = t.user_key AND u.tag = t.tag GROUP BY t.user_key, t.item
+),
+sf_solved AS (SELECT user_key, count(*) AS num_solved FROM sf_rated WHERE ever_ac = 1 GROUP BY user_key),
+sframe AS (
+  SELECT r.user_key, r.item, r.item_rating, r.ever_ac, r.wa_count,
+         CAST(coalesce(p.cf_rating, 1200) AS DOUBLE) AS cf_rating,
+         CAST(r.item_rating - coalesce(p.cf_rating, 1200) AS DOUBLE) AS rating_diff,
+         coalesce(f.mean_ts, 0.0) AS mean_tag_strength, coalesce(f.min_ts, 0.0) AS tag_strength_min,
+         coalesce(f.max_ts, 0.0) AS tag_strength_max, CAST(coalesce(f.n_tags, 0) AS DOUBLE) AS problem_tag_count,
+         CAST(coalesce(s.num_solved, 0) AS DOUBLE) AS num_solved,
+         least(greatest(r.ever_ac - r.wa_count * 0.2, -1.0), 1.0) AS solve_score,
+         CASE WHEN (('0x' || substr(md5(CAST(r.user_key AS VARCHAR) || '|' || r.item), 1, 8))::BIGINT % 5) < 1
+              THEN 'test' ELSE 'train' END AS split
+  FROM sf_rated r LEFT JOIN {prof} p ON p.user_key = r.user_key
+  LEFT JOIN sf_feat f ON f.user_key = r.user_key AND f.item = r.item
+  LEFT JOIN sf_solved s ON s.user_key = r.user_key
+),
+spred AS (
+  SELECT *, least(greatest(0.1 - rating_diff / 1000.0 + mean_tag_strength, -1.0), 1.0) AS pred,
+         1.0 + greatest(rating_diff, 0.0) / 400.0 + (1.0 - mean_tag_strength) AS attempts_pred,
+         CAST(least(wa_count + 1, 10) AS DOUBLE) AS attempts
+  FROM sframe
+)"""
