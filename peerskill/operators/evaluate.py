@@ -177,3 +177,22 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     c = df.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))
     row_tot = F.sum("n").over(Window.partitionBy(actual))
     return c.withColumn("row_share", F.col("n") / row_tot)
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, n: int = 5) -> DataFrame:
+    """W-11: class-stratified folds: inside each label, rows ordered by the
+    md5 hash of the key are dealt round-robin into n folds.  The per-label
+    row number comes from one distributed global rank minus the label's
+    first rank (no window over a whole class)."""
+    from .ordered import global_rank
+
+    h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    ranked = global_rank(df.withColumn("_h", h), [F.col(label), F.col("_h"), F.col(key)])
+    first = ranked.groupBy(label).agg(F.min("global_rank").alias("_first"))
+    return ranked.join(first, label).withColumn(
+        "fold", F.pmod(F.col("global_rank") - F.col("_first"), F.lit(n)).cast("int")).drop("_h", "_first", "global_rank")
+
+
+def shuffled_folds(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """W-11: shuffled folds = md5 hash bucket of the key."""
+    return df.withColumn("fold", hash_bucket(F.col(key).cast("string"), n))

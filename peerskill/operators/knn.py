@@ -63,7 +63,11 @@ def _block_topk(k: int, metric: str):
         tm = np.vstack(tpdf["vec"].to_numpy()).astype(np.float64)
         pm = np.vstack(ppdf["vec"].to_numpy()).astype(np.float64)
         d = distance_matrix(tm, pm, metric)
-        self_mask = tid[:, None] == pid[None, :]          # J-10: the target itself is no peer
+        # J-10: the target itself is no peer; with a group column, nobody of
+        # the target's own group is (cross-validation folds)
+        tg = tpdf["grp"].to_numpy(dtype=np.int64)
+        pg = ppdf["grp"].to_numpy(dtype=np.int64)
+        self_mask = tg[:, None] == pg[None, :]
         d_masked = np.where(self_mask, -np.inf, d)
         bmax = d_masked.max(axis=1)
         d = np.where(self_mask, np.inf, d)
@@ -101,16 +105,18 @@ def _n_blocks(vectors: DataFrame, block_rows: int) -> int:
 
 
 def knn_candidates(targets: DataFrame, population: DataFrame, cfg: KnnConfig = KnnConfig(),
-                   n_blocks: int | None = None) -> DataFrame:
+                   n_blocks: int | None = None, group_col: str | None = None) -> DataFrame:
     """Per-block top-k candidates (target_key, peer_key, distance, block_max).
 
     ``targets`` and ``population`` are (user_key, vec) tables; the same table
-    may be passed twice (every user is a target)."""
+    may be passed twice (every user is a target).  Pairs with the same
+    ``group_col`` value are excluded (default: the key itself, i.e. self)."""
     b = n_blocks or _n_blocks(population, cfg.block_rows)
     blocks = F.array(*[F.lit(i) for i in range(b)]) if b <= 64 else F.sequence(F.lit(0), F.lit(b - 1))
     bid = F.pmod(F.xxhash64(F.col("user_key")), F.lit(b)).cast("int")
-    t = targets.select("user_key", "vec", bid.alias("tb"), F.explode(blocks).alias("pb"))
-    p = population.select("user_key", "vec", bid.alias("pb"), F.explode(blocks).alias("tb"))
+    grp = (F.col(group_col) if group_col else F.col("user_key")).cast("long").alias("grp")
+    t = targets.select("user_key", "vec", grp, bid.alias("tb"), F.explode(blocks).alias("pb"))
+    p = population.select("user_key", "vec", grp, bid.alias("pb"), F.explode(blocks).alias("tb"))
     return (
         t.groupBy("tb", "pb")
         .cogroup(p.groupBy("tb", "pb"))
@@ -119,13 +125,13 @@ def knn_candidates(targets: DataFrame, population: DataFrame, cfg: KnnConfig = K
 
 
 def nearest_peers(targets: DataFrame, population: DataFrame, cfg: KnnConfig = KnnConfig(),
-                  n_blocks: int | None = None) -> DataFrame:
+                  n_blocks: int | None = None, group_col: str | None = None) -> DataFrame:
     """E-3: peers(target_key, peer_key, rank, distance, similarity, display_similarity).
 
     similarity          = (1 - (d - d_first) / (d_last - d_first)) * 100, range 1 if equal (W-2)
     display_similarity  = max(0, 1 - d / d_max_all) * 100, 100 when d_max_all = 0 (W-3, V-7)
     Kept at full precision; round in sinks only."""
-    cand = knn_candidates(targets, population, cfg, n_blocks)
+    cand = knn_candidates(targets, population, cfg, n_blocks, group_col)
     w = Window.partitionBy("target_key").orderBy(F.round("distance", 9), "peer_key")
     ranked = (
         cand.withColumn("d_max_all", F.max("block_max").over(Window.partitionBy("target_key")))
@@ -142,3 +148,22 @@ def nearest_peers(targets: DataFrame, population: DataFrame, cfg: KnnConfig = Kn
                F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance") / F.col("d_max_all")) * 100.0)
         .otherwise(F.lit(100.0)).alias("display_similarity"),
     )
+
+
+# M-21 -------------------------------------------------------------------------------
+
+def knn_classify(targets: DataFrame, population: DataFrame, labels: DataFrame, label_col: str, fold_col: str,
+                 cfg: KnnConfig = KnnConfig()) -> DataFrame:
+    """Cross-validated KNN classification: each row's k nearest rows outside
+    its own fold vote; the most frequent label wins, the smallest label on
+    ties.  The three inputs are independent reads of one written table of
+    (user_key, vec, label, fold): a self-join of one DataFrame object through
+    a cogrouped pandas function is not resolved reliably by the analyzer."""
+    peers = nearest_peers(targets.select("user_key", "vec", fold_col), population.select("user_key", "vec", fold_col),
+                          cfg, group_col=fold_col)
+    lab = labels.select(F.col("user_key").alias("peer_key"), F.col(label_col).alias("_lab"))
+    votes = peers.join(lab, "peer_key").groupBy("target_key", "_lab").agg(F.count(F.lit(1)).alias("_n"))
+    best = votes.groupBy("target_key").agg(F.max(F.struct(F.col("_n"), (-F.col("_lab")).alias("_neg"))).alias("_b"))
+    return best.select("target_key", (-F.col("_b._neg")).alias("predicted")).join(
+        targets.select(F.col("user_key").alias("target_key"), F.col(label_col).alias("actual"),
+                       F.col(fold_col).alias("fold")), "target_key")
