@@ -69,10 +69,14 @@ def att_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``attempt_id`` (orderkey*16 + linenumber) is a tie-break, not a unique key:
     (orderkey, linenumber) repeats in this data."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"
-    )
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return att_scale_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+
+
+def att_scale_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """The att_scale mapping over given lineitem / orders DataFrames (batch or
+    streaming lineitem joined to static orders)."""
+    li = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
+    o = orders.select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
     verdict = (
@@ -95,7 +99,12 @@ def att_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def att_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attempt per event; (submitted_at, attempt_id) is a total order."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    return att_order_from(table(spark, sf_dir, "events"))
+
+
+def att_order_from(events: DataFrame) -> DataFrame:
+    """The att_order mapping over a given events DataFrame (batch or streaming)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "props")
     et = F.col("event_type")
     verdict = (
         F.when(et == "purchase", "OK")
@@ -127,3 +136,11 @@ def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (rating + (F.col("c_custkey") % 300).cast("int")).cast("int").alias("cf_max_rating"),
         rank_label(rating).alias("cf_rank"),
     )
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A file stream over one TESTDATA table (a file stream source needs a
+    folder, so the folder is watched with a glob filter on the table file)."""
+    schema = table(spark, sf_dir, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
