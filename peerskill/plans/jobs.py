@@ -68,6 +68,10 @@ class Inputs:
     def raw_pairs_keys(self) -> DataFrame:
         return self.raw_pairs().select("item", F.regexp_extract("item", r"(\d+)$", 1).cast("int").alias("item_key"))
 
+    def items_order(self) -> DataFrame:
+        """Item dimension of the att_order feed."""
+        return self._get("items_order", lambda: td.items(self.att_order()))
+
     def attempts(self) -> DataFrame:
         """Row-level cleaned attempts (E-6), with tags."""
         return self._get("attempts", lambda: C.clean_attempts(self.att_scale(), self.items(),
