@@ -92,3 +92,38 @@ def recommendation_quadrants(recs: DataFrame) -> DataFrame:
     m = F.when(F.col("difficulty_match") >= 0.5, F.lit("reachable")).otherwise(F.lit("stretch"))
     return recs.groupBy(q.alias("boost_half"), m.alias("match_half")).agg(F.count(F.lit(1)).alias("n")).select(
         "*", med.alias("median_boost"))
+
+
+def attempt_stats(attempts: DataFrame) -> DataFrame:
+    """A-21 / P-16 / F-26: total, accepted, rejected, success rate (0 if
+    none) per user, plus the total min-max normalised across users (0 when
+    the range is 0; bounds are scalar subqueries)."""
+    from ..functions import formulas as fx
+
+    s = attempts.groupBy("user_key").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == "OK").alias("accepted"))
+    s = s.withColumn("rejected", F.col("total") - F.col("accepted")).withColumn(
+        "success_rate", F.when(F.col("total") > 0, F.col("accepted") / F.col("total")).otherwise(F.lit(0.0)))
+    lo, hi = s.agg(F.min("total")).scalar(), s.agg(F.max("total")).scalar()
+    return s.withColumn("total_norm", fx.min_max_normalise(F.col("total"), lo, hi))
+
+
+def top_by_final_score(recs: DataFrame, n: int = 5) -> DataFrame:
+    """L-8: top n recommendations per user by final score (item on ties)."""
+    w = Window.partitionBy("target_key").orderBy(F.round("final_score", 9).desc(), "item")
+    return recs.withColumn("final_pos", F.row_number().over(w)).filter(F.col("final_pos") <= n)
+
+
+def peer_heat_rows(peers: DataFrame, user_tag: DataFrame, n_peers: int = 20, n_heat: int = 10) -> DataFrame:
+    """L-9: the 20 nearest peers, with tag strengths for the 10 nearest."""
+    top = peers.filter(F.col("rank") <= n_peers)
+    heat = top.filter(F.col("rank") <= n_heat).join(
+        user_tag.select(F.col("user_key").alias("peer_key"), "tag", "tag_strength"), "peer_key")
+    return heat.select("target_key", "peer_key", "rank", "distance", "tag", "tag_strength")
+
+
+def accuracy_vs_strength(acc: DataFrame, bench: DataFrame) -> DataFrame:
+    """J-15: raw tag accuracy beside peer strength; missing strength sorts last (101)."""
+    j = acc.join(bench.select(F.col("target_key").alias("user_key"), "tag", "strength"), ["user_key", "tag"], "left")
+    w = Window.partitionBy("user_key").orderBy(F.coalesce(F.col("strength"), F.lit(101.0)), "tag")
+    return j.withColumn("sort_pos", F.row_number().over(w))

@@ -232,3 +232,43 @@ def tag_dimension(spark) -> DataFrame:
     """tag_dim(tag, ord, label): 20 fixed rows."""
     rows = [(t, i, t.replace("_", " ")) for i, t in enumerate(TAGS)]
     return spark.createDataFrame(rows, "tag string, ord int, label string")
+
+
+# A-6 / A-20(a) / A-23: target-side variants ---------------------------------------
+
+def target_side_strength(pairs: DataFrame, items: DataFrame, ratings: DataFrame) -> DataFrame:
+    """A-6 (V-3 grain = item): per user and tag over distinct items, with the
+    first-try rate (a) = solved items with exactly one attempt / solved items;
+    difficulty is not clipped here; 0 for absent tags (all 20 tags)."""
+    solved = F.col("ever_ac") == 1
+    per_user = pairs.groupBy("user_key").agg(
+        F.sum("ever_ac").alias("total_ac_items"),
+        F.coalesce(F.count_if(solved & (F.col("n_attempts") == 1)) / F.when(F.count_if(solved) > 0, F.count_if(solved)),
+                   F.lit(0.0)).alias("ftr_a"))
+    per_tag = (with_tags(pairs, items).select("user_key", "ever_ac", "item_rating", F.explode("tags").alias("tag"))
+               .groupBy("user_key", "tag").agg(
+                   F.count(F.lit(1)).alias("n"), F.sum("ever_ac").alias("ac"),
+                   F.avg(F.when(solved, F.col("item_rating"))).alias("avg_solved")))
+    grid = per_user.withColumn("tag", F.explode(F.array(*[F.lit(t) for t in TAGS])))
+    j = grid.join(per_tag, ["user_key", "tag"], "left").join(ratings, "user_key", "left")
+    comps = {
+        "acceptance_rate": fx.smoothed_acceptance(F.col("ac"), F.col("n")),
+        "difficulty_score": F.when(F.col("ac") > 0, F.col("avg_solved") / F.lit(3500.0)).otherwise(F.lit(0.0)),
+        "rating_boost": F.least((F.col("cf_rating") + F.col("cf_max_rating")) / F.lit(7000.0), F.lit(1.0)),
+        "efficiency_score": F.least(F.col("ftr_a"), F.lit(1.0)),
+        "volume_score": fx.volume_score(F.col("ac")),
+        "specialization_score": F.when(F.col("total_ac_items") > 0,
+                                       F.least(F.col("ac") / F.col("total_ac_items"), F.lit(1.0))).otherwise(F.lit(0.0)),
+    }
+    return j.select("user_key", "tag", F.when(F.col("n").isNull(), F.lit(0.0)).otherwise(fx.tag_strength(comps))
+                    .alias("target_strength"))
+
+
+def global_fallback(pairs: DataFrame) -> DataFrame:
+    """A-23: smoothed overall acceptance and solved-rating score over rated
+    distinct items, used for unattempted tags when that option is on (V-2)."""
+    rated = pairs.filter(F.col("item_rating") > 0)
+    return rated.groupBy("user_key").agg(
+        F.least((F.sum("ever_ac") + 1.0) / (F.count(F.lit(1)) + 2.0), F.lit(1.0)).alias("global_acceptance"),
+        F.least(F.coalesce(F.avg(F.when(F.col("ever_ac") == 1, F.col("item_rating"))), F.lit(0.0)) / 3500.0,
+                F.lit(1.0)).alias("global_difficulty"))
