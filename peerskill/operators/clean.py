@@ -134,14 +134,12 @@ def clean_attempts(df: DataFrame, items: DataFrame, min_accepted: int = MIN_ACCE
 def clean_handles(df: DataFrame, col: str = "handle") -> DataFrame:
     """P-14: strip any whitespace, then leading ``=+-@``; drop '#NAME?', null, empty.
 
-    Strip first, then test (V-24)."""
+    Strip first, then test (V-24): ``=#NAME?`` cleans to ``#NAME?`` and is dropped."""
     stripped = F.regexp_replace(F.col(col), r"^\s+|\s+$", "")
     cleaned = F.regexp_replace(stripped, r"^[=+\-@]+", "")
     return (
-        df.withColumn("_orig", F.col(col))
-        .withColumn(col, cleaned)
-        .filter(F.col("_orig").isNotNull() & (F.col("_orig") != "#NAME?") & (F.length(F.col(col)) > 0))
-        .drop("_orig")
+        df.withColumn(col, cleaned)
+        .filter(F.col(col).isNotNull() & (F.col(col) != "#NAME?") & (F.length(F.col(col)) > 0))
     )
 
 
