@@ -100,8 +100,13 @@ def _block_topk(k: int, metric: str):
 
 
 def _n_blocks(vectors: DataFrame, block_rows: int) -> int:
+    """B = ceil(N / block_rows), but at least enough blocks that the B^2 block
+    pairs keep every core busy (B^2 >= 2 x default parallelism)."""
     n = vectors.count()  # one scalar; sizes the block grid
-    return max(1, math.ceil(n / max(1, block_rows)))
+    par = vectors.sparkSession.sparkContext.defaultParallelism
+    by_size = math.ceil(n / max(1, block_rows))
+    by_cores = math.ceil(math.sqrt(2 * par))
+    return max(1, min(max(by_size, by_cores), max(1, n)))
 
 
 def knn_candidates(targets: DataFrame, population: DataFrame, cfg: KnnConfig = KnnConfig(),

@@ -142,11 +142,11 @@ def prioritise(features: DataFrame, peer_strength: DataFrame, cfg: RecommendConf
     w = Window.partitionBy("target_key").orderBy(
         F.round("weakness_boost", 9).desc(), F.round("final_score", 9).desc(), "item")
     s = s.withColumn("rec_rank", F.row_number().over(w))
-    top = attempts_scorer(s.filter(F.col("rec_rank") <= cfg.top_attempts))
-    est = SC.clip_attempts(F.col("attempts_raw"))
-    top = top.select("target_key", "item", est.alias("estimated_attempts"),
-                     fx.difficulty_label(est).alias("difficulty_label"))
-    return s.join(top, ["target_key", "item"], "left")
+    # M-19 on the top ``top_attempts`` only: a guarded column, no join back
+    s = attempts_scorer(s)
+    est = F.when(F.col("rec_rank") <= cfg.top_attempts, SC.clip_attempts(F.col("attempts_raw")))
+    return s.withColumn("estimated_attempts", est).withColumn(
+        "difficulty_label", F.when(est.isNotNull(), fx.difficulty_label(est))).drop("attempts_raw")
 
 
 # M-17 / J-12 / A-37 / F-24 / F-25 / L-5 -----------------------------------------------
