@@ -18,6 +18,22 @@ def order_key() -> Column:
     return F.struct(F.col("submitted_at").alias("ts"), F.col("attempt_id").alias("id"))
 
 
+_D = "decimal(38,0)"
+
+
+def order_key_num(tie: Column | None = None) -> Column:
+    """(submitted_at, attempt_id[, tie digit]) packed into one DECIMAL(38,0):
+    unix_micros * 10^14 + attempt_id * 10 + tie.  Same order as the struct
+    (for 0 <= attempt_id < 10^13, tie in 0..9), but min/max over it stay hash
+    aggregates with map-side partial aggregation (a struct forces a sort
+    aggregate).  A null timestamp gives a null key, ignored by min/max."""
+    k = (F.unix_micros(F.col("submitted_at").cast("timestamp")).cast(_D) * F.lit(10 ** 14).cast(_D)
+         + F.col("attempt_id").cast(_D) * F.lit(10).cast(_D))
+    if tie is not None:
+        k = k + tie.cast(_D)
+    return k.cast(_D)
+
+
 # W-5 / W-6 --------------------------------------------------------------------
 
 def dedup_newest(df: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
@@ -45,11 +61,11 @@ def first_try_rates(df: DataFrame) -> DataFrame:
     ftr_a = solved items with exactly one attempt / solved items (0 if none)
     ftr_b = items whose earliest attempt is AC / items           (default)
     ftr_c = items with one attempt that is AC / items."""
-    first = F.min(F.struct(order_key().alias("o"), (F.lit(1) - F.col("is_ac")).alias("na")))
+    first = F.min(order_key_num(F.lit(1) - F.col("is_ac")))
     per = df.groupBy("user_key", "item").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("is_ac").alias("ever_ac"),
-        (F.lit(1) - first.getField("na")).alias("first_ac"),
+        (F.lit(1) - F.pmod(first, F.lit(10).cast(_D))).cast("int").alias("first_ac"),
     )
     solved = F.col("ever_ac") == 1
     return per.groupBy("user_key").agg(
@@ -69,8 +85,8 @@ def solve_markers(df: DataFrame) -> DataFrame:
     listed before the first listed AC, i.e. newer than the newest AC (W-7)."""
     ok = F.col("verdict") == "OK"
     return df.groupBy("user_key", "item").agg(
-        F.max(F.when(ok, order_key())).alias("newest_ok"),
-        F.max(F.when(~ok | F.col("verdict").isNull(), order_key())).alias("newest_fail"),
+        F.max(F.when(ok, order_key_num())).alias("newest_ok"),
+        F.max(F.when(~ok | F.col("verdict").isNull(), order_key_num())).alias("newest_fail"),
     ).withColumn(
         "failed_before_solve",
         F.col("newest_fail").isNotNull() & (F.col("newest_ok").isNull() | (F.col("newest_fail") > F.col("newest_ok"))),
@@ -99,7 +115,7 @@ def rating_buckets(df: DataFrame) -> DataFrame:
     m = solve_markers(df).select("user_key", "item", "newest_ok")
     rows = df.filter(F.col("item_rating") > 0).join(m, ["user_key", "item"])
     ok = F.col("verdict") == "OK"
-    fail_before = ~ok & (F.col("newest_ok").isNull() | (order_key() > F.col("newest_ok")))
+    fail_before = ~ok & (F.col("newest_ok").isNull() | (order_key_num() > F.col("newest_ok")))
     bucket = (F.floor(F.col("item_rating") / 100.0 + 0.5) * 100).cast("int")
     agg = rows.groupBy("user_key", bucket.alias("bucket")).agg(
         F.count_if(ok).alias("solved"), F.count_if(fail_before).alias("failed"))

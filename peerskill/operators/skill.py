@@ -25,20 +25,16 @@ def per_item(attempts: DataFrame) -> DataFrame:
     ``first_is_ac``: the verdict of the earliest attempt by
     (submitted_at, attempt_id), exact ties preferring AC (V-4).  One shuffle
     on (user, item) with map-side partial aggregation."""
-    first = F.min(
-        F.struct(
-            F.col("submitted_at").alias("ts"),
-            F.col("attempt_id").alias("id"),
-            (F.lit(1) - F.col("is_ac")).alias("not_ac"),
-        )
-    )
+    from .ordered import order_key_num
+
+    first = F.min(order_key_num(F.lit(1) - F.col("is_ac")))
     return attempts.groupBy("user_key", "item").agg(
         F.max("item_rating").alias("item_rating"),
         F.count(F.lit(1)).alias("n_attempts"),
         F.sum("is_ac").cast("bigint").alias("n_ac"),
         F.sum("is_wa").cast("bigint").alias("n_wa"),
         F.max("is_ac").cast("int").alias("ever_ac"),
-        (F.lit(1) - first.getField("not_ac")).cast("int").alias("first_is_ac"),
+        (F.lit(1) - F.pmod(first, F.lit(10).cast("decimal(38,0)"))).cast("int").alias("first_is_ac"),
     ).withColumn("wa_count", F.col("n_wa"))
 
 
