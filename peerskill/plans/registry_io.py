@@ -136,3 +136,52 @@ def crawl_plan(inp):
     path = scratch_path(spark, "work_lists")
     IO.write_work_lists(chunks.select("user_key", "is_new", "chunk"), path)
     return spark.read.schema("user_key long, is_new int, chunk int").json(path).select("user_key", "is_new", "chunk")
+
+
+@register("filtered_scan_by_users", Q.with_(Q.ATT_SCALE, Q.clean(), Q.profiles()) + """ SELECT a.user_key, count(*) AS n_attempts,
+      CAST(sum(a.is_ac) AS BIGINT) AS n_ac FROM att_scale a
+    WHERE a.user_key IN (SELECT user_key FROM profiles WHERE cf_rating >= 1600 AND cf_rating < 1900)
+    GROUP BY a.user_key""")
+def filtered_scan_by_users(inp):
+    """S-2 / P-21 / S-3: profiles written as CSV and read back with the handle
+    forced to string, restricted to one rank label ('expert'), and the attempt
+    log scanned for exactly those users (semi-join)."""
+    spark = inp.spark
+    path = scratch_path(spark, "profiles_csv")
+    prof = inp.profiles_table().select(F.col("user_key").cast("string").alias("handle"), "cf_rating", "cf_max_rating",
+                                       F.col("total_ac").cast("int").alias("total_ac"), "first_try_rate", "cf_rank")
+    IO.write_quoted_csv(prof, path)
+    experts = IO.read_profiles_csv(spark, path).filter(F.col("cf_rank").isin("expert")).select(
+        F.col("handle").cast("long").alias("user_key"))
+    rows = IO.filter_by_users(td.att_scale(spark, inp.sf_dir), experts)
+    return rows.groupBy("user_key").agg(F.count(F.lit(1)).alias("n_attempts"), F.sum("is_ac").cast("bigint").alias("n_ac"))
+
+
+@register("variant_ingest", Q.with_(Q.ATT_SCALE, """
+  w AS (SELECT user_key, item, item_rating, tags, submitted_at, CAST(verdict = 'OK' AS TINYINT) AS is_ac,
+               CAST(verdict <> 'OK' AS TINYINT) AS is_wa FROM att_scale
+        WHERE verdict IN ('OK', 'WRONG_ANSWER', 'TIME_LIMIT_EXCEEDED', 'MEMORY_LIMIT_EXCEEDED', 'RUNTIME_ERROR')),
+  keep AS (SELECT user_key FROM w GROUP BY user_key HAVING sum(is_ac) >= 30),
+  known AS (SELECT DISTINCT user_key FROM w
+            WHERE submitted_at < (SELECT max(submitted_at) FROM att_scale) - INTERVAL 1095 DAY)""")
+    + """ SELECT user_key, item, coalesce(item_rating, 0) AS item_rating, is_ac, is_wa FROM w
+      WHERE user_key IN (SELECT user_key FROM keep) AND len(tags) > 0
+        AND (user_key NOT IN (SELECT user_key FROM known)
+             OR submitted_at >= (SELECT max(submitted_at) FROM att_scale) - INTERVAL 365 DAY)""")
+def variant_ingest(inp):
+    """P-4 / P-11 / P-19 / P-23 / P-16 / P-9 (the self-contained variant's
+    ingest): verdict whitelist with every non-OK as a failure, strict >= 30 AC
+    users, tagged items only, and a conditional history window: users already
+    in the dataset snapshot taken three years before the newest attempt keep
+    only the last 365 days, users new since that snapshot keep everything."""
+    a = td.att_scale(inp.spark, inp.sf_dir).join(inp.items().select("item", "tags"), "item")
+    w = C.verdict_whitelist(a)
+    w = C.min_activity_filter(w, 30, strict=True)
+    w = C.tagged_only(w)
+    newest = a.agg(F.max("submitted_at")).scalar()
+    known = w.filter(F.col("submitted_at") < newest - F.expr("INTERVAL 1095 DAYS")).select("user_key").distinct()
+    since = newest - F.expr("INTERVAL 365 DAYS")
+    w = C.conditional_history(w, known, "submitted_at", since)
+    w = C.null_to_zero(w, ["item_rating"])
+    return C.select_prefixed(w.select("user_key", "item", "item_rating", "is_ac", "is_wa"),
+                             ["user_key", "item", "item_rating", "is_ac", "is_wa"])
