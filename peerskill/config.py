@@ -114,9 +114,10 @@ GROWTH_GBT = dict(max_iter=600, step_size=0.03, max_depth=5, min_instances=30, s
 class KnnConfig:
     k: int = K_NEIGHBORS
     metric: str = "euclidean"
-    # Target rows per KNN block; population blocks have the same size.  Each
-    # block pair is one task that keeps only the k best per target.
-    block_rows: int = 2048
+    # Rows per KNN block.  Each block pair is one task that computes at most
+    # block_rows^2 distances (BLAS, row chunks of 512) and keeps only the k
+    # best per row; the shuffle is N * ceil(N / block_rows) rows.
+    block_rows: int = 8192
 
 
 @dataclass(frozen=True)

@@ -47,3 +47,72 @@ def distance_matrix(t: np.ndarray, p: np.ndarray, metric: str = "euclidean", chu
             d = tc[:, None, :] - p[None, :, :]
             out[s:s + chunk] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
     return out
+
+
+def exact_rows(t: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of t[i] to p[i] (row-aligned pairs), computed directly."""
+    if metric == "manhattan":
+        return np.abs(t - p).sum(axis=1)
+    if metric == "cosine":
+        den = np.maximum(np.linalg.norm(t, axis=1) * np.linalg.norm(p, axis=1), 1e-12)
+        return 1.0 - (t * p).sum(axis=1) / den
+    d = t - p
+    return np.sqrt(np.einsum("ij,ij->i", d, d))
+
+
+def topk_block(t: np.ndarray, tid: np.ndarray, tg: np.ndarray, p: np.ndarray, pid: np.ndarray, pg: np.ndarray,
+               k: int, metric: str = "euclidean", chunk: int = 512):
+    """Exact k nearest of every row of ``t`` among ``p`` (pairs with equal
+    group excluded), ordered by (distance rounded to 1e-9, peer id), plus the
+    exact max distance per row.
+
+    Euclidean candidates come from the BLAS form |a|^2 + |b|^2 - 2ab with a
+    guard band wider than its rounding error, then the candidates' distances
+    are recomputed directly, so the result equals a direct computation."""
+    out_t, out_p, out_d, out_m = [], [], [], []
+    pn2 = np.einsum("ij,ij->i", p, p)
+    eps = np.finfo(np.float64).eps
+    for s in range(0, t.shape[0], chunk):
+        tc, tidc, tgc = t[s:s + chunk], tid[s:s + chunk], tg[s:s + chunk]
+        mask = tgc[:, None] == pg[None, :]
+        if metric == "euclidean":
+            tn2 = np.einsum("ij,ij->i", tc, tc)
+            d2 = np.maximum(tn2[:, None] + pn2[None, :] - 2.0 * (tc @ p.T), 0.0)
+            # bound on the rounding error of d2 (generous constant)
+            tol = 64.0 * eps * (tn2[:, None] + pn2[None, :]) * (t.shape[1] + 2)
+            approx = np.sqrt(d2)
+            slack = np.sqrt(tol)
+        elif metric == "cosine":
+            approx = distance_matrix(tc, p, "cosine")
+            slack = np.zeros_like(approx)
+        else:
+            approx = distance_matrix(tc, p, metric)
+            slack = np.zeros_like(approx)
+        approx = np.where(mask, np.inf, approx)
+        far = np.where(mask, -np.inf, approx + slack)
+        for i in range(tc.shape[0]):
+            row = approx[i]
+            valid = np.isfinite(row)
+            nv = int(valid.sum())
+            if nv == 0:
+                continue
+            kk = min(k, nv)
+            kth = np.partition(row[valid], kk - 1)[kk - 1]
+            cand = np.nonzero(row - slack[i] <= kth + slack.max(initial=0.0) + 2e-9)[0]
+            cand = cand[valid[cand]]
+            exact = exact_rows(np.repeat(tc[i:i + 1], cand.shape[0], axis=0), p[cand], metric)
+            order = np.lexsort((pid[cand], np.round(exact, 9)))[:kk]
+            sel = cand[order]
+            # exact max distance: recompute the few points that can be the max
+            fmax = far[i].max()
+            top = np.nonzero(far[i] >= fmax - 2 * slack[i].max(initial=0.0) - 1e-12)[0]
+            top = top[valid[top]]
+            dmax = exact_rows(np.repeat(tc[i:i + 1], top.shape[0], axis=0), p[top], metric).max()
+            out_t.append(np.full(sel.shape[0], tidc[i]))
+            out_p.append(pid[sel])
+            out_d.append(exact[order])
+            out_m.append(np.full(sel.shape[0], dmax))
+    if not out_t:
+        e = np.array([], dtype=np.int64)
+        return e, e, np.array([]), np.array([])
+    return np.concatenate(out_t), np.concatenate(out_p), np.concatenate(out_d), np.concatenate(out_m)

@@ -29,7 +29,8 @@ def knn_classifier(emb: DataFrame, k: int = 50, n_folds: int = 5) -> DataFrame:
     path = scratch_path(spark, "knn_folds")
     EV.stratified_folds(embedding_vectors(emb), "user_key", "label", n_folds).write.parquet(path)
     read = lambda: spark.read.parquet(path)
-    return K.knn_classify(read(), read(), read(), "label", "fold", KnnConfig(k=k))
+    v = read()
+    return K.knn_classify(v, v, read(), "label", "fold", KnnConfig(k=k))
 
 
 def classifier_accuracy(pred: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TAGS, VECTOR_TAG_FEATURES, VECTOR_USER_FEATURES, KnnConfig
-from ..functions.distance import distance_matrix
+from ..functions.distance import distance_matrix, topk_block
 
 
 # A-9 ------------------------------------------------------------------------
@@ -129,14 +129,62 @@ def knn_candidates(targets: DataFrame, population: DataFrame, cfg: KnnConfig = K
     )
 
 
+def _pair_topk(k: int, metric: str):
+    """Kernel of the symmetric block-pair search: the group holds block i and
+    block j (i <= j; one copy when i == j); emits the k best of block i among
+    block j and, when i != j, of block j among block i."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(pdf["pi"].iloc[0]), int(pdf["pj"].iloc[0])
+        blk = pdf["blk"].to_numpy()
+        parts = []
+        a, b = pdf[blk == bi], pdf[blk == bj]
+        sides = [(a, b)] if bi == bj else [(a, b), (b, a)]
+        for t, p in sides:
+            if t.empty or p.empty:
+                continue
+            r = topk_block(
+                np.vstack(t["vec"].to_numpy()).astype(np.float64), t["user_key"].to_numpy(np.int64),
+                t["grp"].to_numpy(np.int64),
+                np.vstack(p["vec"].to_numpy()).astype(np.float64), p["user_key"].to_numpy(np.int64),
+                p["grp"].to_numpy(np.int64), k, metric)
+            parts.append(pd.DataFrame({"target_key": r[0], "peer_key": r[1], "distance": r[2], "block_max": r[3]}))
+        if not parts:
+            return pd.DataFrame({"target_key": pd.Series([], dtype="int64"), "peer_key": pd.Series([], dtype="int64"),
+                                 "distance": pd.Series([], dtype="float64"), "block_max": pd.Series([], dtype="float64")})
+        return pd.concat(parts, ignore_index=True)
+
+    return fn
+
+
+def self_knn_candidates(vectors: DataFrame, cfg: KnnConfig = KnnConfig(), n_blocks: int | None = None,
+                        group_col: str | None = None) -> DataFrame:
+    """Per-block-pair candidates when every row is both target and population.
+
+    Distances are symmetric, so only block pairs i <= j are formed: a row of
+    block b is copied to the B pairs (min(b, j), max(b, j)); the shuffle is
+    N * B rows instead of 2 * N * B, and each pair is computed by one task."""
+    b = n_blocks or _n_blocks(vectors, cfg.block_rows)
+    bid = F.pmod(F.xxhash64(F.col("user_key")), F.lit(b)).cast("int")
+    grp = (F.col(group_col) if group_col else F.col("user_key")).cast("long").alias("grp")
+    base = vectors.select("user_key", "vec", grp, bid.alias("blk"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(b - 1)),
+                        lambda j: F.struct(F.least(F.col("blk"), j).alias("pi"), F.greatest(F.col("blk"), j).alias("pj")))
+    rep = base.select("*", F.explode(pairs).alias("pr")).select("user_key", "vec", "grp", "blk", "pr.pi", "pr.pj")
+    return rep.groupBy("pi", "pj").applyInPandas(_pair_topk(cfg.k, cfg.metric), _CAND_SCHEMA)
+
+
 def nearest_peers(targets: DataFrame, population: DataFrame, cfg: KnnConfig = KnnConfig(),
                   n_blocks: int | None = None, group_col: str | None = None) -> DataFrame:
     """E-3: peers(target_key, peer_key, rank, distance, similarity, display_similarity).
 
     similarity          = (1 - (d - d_first) / (d_last - d_first)) * 100, range 1 if equal (W-2)
     display_similarity  = max(0, 1 - d / d_max_all) * 100, 100 when d_max_all = 0 (W-3, V-7)
-    Kept at full precision; round in sinks only."""
-    cand = knn_candidates(targets, population, cfg, n_blocks, group_col)
+    Kept at full precision; round in sinks only.  Passing the same DataFrame
+    as targets and population takes the symmetric block-pair path."""
+    if targets is population:
+        cand = self_knn_candidates(targets, cfg, n_blocks, group_col)
+    else:
+        cand = knn_candidates(targets, population, cfg, n_blocks, group_col)
     w = Window.partitionBy("target_key").orderBy(F.round("distance", 9), "peer_key")
     ranked = (
         cand.withColumn("d_max_all", F.max("block_max").over(Window.partitionBy("target_key")))
@@ -164,8 +212,12 @@ def knn_classify(targets: DataFrame, population: DataFrame, labels: DataFrame, l
     ties.  The three inputs are independent reads of one written table of
     (user_key, vec, label, fold): a self-join of one DataFrame object through
     a cogrouped pandas function is not resolved reliably by the analyzer."""
-    peers = nearest_peers(targets.select("user_key", "vec", fold_col), population.select("user_key", "vec", fold_col),
-                          cfg, group_col=fold_col)
+    if targets is population:
+        v = targets.select("user_key", "vec", fold_col)
+        peers = nearest_peers(v, v, cfg, group_col=fold_col)          # symmetric block pairs
+    else:
+        peers = nearest_peers(targets.select("user_key", "vec", fold_col),
+                              population.select("user_key", "vec", fold_col), cfg, group_col=fold_col)
     lab = labels.select(F.col("user_key").alias("peer_key"), F.col(label_col).alias("_lab"))
     votes = peers.join(lab, "peer_key").groupBy("target_key", "_lab").agg(F.count(F.lit(1)).alias("_n"))
     best = votes.groupBy("target_key").agg(F.max(F.struct(F.col("_n"), (-F.col("_lab")).alias("_neg"))).alias("_b"))
