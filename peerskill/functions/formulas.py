@@ -46,6 +46,7 @@ def rating_boost(rating: Column, max_rating: Column) -> Column:
 
 
 def efficiency_score(first_try: Column) -> Column:
+    """clip(first-try rate) (F-4)."""
     return clip01(first_try)
 
 

@@ -132,7 +132,7 @@ def clean_attempts(df: DataFrame, items: DataFrame, min_accepted: int = MIN_ACCE
 # P-14 .. P-23 ----------------------------------------------------------------
 
 def clean_handles(df: DataFrame, col: str = "handle") -> DataFrame:
-    """P-14: strip any whitespace, then leading ``=+-@``; drop '#NAME?', null, empty.
+    """P-14 (F-31 string helpers: strip, lstrip set, compare): strip any whitespace, then leading ``=+-@``; drop '#NAME?', null, empty.
 
     Strip first, then test (V-24): ``=#NAME?`` cleans to ``#NAME?`` and is dropped."""
     stripped = F.regexp_replace(F.col(col), r"^\s+|\s+$", "")

@@ -145,7 +145,7 @@ def loo_user_metrics(peers: DataFrame, user_tag: DataFrame, threshold: float = W
             .groupBy("target_key", "tag").agg(F.avg("s").alias("c")))
     t = s.withColumnRenamed("user_key", "target_key").join(cent, ["target_key", "tag"])
     t = t.withColumn("rt", avg_rank(["target_key"], "s")).withColumn("rc", avg_rank(["target_key"], "c"))
-    tw, cw = F.col("s") < threshold, F.col("c") < threshold
+    tw, cw = F.col("s") < threshold, F.col("c") < threshold   # F-30 weak-tag predicate
     per = t.groupBy("target_key").agg(
         F.count_if(tw & cw).alias("n_inter"), F.count_if(tw | cw).alias("n_union"), F.count_if(tw).alias("n_tweak"),
         F.avg((F.col("s") - F.col("c")) * (F.col("s") - F.col("c"))).alias("tag_mse"),

@@ -24,6 +24,7 @@ PROFILE_FEATURES = [
 def success_frame(pairs: DataFrame, items: DataFrame, user_tag: DataFrame, profiles: DataFrame) -> DataFrame:
     """M-1: one row per rated (user, item) of users in the skill table, the
     29 features, solve_score target (F-13) and a deterministic 80/20 split."""
+    # J-4: semi-join to the users of the skill table
     rated = pairs.filter(F.col("item_rating") > 0).join(user_tag.select("user_key").distinct(), "user_key", "left_semi")
     smap = R.strength_map(user_tag, "user_key", "tag_strength", "smap")
     n_solved = rated.filter(F.col("ever_ac") == 1).groupBy("user_key").agg(F.count(F.lit(1)).alias("num_solved"))
@@ -50,7 +51,7 @@ def attempts_frame(success: DataFrame) -> DataFrame:
 
 
 def growth_frame(profiles: DataFrame, user_tag: DataFrame) -> DataFrame:
-    """M-2: profile features + 20 strengths (inner join, null -> 0), target
+    """M-2: profile features + 20 strengths (J-3 inner join, null -> 0), target
     growth = greatest(max_rating - rating, 0) (F-15); one row per user."""
     piv = S.strength_pivot(user_tag, fill=0.0)
     prof = profiles.dropDuplicates(["user_key"])  # V-12

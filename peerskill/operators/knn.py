@@ -158,7 +158,8 @@ def _pair_topk(k: int, metric: str):
 
 def self_knn_candidates(vectors: DataFrame, cfg: KnnConfig = KnnConfig(), n_blocks: int | None = None,
                         group_col: str | None = None) -> DataFrame:
-    """Per-block-pair candidates when every row is both target and population.
+    """Per-block-pair candidates when every row is both target and population
+    (J-9: the all-pairs leave-one-out join, self excluded by the group mask).
 
     Distances are symmetric, so only block pairs i <= j are formed: a row of
     block b is copied to the B pairs (min(b, j), max(b, j)); the shuffle is

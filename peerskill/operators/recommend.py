@@ -121,7 +121,9 @@ def candidate_features(pool: DataFrame, ctx: DataFrame) -> DataFrame:
 
 def prioritise(features: DataFrame, peer_strength: DataFrame, cfg: RecommendConfig = RecommendConfig(),
                success_scorer=SC.sql_success_scorer, attempts_scorer=SC.sql_attempts_scorer) -> DataFrame:
-    """M-16: score, keep the sweet spot, weakness boost, final score, order by
+    """M-16: score, keep the sweet spot (P-20), weakness boost (F-20: mean of
+    (1 - user) x peer over the item's tags), difficulty match (F-19), final
+    score (F-21: alpha x match + beta x boost), order by
     (weakness_boost desc, final_score desc, item); M-19 attaches the attempts
     estimate and label to the top ``cfg.top_attempts``."""
     scored = success_scorer(features).filter(F.col("solve_score").between(cfg.sweet_lo, cfg.sweet_hi))
@@ -142,7 +144,7 @@ def prioritise(features: DataFrame, peer_strength: DataFrame, cfg: RecommendConf
     w = Window.partitionBy("target_key").orderBy(
         F.round("weakness_boost", 9).desc(), F.round("final_score", 9).desc(), "item")
     s = s.withColumn("rec_rank", F.row_number().over(w))
-    # M-19 on the top ``top_attempts`` only: a guarded column, no join back
+    # M-19 / J-13 on the top ``top_attempts`` only: a guarded column, no join back
     s = attempts_scorer(s)
     est = F.when(F.col("rec_rank") <= cfg.top_attempts, SC.clip_attempts(F.col("attempts_raw")))
     return s.withColumn("estimated_attempts", est).withColumn(

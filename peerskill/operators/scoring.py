@@ -35,7 +35,7 @@ def strength_lookup(smap: Column, tags: Column) -> Column:
 
 def feature_columns(tags: Column, rating: Column, user_rating: Column, num_solved: Column,
                     strengths: Column) -> list[Column]:
-    """F-16..F-18 from an item tag array and the matching user strengths
+    """F-16..F-18 (F-17: active-tag mean / min / max) from an item tag array and the matching user strengths
     (inference semantics: no tags -> mean/min/max 0, V-8)."""
     n = F.size(strengths)
     mean = F.when(n > 0, F.aggregate(strengths, F.lit(0.0), lambda a, x: a + x) / n).otherwise(F.lit(0.0))

@@ -106,7 +106,9 @@ def derive_profiles(pairs: DataFrame, items: DataFrame, ratings: DataFrame) -> D
 # A-4: per-(user, tag) aggregate over attempt rows -------------------------------
 
 def user_tag_aggregate(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """A-4 at attempt grain, computed from the (user, item) table: every
+    """A-4 at attempt grain (A-7: the tag unpivot is an explode of the item's
+    active-tag array; X-2: the group-apply lambdas are conditional
+    aggregates), computed from the (user, item) table: every
     attempt row of an item counts once for each of the item's tags, so the
     per-tag counts are sums of the per-item counts and the attempt-weighted
     rating means are sum(n * rating) / sum(n) (exact: ratings are integers)."""

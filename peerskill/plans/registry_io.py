@@ -21,12 +21,17 @@ from .catalog import register, rounded_select
       array_to_string(tags, ',') AS tags_csv
     FROM (SELECT *, item_key AS k_ FROM att_scale) WHERE item_rating > 0""")
 def raw_records_flatten(inp):
-    """S-5 / P-1..P-5 / F-33: nested JSON dumps written from the attempt log,
-    read back with an explicit schema and flattened (rows without rating dropped)."""
+    """S-5 / P-1..P-5 / F-33 / J-14: nested JSON dumps written from the attempt
+    log, read back with an explicit schema, flattened (rows without rating
+    dropped) and completed from the item catalogue."""
     a = td.att_scale(inp.spark, inp.sf_dir).join(inp.items().select("item", "tags"), "item")
     path = scratch_path(inp.spark, "raw_records")
     IO.attempts_to_raw_records(a).write.json(path)
     flat = IO.flatten_raw_records(inp.spark.read.schema(IO.RAW_RECORD_SCHEMA).json(path))
+    # J-14: the catalogue (item dimension, keyed like the records) wins over embedded fields
+    cat = inp.items().filter(F.col("item_rating") > 0).select(
+        F.concat(F.col("item_key").cast("string"), F.lit("_A")).alias("item"), "item_rating", "tags")
+    flat = IO.catalogue_fallback(flat, cat)
     return flat.select("handle", "item", "item_rating", "is_ac", "is_wa", "is_tle", "is_mle",
                        F.unix_seconds("submitted_at").alias("submitted_epoch"), "attempt_id",
                        F.array_join("tags", ",").alias("tags_csv"))
@@ -128,6 +133,7 @@ def crawl_plan(inp):
     att = td.att_scale(spark, inp.sf_dir)
     rated = C.rating_range(inp.ratings(), "cf_rating", 900, 3500).select("user_key")
     since = att.agg(F.max("submitted_at")).scalar() - F.expr("INTERVAL 90 DAYS")
+    # P-18 + U-5 distinct handles + J-16 semi-join to rated users
     part = C.recent_window(att, "submitted_at", since).select("user_key").distinct().join(rated, "user_key", "left_semi")
     known = inp.pairs_table().select("user_key").distinct().withColumn("_k", F.lit(1))
     flagged = part.join(known, "user_key", "left").select(
