@@ -142,3 +142,16 @@ def plan_bounds(rating: Column) -> list[Column]:
         F.least(F.lit(3500), rating + 100).alias("comfort_ceiling"),
         F.least(F.lit(3500), rating + 300).alias("stretch_ceiling"),
     ]
+
+
+# F-32: time helpers ----------------------------------------------------------
+
+def epoch_micros_ntz(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of a ``timestamp_ntz`` value, without any
+    session time zone (a difference of two zone-less timestamps)."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
+def epoch_seconds_ntz(ts: Column) -> Column:
+    """Whole seconds since the epoch (floor) of a ``timestamp_ntz`` value."""
+    return F.floor(epoch_micros_ntz(ts) / F.lit(1_000_000)).cast("long")

@@ -27,7 +27,9 @@ def order_key_num(tie: Column | None = None) -> Column:
     (for 0 <= attempt_id < 10^13, tie in 0..9), but min/max over it stay hash
     aggregates with map-side partial aggregation (a struct forces a sort
     aggregate).  A null timestamp gives a null key, ignored by min/max."""
-    k = (F.unix_micros(F.col("submitted_at").cast("timestamp")).cast(_D) * F.lit(10 ** 14).cast(_D)
+    from ..functions.formulas import epoch_micros_ntz
+
+    k = (epoch_micros_ntz(F.col("submitted_at")).cast(_D) * F.lit(10 ** 14).cast(_D)
          + F.col("attempt_id").cast(_D) * F.lit(10).cast(_D))
     if tie is not None:
         k = k + tie.cast(_D)

@@ -26,10 +26,13 @@ def _run(query_builder, name: str, spark: SparkSession):
 
 # T-1 --------------------------------------------------------------------------
 
-def ingest_dedup(spark: SparkSession, attempts_stream: DataFrame, keys: list[str], delay: str = "36500 days") -> DataFrame:
+def ingest_dedup(spark: SparkSession, attempts_stream: DataFrame, keys: list[str], delay: str = "7 days") -> DataFrame:
     """New attempts appended with duplicates of ``keys`` dropped inside the
     watermark (``dropDuplicatesWithinWatermark``); state per key is released
-    once the watermark passes it.  Returns the written table."""
+    once the watermark passes it, so state is bounded by the keys seen within
+    ``delay`` of the newest event time (weekly crawls -> 7 days).  A duplicate
+    arriving later than the delay is kept - the documented difference to the
+    batch dedup.  Returns the written table."""
     out = scratch_path(spark, "t1-ingest")
     s = (attempts_stream.withColumn("event_time", F.col("submitted_at").cast("timestamp"))
          .withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys).drop("event_time"))
@@ -49,7 +52,9 @@ def upsert_newest(existing: DataFrame | None, updates: DataFrame, keys: list[str
 
 class VersionedTable:
     """A table rewritten as a new version folder per micro-batch (no in-place
-    overwrite of files that are being read)."""
+    overwrite of files that are being read).  Without a transactional table
+    format on the classpath each micro-batch rewrites the table; with one, the
+    merge step becomes a MERGE INTO on the same keys."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.version = spark, scratch_path(spark, name), None
