@@ -41,9 +41,13 @@ def collaborative_candidates(peers: DataFrame, pairs: DataFrame, items: DataFram
     items stay with score 0, V-6), inner-joined to rated item metadata and cut
     to the top ``limit`` per target by (score desc, item)."""
     solved = solved_pairs(pairs)
+    # the peer side keeps only rated items (J-7 drops the rest anyway): the
+    # join below is the O(N x k x solved) step of E-4, so shrink it first;
+    # partial aggregation on (target, item) follows in the same stage
+    peer_solved = solved_pairs(pairs.filter(F.col("item_rating") > 0))
     w = peers.select("target_key", "peer_key", (F.col(weight_col) / 100.0).alias("w"))
     pool = (
-        w.join(solved.withColumnRenamed("user_key", "peer_key"), "peer_key")
+        w.join(peer_solved.withColumnRenamed("user_key", "peer_key"), "peer_key")
         .join(solved.withColumnRenamed("user_key", "target_key"), ["target_key", "item"], "left_anti")
         .groupBy("target_key", "item")
         .agg(F.sum("w").alias("collab_score"))
