@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import parallelism as _parallelism
+
 from ..config import TAGS, WEAK_THRESHOLD
 
 
@@ -31,7 +33,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str, n_parts:
     (rows with equal order value get the same prefix).  Range-partitioned so
     equal keys share a partition; per-partition totals (one row each) give the
     offsets; inside a partition a window over that partition only."""
-    n_parts = n_parts or df.sparkSession.sparkContext.defaultParallelism
+    n_parts = n_parts or _parallelism(df.sparkSession)
     g = df.groupBy(order_col).agg(F.sum(value_col).alias("_v"))
     ranged = g.repartitionByRange(n_parts, order_col).withColumn("_pid", F.spark_partition_id())
     ranged = ranged.checkpoint(eager=True)

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import parallelism as _parallelism
+
 from ..config import TAGS, VECTOR_TAG_FEATURES, VECTOR_USER_FEATURES, KnnConfig
 from ..functions.distance import distance_matrix, topk_block
 
@@ -103,7 +105,7 @@ def _n_blocks(vectors: DataFrame, block_rows: int) -> int:
     """B = ceil(N / block_rows), but at least enough blocks that the B^2 block
     pairs keep every core busy (B^2 >= 2 x default parallelism)."""
     n = vectors.count()  # one scalar; sizes the block grid
-    par = vectors.sparkSession.sparkContext.defaultParallelism
+    par = _parallelism(vectors.sparkSession)
     by_size = math.ceil(n / max(1, block_rows))
     by_cores = math.ceil(math.sqrt(2 * par))
     return max(1, min(max(by_size, by_cores), max(1, n)))

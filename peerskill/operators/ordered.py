@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import parallelism as _parallelism
+
 from ..config import DEFAULT_RATING, LATEST_N
 
 
@@ -196,7 +198,7 @@ def global_rank(df: DataFrame, order_cols: list[Column], n_parts: int | None = N
     window: range-partition and checkpoint (so partition contents are fixed),
     count rows per partition (one row per partition), prefix-sum the counts
     over that small table, and add the row number inside each partition."""
-    n_parts = n_parts or df.sparkSession.sparkContext.defaultParallelism
+    n_parts = n_parts or _parallelism(df.sparkSession)
     ranged = df.repartitionByRange(n_parts, *order_cols).withColumn("_pid", F.spark_partition_id())
     ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

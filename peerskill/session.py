@@ -40,11 +40,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="peerskill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+    try:  # classic sessions: DataFrame.checkpoint() uses the context's folder
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(conf_dir)
+    except Exception:  # noqa: BLE001 - Spark Connect: the conf alone is used
+        pass
     return conf_dir
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Default parallelism of the cluster (shuffle partitions under Spark Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
