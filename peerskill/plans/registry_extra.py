@@ -69,7 +69,7 @@ def plan_bounds(inp):
 
 
 @register("top5_by_final_score", Q.with_(*_PEERS, Q.recommend()) + """ SELECT target_key, item, round(final_score, 6) AS final_score,
-      final_pos FROM (SELECT *, row_number() OVER (PARTITION BY target_key ORDER BY round(final_score, 9) DESC, item) AS final_pos
+      final_pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target_key ORDER BY round(final_score, 9) DESC, item) AS INTEGER) AS final_pos
       FROM recs) WHERE final_pos <= 5""")
 def top5_by_final_score(inp):
     """L-8: five best recommendations per user by final score."""
@@ -96,7 +96,7 @@ acc AS (SELECT user_key, tag, solved, failed, CAST(floor(solved * 100.0 / (solve
 
 @register("accuracy_vs_strength", Q.with_(*_PEERS, Q.item_stats(), Q.bench(), _ACC) + """ SELECT a.user_key, a.tag, a.solved, a.failed,
       a.accuracy, round(coalesce(b.strength, -1.0), 6) AS strength,
-      row_number() OVER (PARTITION BY a.user_key ORDER BY coalesce(b.strength, 101.0), a.tag) AS sort_pos
+      CAST(row_number() OVER (PARTITION BY a.user_key ORDER BY coalesce(b.strength, 101.0), a.tag) AS INTEGER) AS sort_pos
     FROM acc a LEFT JOIN bench b ON b.target_key = a.user_key AND b.tag = a.tag""")
 def accuracy_vs_strength(inp):
     """J-15 / A-32: per-tag accuracy of the attempt log beside the peer strength

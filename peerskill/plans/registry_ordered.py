@@ -105,7 +105,7 @@ def stat_cards(inp):
 @register(
     "latest_attempts",
     Q.with_(Q.ATT_ORDER) + """ SELECT user_key, item, submitted_at, attempt_id, recency_rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY submitted_at DESC, attempt_id DESC) AS recency_rank
+      SELECT *, CAST(row_number() OVER (PARTITION BY user_key ORDER BY submitted_at DESC, attempt_id DESC) AS INTEGER) AS recency_rank
       FROM att_order) WHERE recency_rank <= 500""",
 )
 def latest_attempts(inp):

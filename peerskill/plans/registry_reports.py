@@ -100,7 +100,7 @@ def difficulty_label_counts(inp):
 
 
 @register("weakest_strongest_tags", Q.with_(*_PEERS, Q.item_stats(), Q.bench()) + """ SELECT target_key, tag, round(strength, 6) AS strength,
-      CASE WHEN wp <= 5 THEN wp ELSE 0 END AS weak_pos, CASE WHEN sp <= 5 THEN sp ELSE 0 END AS strong_pos FROM (
+      CAST(CASE WHEN wp <= 5 THEN wp ELSE 0 END AS INTEGER) AS weak_pos, CAST(CASE WHEN sp <= 5 THEN sp ELSE 0 END AS INTEGER) AS strong_pos FROM (
         SELECT b.*, row_number() OVER (PARTITION BY target_key ORDER BY strength, d.ord) AS wp,
                row_number() OVER (PARTITION BY target_key ORDER BY strength DESC, d.ord) AS sp
         FROM bench b JOIN tag_dim d USING (tag) WHERE attempted >= 1) WHERE wp <= 5 OR sp <= 5""")

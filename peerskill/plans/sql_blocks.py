@@ -277,7 +277,7 @@ pool0 AS (
 pool AS (
   SELECT * FROM (
     SELECT p.*, i.item_rating, i.tags,
-           row_number() OVER (PARTITION BY p.target_key ORDER BY round(p.collab_score, 9) DESC, p.item) AS pool_rank
+           CAST(row_number() OVER (PARTITION BY p.target_key ORDER BY round(p.collab_score, 9) DESC, p.item) AS INTEGER) AS pool_rank
     FROM pool0 p JOIN items i ON i.item = p.item) WHERE pool_rank <= {limit}
 ),
 ctx AS (
@@ -320,7 +320,7 @@ ranked AS (
   FROM scored WHERE solve_score BETWEEN -0.2 AND 0.8
 ),
 recs0 AS (
-  SELECT *, row_number() OVER (PARTITION BY target_key ORDER BY round(weakness_boost, 9) DESC, round(final_score, 9) DESC, item) AS rec_rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY target_key ORDER BY round(weakness_boost, 9) DESC, round(final_score, 9) DESC, item) AS INTEGER) AS rec_rank
   FROM ranked
 ),
 recs AS (
