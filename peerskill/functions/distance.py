@@ -61,57 +61,60 @@ def exact_rows(t: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
 
 
 def topk_block(t: np.ndarray, tid: np.ndarray, tg: np.ndarray, p: np.ndarray, pid: np.ndarray, pg: np.ndarray,
-               k: int, metric: str = "euclidean", chunk: int = 512):
+               k: int, metric: str = "euclidean", chunk: int = 256):
     """Exact k nearest of every row of ``t`` among ``p`` (pairs with equal
     group excluded), ordered by (distance rounded to 1e-9, peer id), plus the
-    exact max distance per row.
+    exact max distance per row.  Fully vectorised per chunk of target rows.
 
     Euclidean candidates come from the BLAS form |a|^2 + |b|^2 - 2ab with a
-    guard band wider than its rounding error, then the candidates' distances
-    are recomputed directly, so the result equals a direct computation."""
+    guard band wider than its rounding error (so every true top-k member and
+    every 1e-9 tie is a candidate), then the candidates' distances are
+    recomputed directly: the result equals a direct computation."""
     out_t, out_p, out_d, out_m = [], [], [], []
     pn2 = np.einsum("ij,ij->i", p, p)
     eps = np.finfo(np.float64).eps
+    kcap = min(k, p.shape[0])
+    if kcap == 0:
+        e = np.array([], dtype=np.int64)
+        return e, e, np.array([]), np.array([])
     for s in range(0, t.shape[0], chunk):
         tc, tidc, tgc = t[s:s + chunk], tid[s:s + chunk], tg[s:s + chunk]
-        mask = tgc[:, None] == pg[None, :]
+        valid = tgc[:, None] != pg[None, :]
         if metric == "euclidean":
             tn2 = np.einsum("ij,ij->i", tc, tc)
             d2 = np.maximum(tn2[:, None] + pn2[None, :] - 2.0 * (tc @ p.T), 0.0)
-            # bound on the rounding error of d2 (generous constant)
-            tol = 64.0 * eps * (tn2[:, None] + pn2[None, :]) * (t.shape[1] + 2)
+            slack = np.sqrt(64.0 * eps * (t.shape[1] + 2) * (tn2[:, None] + pn2[None, :]))
             approx = np.sqrt(d2)
-            slack = np.sqrt(tol)
-        elif metric == "cosine":
-            approx = distance_matrix(tc, p, "cosine")
-            slack = np.zeros_like(approx)
         else:
             approx = distance_matrix(tc, p, metric)
             slack = np.zeros_like(approx)
-        approx = np.where(mask, np.inf, approx)
-        far = np.where(mask, -np.inf, approx + slack)
-        for i in range(tc.shape[0]):
-            row = approx[i]
-            valid = np.isfinite(row)
-            nv = int(valid.sum())
-            if nv == 0:
-                continue
-            kk = min(k, nv)
-            kth = np.partition(row[valid], kk - 1)[kk - 1]
-            cand = np.nonzero(row - slack[i] <= kth + slack.max(initial=0.0) + 2e-9)[0]
-            cand = cand[valid[cand]]
-            exact = exact_rows(np.repeat(tc[i:i + 1], cand.shape[0], axis=0), p[cand], metric)
-            order = np.lexsort((pid[cand], np.round(exact, 9)))[:kk]
-            sel = cand[order]
-            # exact max distance: recompute the few points that can be the max
-            fmax = far[i].max()
-            top = np.nonzero(far[i] >= fmax - 2 * slack[i].max(initial=0.0) - 1e-12)[0]
-            top = top[valid[top]]
-            dmax = exact_rows(np.repeat(tc[i:i + 1], top.shape[0], axis=0), p[top], metric).max()
-            out_t.append(np.full(sel.shape[0], tidc[i]))
-            out_p.append(pid[sel])
-            out_d.append(exact[order])
-            out_m.append(np.full(sel.shape[0], dmax))
+        approx = np.where(valid, approx, np.inf)
+        nv = valid.sum(axis=1)
+        kk = np.minimum(kcap, nv)
+        kth = np.partition(approx, kcap - 1, axis=1)[:, kcap - 1]          # inf when fewer valid than kcap
+        maxslack = slack.max(axis=1)
+        cand = valid & (approx - slack <= (kth + maxslack + 2e-9)[:, None])
+        ri, ci = np.nonzero(cand)
+        if ri.size == 0:                     # no valid peer in this block for any row
+            continue
+        exact = exact_rows(tc[ri], p[ci], metric)
+        order = np.lexsort((pid[ci], np.round(exact, 9), ri))
+        ri, ci, exact = ri[order], ci[order], exact[order]
+        starts = np.r_[0, np.flatnonzero(np.diff(ri)) + 1]
+        first = np.zeros(tc.shape[0], dtype=np.int64)
+        first[ri[starts]] = starts
+        keep = (np.arange(ri.shape[0]) - first[ri]) < kk[ri]
+        ri, ci, exact = ri[keep], ci[keep], exact[keep]
+        # exact max distance: only points whose upper bound can reach the max
+        far = np.where(valid, approx + slack, -np.inf)
+        fmax = far.max(axis=1)
+        mi, mj = np.nonzero(valid & (far >= (fmax - 2 * maxslack - 1e-12)[:, None]))
+        dmax = np.full(tc.shape[0], -np.inf)
+        np.maximum.at(dmax, mi, exact_rows(tc[mi], p[mj], metric))
+        out_t.append(tidc[ri])
+        out_p.append(pid[ci])
+        out_d.append(exact)
+        out_m.append(dmax[ri])
     if not out_t:
         e = np.array([], dtype=np.int64)
         return e, e, np.array([]), np.array([])

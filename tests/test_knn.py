@@ -48,3 +48,32 @@ def test_all_distances_equal(spark):
     assert (got["display_similarity"] == 100.0).all()     # V-7: no division by zero
     assert (got["similarity"] == 100.0).all()
     assert got.groupby("target_key").size().eq(3).all()
+
+
+def test_topk_block_kernel_matches_sort():
+    """The vectorised block kernel against a plain sort, many random shapes."""
+    from peerskill.functions.distance import topk_block
+
+    rng = np.random.default_rng(11)
+    for trial in range(60):
+        nt, npop, dim = rng.integers(1, 40), rng.integers(1, 60), rng.integers(1, 6)
+        k = int(rng.integers(1, 70))
+        scale = [1.0, 1e-6, 1e6][trial % 3]
+        t = rng.integers(0, 3, size=(nt, dim)).astype(float) * scale
+        p = rng.integers(0, 3, size=(npop, dim)).astype(float) * scale
+        tid = np.arange(nt, dtype=np.int64)
+        pid = rng.permutation(npop).astype(np.int64) + 1000
+        tg = rng.integers(0, 4, nt).astype(np.int64)
+        pg = rng.integers(0, 4, npop).astype(np.int64)
+        got_t, got_p, got_d, got_m = topk_block(t, tid, tg, p, pid, pg, k, chunk=7)
+        for i in range(nt):
+            ok = pg != tg[i]
+            if not ok.any():
+                assert not (got_t == tid[i]).any()
+                continue
+            d = np.sqrt(((p[ok] - t[i]) ** 2).sum(axis=1))
+            order = np.lexsort((pid[ok], np.round(d, 9)))[:k]
+            sel = got_t == tid[i]
+            assert list(got_p[sel]) == list(pid[ok][order])
+            assert np.allclose(got_d[sel], d[order])
+            assert np.allclose(got_m[sel], d.max())
