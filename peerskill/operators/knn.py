@@ -38,17 +38,37 @@ def vector_dims() -> list[str]:
     return [f"{f}__{t}" for f in VECTOR_TAG_FEATURES for t in TAGS] + list(VECTOR_USER_FEATURES)
 
 
-def knn_vectors(user_tag: DataFrame) -> DataFrame:
+def knn_vectors(user_tag: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     """One ``array<double>`` per user: 4 features x 20 tags + 2 user-level,
     missing tag -> 0.  One hash aggregate with 82 conditional maxima (what a
-    pivot with an explicit value list compiles to)."""
+    pivot with an explicit value list compiles to).
+
+    V-2 option: with ``fallback`` = (user_key, global_acceptance,
+    global_difficulty) (A-23), an unattempted tag takes the user's global
+    acceptance / difficulty instead of 0 (specialization and volume stay 0)."""
+    fb_for = {"acceptance_rate": "global_acceptance", "difficulty_score": "global_difficulty"}
+    cells = {}
     aggs = []
     for f in VECTOR_TAG_FEATURES:
         for t in TAGS:
-            aggs.append(F.coalesce(F.max(F.when(F.col("tag") == t, F.col(f))), F.lit(0.0)))
+            name = f"_{f}__{t}"
+            cells[name] = f
+            aggs.append(F.max(F.when(F.col("tag") == t, F.col(f))).cast("double").alias(name))
     for f in VECTOR_USER_FEATURES:
-        aggs.append(F.coalesce(F.max(F.col(f)), F.lit(0.0)))
-    return user_tag.groupBy("user_key").agg(F.array(*[a.cast("double") for a in aggs]).alias("vec"))
+        aggs.append(F.max(F.col(f)).cast("double").alias(f"_{f}"))
+    wide = user_tag.groupBy("user_key").agg(*aggs)
+    if fallback is not None:
+        wide = wide.join(fallback.select("user_key", *fb_for.values()), "user_key", "left")
+
+    def cell(name):
+        f = cells.get(name)
+        if fallback is not None and f in fb_for:
+            return F.coalesce(F.col(name), F.col(fb_for[f]), F.lit(0.0))
+        return F.coalesce(F.col(name), F.lit(0.0))
+
+    coords = [cell(f"_{f}__{t}") for f in VECTOR_TAG_FEATURES for t in TAGS]
+    coords += [F.coalesce(F.col(f"_{f}"), F.lit(0.0)) for f in VECTOR_USER_FEATURES]
+    return wide.select("user_key", F.array(*coords).alias("vec"))
 
 
 # J-8 / W-1..W-3 ---------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import TAGS
 from . import sql_blocks as Q
 from .catalog import register, rounded_select
 
@@ -92,3 +93,27 @@ _POOL_COLS = ["target_key", "item", "item_rating", "collab_score", "pool_rank"]
 def candidate_pool(inp):
     """A-16 / J-5 / J-7 / L-1: top-200 unsolved items by summed peer weight."""
     return inp.pool().select(*_POOL_COLS)
+
+
+@register(
+    "knn_vectors_fallback",
+    Q.with_(Q.ATT_SCALE, Q.clean(), Q.profiles(), Q.user_tag(), Q.per_item("clean", "fpi"), """
+  fb AS (SELECT user_key, least((sum(ever_ac) + 1.0) / (count(*) + 2.0), 1.0) AS ga,
+                least(coalesce(avg(item_rating) FILTER (WHERE ever_ac = 1), 0.0) / 3500.0, 1.0) AS gd
+         FROM fpi WHERE item_rating > 0 GROUP BY user_key),
+  vf AS (SELECT u.user_key, [""" + ", ".join(
+        [f"coalesce(max(acceptance_rate) FILTER (WHERE tag = '{t}'), any_value(fb.ga), 0.0)" for t in TAGS]
+        + [f"coalesce(max(difficulty_score) FILTER (WHERE tag = '{t}'), any_value(fb.gd), 0.0)" for t in TAGS]
+        + [f"coalesce(max(specialization_score) FILTER (WHERE tag = '{t}'), 0.0)" for t in TAGS]
+        + [f"coalesce(max(volume_score) FILTER (WHERE tag = '{t}'), 0.0)" for t in TAGS]
+        + ["coalesce(max(rating_boost), 0.0)", "coalesce(max(efficiency_score), 0.0)"]) + """]::DOUBLE[] AS vec
+         FROM user_tag u LEFT JOIN fb ON fb.user_key = u.user_key GROUP BY u.user_key)""")
+    + " SELECT user_key, CAST(d.i - 1 AS INTEGER) AS dim, round(vec[d.i], 6) AS value FROM vf, range(1, 83) d(i)",
+)
+def knn_vectors_fallback(inp):
+    """A-9 with the V-2 option: unattempted tags take the user's A-23 global acceptance / difficulty."""
+    from ..operators import knn as K
+    from ..operators import skill as S
+
+    v = K.knn_vectors(inp.user_tag_table(), fallback=S.global_fallback(inp.pairs_table()))
+    return v.select("user_key", F.posexplode("vec").alias("dim", "value"))
