@@ -29,3 +29,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .substring_dedup import substring_dedup
+
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op8_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13
+), k AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS win FROM s
+), f AS (
+  SELECT win, min(doc_id) AS d FROM k GROUP BY win HAVING min(doc_id) < max(doc_id)
+), h AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM (SELECT k.doc_id, k.i FROM k JOIN f USING (win) WHERE f.d < k.doc_id)
+), g AS (
+  SELECT doc_id, list(p) AS ps FROM h GROUP BY doc_id
+), z AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+         list_filter(ws, lambda x, i: NOT list_contains(coalesce(ps, []), i)) AS kept
+  FROM w LEFT JOIN g USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM z
+"""
