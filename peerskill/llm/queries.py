@@ -73,3 +73,36 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import scratch_path
+    from .warc import read_warc, write_warc
+
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "warc")
+    write_warc(pages, path)
+    return read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op5_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages
+), f AS (
+  SELECT sha, min(page_id) AS first_id FROM p GROUP BY sha
+), b AS (
+  SELECT p.*, first_id,
+         array_to_string(list_transform(range(1, 41),
+           lambda i: list_extract(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'],
+             strpos('0123456789abcdef', sha[i:i]))), '') AS bits
+  FROM p JOIN f USING (sha)
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    16 * CAST(bits[5*j+1:5*j+1] AS INT) + 8 * CAST(bits[5*j+2:5*j+2] AS INT) + 4 * CAST(bits[5*j+3:5*j+3] AS INT)
+    + 2 * CAST(bits[5*j+4:5*j+4] AS INT) + CAST(bits[5*j+5:5*j+5] AS INT) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM b
+"""
