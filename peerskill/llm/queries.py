@@ -106,3 +106,10 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id > first_id THEN first_id END AS refers_to
 FROM b
 """
+
+
+@register
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
