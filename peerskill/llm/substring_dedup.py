@@ -189,7 +189,7 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFram
     One shuffle of packed runs by minimiser (compressed by the mapper, equal runs of a task once), one of the hits, one of the texts by
     doc_id.  A bucket is handled by one task, in memory; hot passages are spread as ``superkmer`` says."""
     small_batches(docs.sparkSession, 256)
-    own = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    own = texts(docs).withColumn("text_hash", F.hash("text"))
     common = _common(own, k, m)
     ranges = S.by_bucket(_blobs(own, k, m, common), _handler(k), S.RANGE)
     return _kept(S.with_ranges(own, ranges), k)

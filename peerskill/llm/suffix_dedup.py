@@ -288,7 +288,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     One shuffle of packed runs (compressed by the mapper, equal runs of a task once), one of the hits, one of the texts."""
     small_batches(docs.sparkSession, 256)
-    own = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    own = texts(docs).withColumn("text_hash", F.hash("text"))
     common = _common(own, length)
     ranges = S.by_bucket(_blobs(own, length, common), _handler(length), S.RANGE)
     return _kept(with_null_ids(own, ranges))

@@ -65,7 +65,7 @@ def runs(least: np.ndarray, valid: np.ndarray, longest: int = 4096) -> tuple[np.
 
 @dataclass
 class Runs:
-    """Runs of one bucket: for each its minimiser (low bits), document (id and text hash), first place, number of windows, flag
+    """Runs of one bucket: for each its minimiser (low bits), document (id and 32-bit text hash, which tells rows with one id apart), first place, number of windows, flag
     and packed string."""
 
     key: np.ndarray
@@ -80,7 +80,7 @@ class Runs:
 def pack(rows: list[tuple]) -> bytes:
     """rows: (key, doc, text_hash, place, windows, flag, packed)."""
     key, doc, text_hash, place, windows, flag, packed = zip(*rows, strict=True)
-    cols = [np.array(key, np.uint32), np.array(doc, np.int64), np.array(text_hash, np.int64), np.array(place, np.int64),
+    cols = [np.array(key, np.uint32), np.array(doc, np.int64), np.array(text_hash, np.int32), np.array(place, np.int64),
             np.array(windows, np.int32), np.array(flag, np.uint8), np.fromiter(map(len, packed), np.int32, len(packed))]
     # bytes of equal weight side by side compress better
     head = b"".join(c.view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in cols)
@@ -88,7 +88,7 @@ def pack(rows: list[tuple]) -> bytes:
 
 
 def unpack(payloads: list[bytes]) -> Runs:
-    kinds = [np.uint32, np.int64, np.int64, np.int64, np.int32, np.uint8, np.int32]
+    kinds = [np.uint32, np.int64, np.int32, np.int64, np.int32, np.uint8, np.int32]
     cols: list[list[np.ndarray]] = [[] for _ in kinds]
     packed: list[bytes] = []
     for p in payloads:
@@ -167,11 +167,12 @@ def chunk_grams(hashes: np.ndarray, owner: np.ndarray, docs: int) -> pa.RecordBa
     )
 
 
-RANGE = "doc_id long, text_hash long, first long, end long"
+RANGE = "doc_id long, text_hash int, first long, end long"
 
 
 def ranges_batch(doc, text_hash, first, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, text_hash, first, end)], names=["doc_id", "text_hash", "first", "end"])
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((doc, text_hash, first, end), kinds, strict=True)], names=["doc_id", "text_hash", "first", "end"])
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
