@@ -16,7 +16,7 @@ from .common import small_batches, texts
 from .text import chunks, mix
 
 #: Bytes of a match, of the grams that minimisers are taken from, and of the depth that quicksort goes to.
-LENGTH, GRAM, SHALLOW = 400, 16, 32
+LENGTH, GRAM, SHALLOW = 400, 16, 16
 #: Longer texts are read in pieces of this size, which overlap by a match less one byte.
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -129,7 +129,7 @@ class BlindTrie:
     """Suffixes of ``data`` by their first ``length`` bytes; inner nodes hold a depth and a child per byte there, and no strings."""
 
     def __init__(self, data: bytes, length: int):
-        self.data, self.length, self.root = data, length, None
+        self.data, self.length, self.root, self.last = data, length, None, None
 
     def _common(self, p: int, q: int) -> int:
         d, lo, hi = self.data, 0, self.length
@@ -144,25 +144,31 @@ class BlindTrie:
         return lo
 
     def add(self, p: int) -> None:
-        if self.root is None:
-            self.root = [p]
+        d, last = self.data, self.last
+        if last is None:
+            self.root = self.last = [p]
             return
-        d, node = self.data, self.root
+        if d[p : p + self.length] == d[last[0] : last[0] + self.length]:  # neighbours in a group are often equal
+            last.append(p)
+            return
+        node = self.root
         while type(node) is tuple:
             child = node[1].get(d[p + node[0]])
             node = child if child is not None else next(iter(node[1].values()))
         depth = self._common(p, node[0])
         if depth == self.length:
             node.append(p)
+            self.last = node
             return
+        self.last = [p]
         parent, byte, at = None, None, self.root
         while type(at) is tuple and at[0] < depth:
             parent, byte = at, d[p + at[0]]
             at = at[1][byte]
         if type(at) is tuple and at[0] == depth:
-            at[1][d[p + depth]] = [p]
+            at[1][d[p + depth]] = self.last
             return
-        split = (depth, {d[node[0] + depth]: at, d[p + depth]: [p]})
+        split = (depth, {d[node[0] + depth]: at, d[p + depth]: self.last})
         if parent is None:
             self.root = split
         else:
@@ -189,7 +195,7 @@ def repeated(data: bytes, starts: np.ndarray, length: int = LENGTH, shallow: int
         key = np.zeros(len(at), np.uint64)
         for b in range(8):
             key = (key << np.uint64(8)) | padded[at + depth + b]
-        order = np.lexsort((key, group))
+        order = np.lexsort((key, group)) if depth else np.argsort(key)
         at, group, key = at[order], group[order], key[order]
         new = np.ones(len(at), bool)
         new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: A gram is common if it is in this share of all documents; at most (grams of a mean document / share) grams can be.
 COMMON_SHARE = 0.005
 #: Bytes of runs that a mapper gathers before it writes them out by bucket.
@@ -148,7 +150,7 @@ def by_bucket(blobs: DataFrame, handle: Callable[[Runs], Iterator[pa.RecordBatch
 def common_grams(grams_of_chunk: DataFrame) -> np.ndarray:
     """Grams in COMMON_SHARE of all documents, sorted.  Input: gram (null: the chunk's number of documents) and n, sums per chunk
     of the grams that are in that share of the chunk's documents.  The result only steers how load is spread."""
-    total = grams_of_chunk.groupBy("gram").agg(F.sum("n").alias("n"))
+    total = written(grams_of_chunk.groupBy("gram").agg(F.sum("n").alias("n")), "common_grams")
     docs = total.where("gram is null").select("n")
     out = total.where("gram is not null").where(F.col("n") >= F.lit(COMMON_SHARE) * docs.scalar()).select("gram").toPandas()
     return np.sort(out["gram"].to_numpy(np.int64).view(np.uint64))
