@@ -20,7 +20,7 @@ from .text import Words, chunks, mix, window_hashes
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 4, 80
 #: Coordinates of a sketch, trees, classes of a node that are compared exhaustively, levels of a tree.
-SKETCH, TREES, LEAF, LEVELS = 64, 16, 96, 5
+SKETCH, TREES, LEAF, LEVELS = 64, 16, 128, 3
 #: Share of equal coordinates from which a pair is a candidate: five standard deviations below 0.8.
 CANDIDATE = 0.55
 #: Set elements of one group that a task confirms at once.
@@ -253,7 +253,7 @@ def _exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int,
 
     members = placed.select(F.col("node").alias("doc_id"), "component", F.col("elements").alias("size"))
     sets = written(
-        docs.join(members, "doc_id").select("component", F.col("doc_id").alias("id"), "size", "text")
+        docs.hint("merge").join(members, "doc_id").select("component", F.col("doc_id").alias("id"), "size", "text")
         .mapInArrow(run, "component long, id long, size long, elements binary").where(F.octet_length("elements") > 0), "near_sets"
     )
     links = written(_confirm(sets.where(F.col("size") <= most).select(F.col("component").alias("key"), "id", "elements", F.lit(False).alias("asked")), percent), "near_links")
