@@ -41,3 +41,10 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def crc_mod(column: str, n: int):
     """crc32(column as text) mod n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def only_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id (null counts as equal to null) and text are those of a row of ``rows`` (doc_id, text_hash)."""
+    keys = rows.select(F.col("doc_id").alias("_key_id"), F.col("text_hash").alias("_key_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_key_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_key_hash"))
+    return docs.hint("merge").join(keys, same, "left_semi")

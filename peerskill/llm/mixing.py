@@ -49,12 +49,16 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def drawn() -> Column:
+    """A uniform number in [0, 1) from doc_id and text."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))), 11).cast("double") / F.lit(float(1 << 53))
+
+
 def measured(docs: DataFrame, topic=topic_of) -> DataFrame:
     """doc_id, DIMENSIONS (null: '(none)'), n_tokens and a uniform number in [0, 1) drawn from doc_id and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), "doc_id", text), 11).cast("double") / F.lit(float(1 << 53))
     label = {d: F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(d) for d in ("source", "lang")}
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), label["source"], label["lang"], topic(text).alias("topic"), token_count(text).alias("n_tokens"), draw.alias("draw"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), label["source"], label["lang"], topic(text).alias("topic"), token_count(text).alias("n_tokens"), drawn().alias("draw"))
 
 
 def targets(totals: dict[str, float], shares: dict[str, float] | None, temper: float) -> dict[str, float]:
@@ -126,22 +130,27 @@ def _rake_frame(cells: DataFrame, mixture: Mixture) -> DataFrame:
     return now
 
 
-def calibrated(stats: DataFrame, mixture: Mixture, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """Adds weight, probability and sampled.  A probability is the weight over the largest weight, so expected tokens keep the targets;
-    a document without tokens has probability 1."""
-    cells = written(stats.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")), "mixing_cells")
+def cell_weights(cells: DataFrame, mixture: Mixture, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """DIMENSIONS, weight and probability of each cell.  A probability is the weight over the largest weight, so that expected tokens keep
+    the targets; cells without tokens have probability 1."""
+    spark = cells.sparkSession
+    cells = written(cells, "mixing_cells")
     if cells.count() <= driver_cells:
         own = cells.toPandas()
         own["weight"] = rake(own, mixture)
-        weights = stats.sparkSession.createDataFrame(own[[*DIMENSIONS, "weight"]], "source string, lang string, topic string, weight double")
-        weights, top = F.broadcast(weights), float(own["weight"].max()) if len(own) else 1.0  # at most driver_cells rows
-    else:
-        weights = _rake_frame(cells, mixture).select(*DIMENSIONS, "weight")
-        top = float(weights.agg(F.max("weight")).first()[0] or 1.0)
-    chance = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("weight") / F.lit(top or 1.0))
-    return (
-        stats.join(weights, [*DIMENSIONS]).withColumn("probability", chance).withColumn("sampled", F.col("draw") < F.col("probability"))
-    )
+        top = float(own["weight"].max()) if len(own) else 1.0
+        own["probability"] = np.where(own["n_tokens"] > 0, own["weight"] / (top or 1.0), 1.0)
+        return F.broadcast(spark.createDataFrame(own[[*DIMENSIONS, "weight", "probability"]], "source string, lang string, topic string, weight double, probability double"))
+    weights = _rake_frame(cells, mixture)
+    top = float(weights.agg(F.max("weight")).first()[0] or 1.0)
+    return weights.select(*DIMENSIONS, "weight", F.when(F.col("n_tokens") > 0, F.col("weight") / F.lit(top)).otherwise(1.0).alias("probability"))
+
+
+def calibrated(stats: DataFrame, mixture: Mixture, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """Adds weight, probability (1 for a document without tokens) and sampled to ``measured`` documents."""
+    weights = cell_weights(stats.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")), mixture, driver_cells)
+    chance = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("probability"))
+    return stats.join(weights, [*DIMENSIONS]).withColumn("probability", chance).withColumn("sampled", F.col("draw") < F.col("probability"))
 
 
 #: Mixture of the registered query: sources, languages and topics are evened out in part.
@@ -155,3 +164,20 @@ def mix(docs: DataFrame, mixture: Mixture = FLATTENED, topic=topic_of) -> DataFr
     are always sampled.  Equal rows are drawn alike; the draw depends on nothing but doc_id and text.  An empty table gives no rows."""
     stats = written(measured(docs, topic), "mixing_stats")
     return calibrated(stats, mixture).select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "sampled")
+
+
+#: Mixture of the pipeline: close to the documents' own shares, so that most of them stay.
+GENTLE = Mixture(temper={"source": 0.95, "lang": 0.97})
+
+
+def sampled_documents(docs: DataFrame, mixture: Mixture = GENTLE, topic=topic_of) -> DataFrame:
+    """The rows of ``docs`` that are drawn, with all their columns.  Texts are read twice and not shuffled."""
+    stats = measured(docs, topic)
+    weights = cell_weights(stats.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")), mixture)
+    weights = weights.select(*(F.col(c).alias(f"_mix_{c}") for c in (*DIMENSIONS, "probability")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    label = {d: F.coalesce(F.col(d).cast("string"), F.lit("(none)")) for d in ("source", "lang")} | {"topic": topic(text)}
+    same = None
+    for d in DIMENSIONS:
+        same = (F.col(f"_mix_{d}") == label[d]) if same is None else same & (F.col(f"_mix_{d}") == label[d])
+    return docs.join(weights, same).where((drawn() < F.col("_mix_probability")) | (token_count(text) == 0)).select(*(docs[c] for c in docs.columns))

@@ -18,7 +18,7 @@ from .components import connected_components
 from .text import Words, chunks, mix, window_hashes
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
-SHINGLE, PERCENT = 4, 80
+SHINGLE, PERCENT = 5, 80
 #: Coordinates of a sketch, trees, classes of a node that are compared exhaustively, levels of a tree.
 SKETCH, TREES, LEAF, LEVELS = 64, 16, 128, 3
 #: Share of equal coordinates from which a pair is a candidate: five standard deviations below 0.8.
@@ -311,3 +311,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     out = base.join(named, "set_hash", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of linked documents, that of the smallest doc_id, with all its columns; rows without doc_id all stay.  Of rows
+    that repeat the kept doc_id the one with the smallest text hash stays."""
+    kept = written(near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct(), "near_kept")
+    own = docs.where("doc_id is not null").hint("merge").join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    first = own.withColumn("_place", F.expr("row_number() over (partition by cast(doc_id as long) order by xxhash64(text))")).where("_place = 1").drop("_place")
+    return first.unionByName(docs.where("doc_id is null"))

@@ -268,8 +268,9 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
 
 
-def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256 and round_trip (the ids decode to the text) of every row of ``docs``.
+def encode_decode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_sha256 and round_trip (the ids decode to the text) of every row of ``docs``, and its columns
+    ``carry``.
 
     Null and empty texts have no ids.  Characters outside the vocabulary, a literal U+2581 among them, are spelled in byte pieces, so any
     text comes back as it was.  Repeated rows each get a row; a null doc_id stays null.  Encoded and decoded in one pass."""
@@ -287,8 +288,13 @@ def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 [
                     b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), _lists(ids),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == t for x, t in zip(back, own, strict=True)]),
+                    *map(b.column, carried),
                 ],
-                names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"],
+                names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip", *carried],
             )
 
-    return texts(docs).select("doc_id", F.col("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    carried = [f"_carry_{c}" for c in carry]
+    own = texts(docs, *(F.col(c).alias(x) for c, x in zip(carry, carried, strict=True)))
+    more = "".join(f", `{x}` {own.schema[x].dataType.simpleString()}" for x in carried)
+    out = own.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean" + more)
+    return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))

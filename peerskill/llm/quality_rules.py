@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, written
+from .common import only_rows, written
 from .stats import FEATURES, counted, features
 
 #: Most labelled rows that rules are learned from (those with the smallest hash of doc_id).
@@ -155,5 +155,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def training_fold(doc_id: str = "doc_id"):
-    return crc_mod(doc_id, 4) != 2
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    stats = written(counted(docs), "rule_stats")
+    kept = judged(stats, learned(stats, labels)).where("kept")
+    return only_rows(docs, written(kept.select("doc_id", "text_hash"), "rule_kept"))

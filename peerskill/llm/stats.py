@@ -108,13 +108,13 @@ def features(counted: DataFrame) -> DataFrame:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of every whole text; one narrow stage, no shuffle."""
+    """doc_id, text_hash (which tells rows with one id apart) and COUNTS of every whole text; one narrow stage, no shuffle."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS)])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((c, pa.int64()) for c in COUNTS)])
 
     def run(batches):
         for rows, own in chunks(batches):
             got = counts(own)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(got[c]) for c in COUNTS)], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), *(pa.array(got[c]) for c in COUNTS)], schema=schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS))

@@ -155,8 +155,8 @@ def _handler(k: int):
     return handle
 
 
-def _kept(cells, k):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+def _kept(cells: DataFrame, carry: list[str], unchanged: bool) -> DataFrame:
+    names = ["doc_id", "n_words", "n_removed", "kept_text", *carry]
 
     def run(batches):
         for rows, own in chunks(batches):
@@ -171,16 +171,19 @@ def _kept(cells, k):
                     gone = np.cumsum(gone[:-1]) > 0
                     words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
                 removed.append(int(w.counts[i]) - len(words))
-                kept.append(b" ".join(words))
+                kept.append(own[i] if unchanged and not removed[-1] else b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=schema
+                [rows.column("doc_id"), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *map(rows.column, carry)],
+                names=names,
             )
 
-    return cells.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in cells.select(*carry).schema) if carry else ""
+    return cells.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string" + more)
 
 
-def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every row of ``docs``.
+def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = GRAM, carry: tuple[str, ...] = (), unchanged: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every row of ``docs``, and its columns ``carry``.
+    With ``unchanged`` a text that loses nothing stays as it is, spaces included.
 
     A word goes if a window of ``k`` words that covers it also starts in a document with a smaller doc_id; windows are judged on the
     input.  Texts with fewer than ``k`` words, empty and null texts lose nothing.  A null doc_id has no order: such rows lose
@@ -192,4 +195,6 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFram
     own = texts(docs).withColumn("text_hash", F.hash("text"))
     common = _common(own, k, m)
     ranges = S.by_bucket(_blobs(own, k, m, common), _handler(k), S.RANGE)
-    return _kept(S.with_ranges(own, ranges), k)
+    whole = texts(docs, *(F.col(c).alias(f"_carry_{c}") for c in carry)).withColumn("text_hash", F.hash("text"))
+    out = _kept(S.with_ranges(whole, ranges), [f"_carry_{c}" for c in carry], unchanged)
+    return out.withColumnsRenamed({f"_carry_{c}": c for c in carry})
