@@ -4,8 +4,8 @@ The search keeps the best way to each reached boundary.  For a unigram vocabular
 vocabulary is searched for the segmentation that its merges give: two pieces may follow each other only if merging their joint
 characters gives just these two, which leaves one way to each boundary.  When the backpointer paths of all reached boundaries ahead meet in one
 boundary, the ids up to it are committed and the window moves there; it spans little more than the longest piece.  Places that no
-piece of the vocabulary crosses (before a space that follows another character, around characters that no piece holds) are such
-boundaries in any text, so stretches between them are encoded on their own and remembered within a task."""
+piece of the vocabulary crosses (two neighbours that no piece holds side by side) are such boundaries in any text, so stretches
+between them are encoded on their own and remembered within a task."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ from .common import small_batches, texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A character that no piece holds scores this much less than the worst piece (fixed value of the SentencePiece format).
 UNKNOWN_PENALTY = 10.0
-_REMEMBERED = 150_000  # stretches that a task remembers
+_REMEMBERED = 450_000  # stretches that a task remembers
 
 
 @dataclass
@@ -37,6 +37,8 @@ class Vocabulary:
     unknown_id: int
     unknown_score: float
     spelled: list[bytes]
+    pieces: list[str]
+    sides: set[str]  # neighbours within pieces
     crossing: bool  # some piece has a space behind another character
     newline: bool  # some piece holds a line end
     longest: int
@@ -77,7 +79,11 @@ class Vocabulary:
                 node[""] = (i, sp.get_score(i))
         unknown = sp.unk_id()
         spelled[unknown] = " ⁇ ".encode()
-        return cls(_kind(model), known, trie, byte_ids, unknown, min(scores) - UNKNOWN_PENALTY, spelled, any(re.search("[^ ] ", x) for x in names),
+        sides = {x[i : i + 2] for x in names for i in range(len(x) - 1)}
+        strings = [""] * n
+        for name, (i, _) in known.items():
+            strings[i] = name
+        return cls(_kind(model), known, trie, byte_ids, unknown, min(scores) - UNKNOWN_PENALTY, spelled, strings, sides, any(re.search("[^ ] ", x) for x in names),
                    any("\n" in x for x in names), max(map(len, names)))
 
     def _spell(self, ch: str) -> list[int]:
@@ -98,16 +104,56 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _follows(self, before: str, piece: str) -> bool:
-        """True if ``piece`` may come after ``before`` (empty: at a start)."""
-        key = (before, piece)
+    def _follows(self, before: int, piece: int) -> bool:
+        """True if ``piece`` may come after ``before`` (-1: at a start)."""
+        key = before << 32 | piece if before >= 0 else ~piece
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) >= 4 * _REMEMBERED:
+            if len(self.pairs) >= 2 * _REMEMBERED:
                 self.pairs.clear()
-            got = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            a, b = self.pieces[before] if before >= 0 else "", self.pieces[piece]
+            got = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
         return got
 
+    def _short(self, s: str) -> list[int]:
+        """``stretch`` of a BPE vocabulary for a string that the window holds whole."""
+        n = len(s)
+        trie, pairs, follows = self.trie, self.pairs, self._follows
+        back, own = [-1] * (n + 1), [-1] * (n + 1)  # start and id of the piece that ends at each boundary
+        for i in range(n):
+            if i and back[i] < 0:
+                continue
+            before, node, j = own[i], trie, i
+            high = before << 32
+            while j < n:
+                node = node.get(s[j])
+                if node is None:
+                    break
+                j += 1
+                if back[j] < 0:
+                    got = node.get("")
+                    if got is not None:
+                        piece = got[0]
+                        fits = pairs.get(high | piece if before >= 0 else ~piece)
+                        if fits is None:
+                            fits = follows(before, piece)
+                        if fits:
+                            back[j], own[j] = i, piece
+            if back[i + 1] < 0 and s[i] not in trie:
+                back[i + 1] = i
+            elif back[i + 1] < 0 and "" not in trie[s[i]]:
+                back[i + 1] = i
+        out, j = [], n
+        while j > 0:
+            i = back[j]
+            if own[j] >= 0:
+                out.append(own[j])
+            else:
+                out += reversed(self._spell(s[i]))
+            j = i
+        out.reverse()
+        return out
+
     def stretch(self, s: str) -> list[int]:
         """Ids of the best segmentation of ``s``; of equal scores the one that begins each piece earliest."""
         bpe, follows = self.kind == "bpe", self._follows
@@ -122,7 +168,7 @@ class Vocabulary:
             if here is not None:
                 node, j, single = self.trie, i, False
                 if bpe:
-                    before = "" if back[at] is None or back[at][1] is None else s[back[at][0] : i]
+                    before = -1 if back[at] is None or back[at][1] is None else back[at][1]
                 while j < n and (node := node.get(s[j])) is not None:
                     j += 1
                     got = node.get("")
@@ -131,7 +177,7 @@ class Vocabulary:
                         while len(score) <= j - base:
                             score.append(None), back.append(None)
                         if bpe:  # at most one piece fits at each end
-                            if score[j - base] is None and follows(before, s[i:j]):
+                            if score[j - base] is None and follows(before, got[0]):
                                 score[j - base], back[j - base] = 0.0, (i, got[0])
                             continue
                         total = here + got[1]
@@ -171,7 +217,13 @@ class Vocabulary:
     def _remembered(self, s: str) -> bytes:
         got = self.memo.get(s)
         if got is None:
-            got = np.array(self.stretch(s), np.int32).tobytes()
+            sides, cut = self.sides, len(s) - 1
+            while cut > 0 and s[cut - 1 : cut + 1] in sides:
+                cut -= 1
+            if 0 < cut < 64 and len(s) < 256:  # no piece crosses here
+                return self._remembered(s[:cut]) + self._remembered(s[cut:])
+            short = self.kind == "bpe" and len(s) <= 2 * self.longest
+            got = np.array(self._short(s) if short else self.stretch(s), np.int32).tobytes()
             if len(s) <= 64:
                 if len(self.memo) >= _REMEMBERED:
                     self.memo.clear()
