@@ -117,7 +117,15 @@ def _split_records(batches, payloads: bool):
     at, now, seq, begun = None, None, 0, False
 
     def left(member):
-        return {"path": at[0], "block": at[1], "seq": 1 << 60, "open": True, "piece": b"".join(member.pieces)}
+        return {"path": at[0], "block": at[1], "seq": 1 << 60, "open": member.headed, "piece": b"".join(member.pieces)}
+
+    def orphans(member):
+        """What is no member may go on one of the range before, if no member has begun in this range."""
+        nonlocal seq
+        if member is None or begun:
+            return []
+        seq += 1
+        return [{"path": at[0], "block": at[1], "seq": seq, "open": False, "piece": b"".join(member.pieces)}]
 
     for batch in batches:
         records, rest = [], []
@@ -130,18 +138,24 @@ def _split_records(batches, payloads: bool):
                     begun = True  # a file begins with a member; what lies before its first magic is none
                     continue
             piece = MAGIC + piece
-            if now is None:
-                now = Member()
-            state = now.feed(piece)
-            if state == "bad" and len(now.pieces) > 1:  # a broken member before: this piece may begin another
+            fresh = None if now is not None and now.headed else Member()
+            if now is None or (fresh is not None and fresh.feed(piece) != "bad" and fresh.headed):
+                # a candidate that has not shown a WARC header yet gives way to one that does
+                rest += orphans(now)
                 now = Member()
                 state = now.feed(piece)
+            else:
+                state = now.feed(piece)
             if state == "bad":
-                if not begun:  # may go on a member of the range before
-                    rest.append({"path": path, "block": block, "seq": seq, "open": False, "piece": b"".join(now.pieces)})
-                    seq += 1
-                now = None
-            elif state == "done":
+                rest += orphans(now)
+                broken, now = len(now.pieces) > 1, None
+                if broken and (fresh := Member()).feed(piece) != "bad" and fresh.headed:  # a broken member before another
+                    now, state = fresh, fresh.state
+                else:
+                    continue
+            if state == "open":
+                continue
+            if state == "done":
                 got = now.record()
                 begun, now = True, None
                 if got is not None:
@@ -179,14 +193,16 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         out, now = [], None
         for row in pdf.sort_values(["block", "seq"]).itertuples():
-            if row.open:
+            if now is None or (row.open and not now.headed):
+                now = Member()
+            state = now.feed(row.piece)
+            if state == "bad" and row.open and len(now.pieces) > 1:  # goes on nothing, so it begins
                 now = Member()
-            if now is not None:
                 state = now.feed(row.piece)
-                if state == "done":
-                    out.append(now.record())
-                if state != "open":
-                    now = None
+            if state == "done":
+                out.append(now.record())
+            if state != "open":
+                now = None
         found = [x if payloads else x | {"payload": None} for x in out if x]
         return pd.DataFrame(found, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
