@@ -294,14 +294,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     One shuffle of packed runs (compressed by the mapper, equal runs of a task once), one of the hits, one of the texts."""
     small_batches(docs.sparkSession, 256)
-    own = texts(docs).withColumn("text_hash", F.hash("text"))
+    none = F.lit(-(1 << 63)).cast("long")  # stands for a missing id
+    own = texts(docs).withColumn("text_hash", F.hash("text")).withColumn("doc_id", F.coalesce("doc_id", none))
     common = _common(own, length)
     ranges = S.by_bucket(_blobs(own, length, common), _handler(length), S.RANGE)
-    return _kept(with_null_ids(own, ranges))
-
-
-def with_null_ids(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``superkmer.with_ranges`` that also matches null ids."""
-    own = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
-    r = own.select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "ranges")
-    return docs.join(r, (F.col("doc_id").eqNullSafe(F.col("r_id"))) & (F.col("text_hash") == F.col("r_hash")), "left").drop("r_id", "r_hash")
+    return _kept(S.with_ranges(own, ranges)).withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
