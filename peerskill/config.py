@@ -105,6 +105,18 @@ SUCCESS_GBT = dict(max_iter=500, step_size=0.05, max_depth=6, min_instances=50,
 ATTEMPTS_GBT = dict(max_iter=500, step_size=0.05, max_depth=6, min_instances=50, subsample=0.8)
 GROWTH_GBT = dict(max_iter=600, step_size=0.03, max_depth=5, min_instances=30, subsample=0.8)
 
+# Profile features of the growth model (fixed values).  The contest features (total_contests, contests_per_year,
+# practice_sub_ratio, contest_sub_ratio) and subs_per_active_day have no column in the profile table.
+PROFILE_FEATURES = [
+    "cf_rating", "first_try_rate", "avg_attempts_to_ac", "unique_problems_solved", "unique_problems_tried",
+    "solved_lte_1000", "solved_1001_1500", "solved_1501_2000", "solved_2001_2500", "solved_2501_3000",
+    "solved_gt_3000", "tag_coverage_pct", "unique_tags_solved",
+]
+
+# Forest size and logistic settings of the original comparison models (fixed values).
+FOREST_TREES = 100
+LOGISTIC_MAX_ITER, LOGISTIC_C = 1000, 1.0
+
 # ---------------------------------------------------------------------------
 # Tunables
 # ---------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ATTEMPTS_CLIP, DEFAULT_RATING, TAGS
+from ..config import ATTEMPTS_CLIP, DEFAULT_RATING, PROFILE_FEATURES, TAGS
 from ..functions import formulas as fx
 from . import evaluate as EV
 from . import recommend as R
@@ -14,12 +14,6 @@ from . import skill as S
 
 WA_PENALTY = 0.2
 
-PROFILE_FEATURES = [
-    "first_try_rate", "avg_attempts_to_ac", "tag_coverage_pct", "total_ac", "unique_problems_solved",
-    "unique_problems_tried", "unique_tags_solved", "solved_lte_1000", "solved_1001_1500", "solved_1501_2000",
-    "solved_2001_2500", "solved_2501_3000", "solved_gt_3000", "cf_rating",
-]
-
 
 def success_frame(pairs: DataFrame, items: DataFrame, user_tag: DataFrame, profiles: DataFrame) -> DataFrame:
     """M-1: one row per rated (user, item) of users in the skill table, the

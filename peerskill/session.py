@@ -23,7 +23,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("PEERSKILL_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("PEERSKILL_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,6 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     when it is unset (local tests) a fresh scratch folder is created."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="peerskill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     try:  # classic sessions: DataFrame.checkpoint() uses the context's folder
