@@ -1,13 +1,21 @@
 """Structured Streaming versions of the incremental refresh (T-1, T-2, T-3).
 
 All queries run with ``trigger(availableNow=True)``: they process whatever
-is in the source and stop, so a run equals the batch job over the same input
-(the tests check exactly that).  Sinks and checkpoints live under the shared
-checkpoint folder, so a restarted driver or lost executor resumes from the
-last committed micro-batch."""
+is in the source and stop, so a run equals the batch job over all input so
+far, in whatever order files and rows arrive (the tests check exactly that).
+
+Each job owns a folder: ``checkpoint`` and ``data``.  A micro-batch is reduced
+to one row per key and written to ``data/epoch=<id>``; a batch that runs again
+after a failure overwrites its own folder, so every batch counts once.  Nothing
+written before is rewritten, and no state is kept between batches: the result
+is the merge of all epochs by the same aggregate.  Give the same ``path`` again
+to go on after a restart; without one, a new folder of the shared checkpoint
+folder is used."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,28 +24,41 @@ from ..operators import ordered as O
 from ..session import scratch_path
 
 
-def _run(query_builder, name: str, spark: SparkSession):
-    ck = scratch_path(spark, f"{name}-checkpoint")
-    q = query_builder.option("checkpointLocation", ck).trigger(availableNow=True).start()
+def _epochs(spark: SparkSession, stream: DataFrame, reduce_batch: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Run the stream to its end and return all rows written so far, with their ``epoch``."""
+    data = f"{path}/data"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        reduce_batch(batch).write.mode("overwrite").parquet(f"{data}/epoch={epoch}")
+
+    # an empty epoch gives the table its schema before the first batch
+    schema = reduce_batch(spark.createDataFrame([], stream.schema)).schema
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{data}/epoch=-1")
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    return spark.read.schema(schema.add("epoch", "long")).parquet(data)
 
 
 # T-1 --------------------------------------------------------------------------
 
-def ingest_dedup(spark: SparkSession, attempts_stream: DataFrame, keys: list[str], delay: str = "7 days") -> DataFrame:
-    """New attempts appended with duplicates of ``keys`` dropped inside the
-    watermark (``dropDuplicatesWithinWatermark``); state per key is released
-    once the watermark passes it, so state is bounded by the keys seen within
-    ``delay`` of the newest event time (weekly crawls -> 7 days).  A duplicate
-    arriving later than the delay is kept - the documented difference to the
-    batch dedup.  Returns the written table."""
-    out = scratch_path(spark, "t1-ingest")
-    s = (attempts_stream.withColumn("event_time", F.col("submitted_at").cast("timestamp"))
-         .withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys).drop("event_time"))
-    _run(s.writeStream.format("parquet").option("path", out).outputMode("append"), "t1", spark)
-    return spark.read.parquet(out)
+def ingest_dedup(spark: SparkSession, attempts_stream: DataFrame, keys: list[str], path: str | None = None) -> DataFrame:
+    """One row per ``keys`` of all attempts streamed so far (null keys group
+    together): a row of the earliest micro-batch that had the key, on ties the
+    one with the smallest other columns.  Late rows are kept whatever their
+    time, and duplicates are found across batches however far apart."""
+    rest = [c for c in attempts_stream.columns if c not in keys]
+    # a constant field keeps the struct valid for a table of key columns only
+    first = lambda *lead: F.min(F.struct(*lead, *[F.col(c) for c in rest])).alias("_b")
+
+    def unpack(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if c in keys else F.col(f"_b.{c}").alias(c) for c in attempts_stream.columns])
+
+    rows = _epochs(spark, attempts_stream, lambda b: unpack(b.groupBy(*keys).agg(first(F.lit(0).alias("_one")))),
+                   path or scratch_path(spark, "t1-ingest"))
+    return unpack(rows.groupBy(*keys).agg(first(F.col("epoch").alias("_epoch"))))
 
 
 # T-2 --------------------------------------------------------------------------
@@ -50,54 +71,30 @@ def upsert_newest(existing: DataFrame | None, updates: DataFrame, keys: list[str
     return O.dedup_newest(merged, keys, payload)
 
 
-class VersionedTable:
-    """A table rewritten as a new version folder per micro-batch (no in-place
-    overwrite of files that are being read).  Without a transactional table
-    format on the classpath each micro-batch rewrites the table; with one, the
-    merge step becomes a MERGE INTO on the same keys."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.version = spark, scratch_path(spark, name), None
-
-    def current(self) -> DataFrame | None:
-        return None if self.version is None else self.spark.read.parquet(f"{self.base}/v{self.version}")
-
-    def write(self, df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/v{epoch}")
-        self.version = epoch
-
-
 def stream_upsert_newest(spark: SparkSession, attempts_stream: DataFrame, keys: list[str],
-                         payload: list[str]) -> DataFrame:
-    """T-2: ``foreachBatch`` merge of every micro-batch into the table."""
-    table = VersionedTable(spark, "t2-upsert")
-
-    def merge(batch: DataFrame, epoch: int):
-        table.write(upsert_newest(table.current(), batch, keys, payload), epoch)
-
-    _run(attempts_stream.writeStream.foreachBatch(merge), "t2", spark)
-    return table.current()
+                         payload: list[str], path: str | None = None) -> DataFrame:
+    """T-2: the newest attempt per key of all micro-batches so far; every batch
+    is written as its own winners, which the same rule merges."""
+    rows = _epochs(spark, attempts_stream, lambda b: upsert_newest(None, b, keys, payload),
+                   path or scratch_path(spark, "t2-upsert"))
+    return upsert_newest(None, rows, keys, payload)
 
 
 # T-3 --------------------------------------------------------------------------
 
-def running_user_tag_counts(spark: SparkSession, attempts_stream: DataFrame, items: DataFrame) -> DataFrame:
-    """The A-4 counters (attempt rows, accepted, rejected per user and tag),
-    maintained by a streaming aggregate in update mode; every micro-batch's
-    changed rows are upserted into the table.  State is one row per
-    (user, tag): bounded by users x 20."""
-    rows = C.decided(attempts_stream).join(items.select("item", "tags"), "item")
-    agg = (rows.select("user_key", "is_ac", "is_wa", F.explode("tags").alias("tag"))
-           .groupBy("user_key", "tag")
-           .agg(F.count(F.lit(1)).alias("total_attempts"), F.sum("is_ac").cast("bigint").alias("ac_count"),
-                F.sum("is_wa").cast("bigint").alias("wa_count")))
-    table = VersionedTable(spark, "t3-counters")
-
-    def merge(batch: DataFrame, epoch: int):
-        cur = table.current()
-        merged = batch if cur is None else cur.join(batch.select("user_key", "tag"), ["user_key", "tag"],
-                                                    "left_anti").unionByName(batch)
-        table.write(merged, epoch)
-
-    _run(agg.writeStream.outputMode("update").foreachBatch(merge), "t3", spark)
-    return table.current()
+def running_user_tag_counts(spark: SparkSession, attempts_stream: DataFrame, items: DataFrame,
+                            path: str | None = None) -> DataFrame:
+    """The A-4 counters (attempt rows, accepted, rejected per user and tag):
+    every micro-batch is written as its own partial counts, at most one row per
+    (user, tag), and the counters are their sums."""
+    tagged = items.select("item", "tags")
+
+    def partial(batch: DataFrame) -> DataFrame:
+        rows = C.decided(batch).join(tagged, "item")
+        return (rows.select("user_key", "is_ac", "is_wa", F.explode("tags").alias("tag")).groupBy("user_key", "tag")
+                .agg(F.count(F.lit(1)).alias("total_attempts"), F.sum("is_ac").cast("bigint").alias("ac_count"),
+                     F.sum("is_wa").cast("bigint").alias("wa_count")))
+
+    rows = _epochs(spark, attempts_stream, partial, path or scratch_path(spark, "t3-counters"))
+    return rows.groupBy("user_key", "tag").agg(*[F.sum(c).cast("bigint").alias(c)
+                                                 for c in ("total_attempts", "ac_count", "wa_count")])
