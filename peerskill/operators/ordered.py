@@ -25,16 +25,18 @@ _D = "decimal(38,0)"
 
 def order_key_num(tie: Column | None = None) -> Column:
     """(submitted_at, attempt_id[, tie digit]) packed into one DECIMAL(38,0):
-    unix_micros * 10^14 + attempt_id * 10 + tie.  Same order as the struct
-    (for 0 <= attempt_id < 10^13, tie in 0..9), but min/max over it stay hash
-    aggregates with map-side partial aggregation (a struct forces a sort
-    aggregate).  A null timestamp gives a null key, ignored by min/max."""
+    (unix_micros + 10^17) * 2*10^20 + (attempt_id + 2^63 + 1) * 10 + tie.  Same
+    order as the struct for every timestamp and every 64-bit id (tie in 0..9),
+    but min/max over it stay hash aggregates with map-side partial aggregation
+    (a struct forces a sort aggregate).  A null id ranks before all ids, a null
+    tie counts as 0; a null timestamp gives a null key, ignored by min/max."""
     from ..functions.formulas import epoch_micros_ntz
 
-    k = (epoch_micros_ntz(F.col("submitted_at")).cast(_D) * F.lit(10 ** 14).cast(_D)
-         + F.col("attempt_id").cast(_D) * F.lit(10).cast(_D))
+    d = lambda x: F.lit(str(x)).cast(_D)  # noqa: E731  (via string: the numbers exceed a long literal)
+    id_part = F.coalesce(F.col("attempt_id").cast(_D) + d(2 ** 63 + 1), d(0))
+    k = (epoch_micros_ntz(F.col("submitted_at")).cast(_D) + d(10 ** 17)) * d(2 * 10 ** 20) + id_part * d(10)
     if tie is not None:
-        k = k + tie.cast(_D)
+        k = k + F.coalesce(tie.cast(_D), d(0))
     return k.cast(_D)
 
 
@@ -42,21 +44,11 @@ def order_key_num(tie: Column | None = None) -> Column:
 
 def dedup_newest(df: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     """Keep one row per ``keys``: the newest by (submitted_at desc nulls last,
-    attempt_id desc), then the larger payload on exact ties (W-5, V-14: null
-    keys group together).  One aggregate - no window.
-
-    When every payload column is a tinyint flag (at most two of them) the
-    ordering key and the payload are packed into one DECIMAL(38,0):
-    (micros + 10^17, 0 for a null time) * 10^19 + attempt_id * 10^6 + flags
-    (3 digits each, +128), assuming 0 <= attempt_id < 10^13.  max() over it is
-    a hash aggregate with map-side partial aggregation; the winner is decoded
-    back.  Other payloads use max() over a struct (a sort aggregate)."""
-    from pyspark.sql import types as T
-
+    attempt_id desc nulls last), then the larger payload on exact ties (W-5,
+    V-14: null keys group together).  One max() over a struct for every payload
+    type: no window, partial aggregates before the shuffle, and nulls, any id
+    and the input types come back as they were."""
     rest = [c for c in payload if c not in keys + ["submitted_at", "attempt_id"]]
-    types = {f.name: f.dataType for f in df.schema.fields}
-    if len(rest) <= 2 and all(isinstance(types[c], T.ByteType) for c in rest):
-        return _dedup_packed(df, keys, rest)
     ts_rank = F.when(F.col("submitted_at").isNull(), F.lit(0)).otherwise(F.lit(1))   # nulls last
     best = F.max(F.struct(
         ts_rank.alias("_has_ts"), F.col("submitted_at").alias("_ts"), F.col("attempt_id").alias("_id"),
@@ -71,33 +63,6 @@ def dedup_newest(df: DataFrame, keys: list[str], payload: list[str]) -> DataFram
     return out.select(*cols)
 
 
-def _dedup_packed(df: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
-    from ..functions.formulas import epoch_micros_ntz
-
-    d = lambda x: F.lit(str(x)).cast(_D)  # noqa: E731  (via string: 10^19 exceeds a long literal)
-    ts_part = F.when(F.col("submitted_at").isNull(), d(0)).otherwise(
-        epoch_micros_ntz(F.col("submitted_at")).cast(_D) + d(10 ** 17))
-    key = ts_part * d(10 ** 19) + F.col("attempt_id").cast(_D) * d(10 ** 6)
-    for i, c in enumerate(flags):
-        key = key + (F.col(c).cast("int") + 128).cast(_D) * d(1000 ** (len(flags) - 1 - i))
-    out = df.groupBy(*keys).agg(F.max(key.cast(_D)).alias("_k"))
-    k = F.col("_k")
-    low = F.pmod(k, d(10 ** 19))
-    cols = [F.col(c) for c in keys]
-    if "submitted_at" not in keys:
-        ts_off = ((k - low) / d(10 ** 19)).cast("long")
-        cols.append(F.when(ts_off == 0, F.lit(None).cast("timestamp_ntz")).otherwise(
-            F.timestamp_add("MICROSECOND", ts_off - F.lit(10 ** 17),
-                            F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))).alias("submitted_at"))
-    flags_part = F.pmod(low, d(10 ** 6))
-    cols.append(((low - flags_part) / d(10 ** 6)).cast("long").alias("attempt_id"))
-    for i, c in enumerate(flags):
-        digit = F.pmod(((flags_part - F.pmod(flags_part, d(1000 ** (len(flags) - 1 - i)))) /
-                        d(1000 ** (len(flags) - 1 - i))).cast("long"), F.lit(1000))
-        cols.append((digit - 128).cast("tinyint").alias(c))
-    return out.select(*cols)
-
-
 # A-20 / W-4: first-try rates ---------------------------------------------------------
 
 def first_try_rates(df: DataFrame) -> DataFrame:

@@ -114,3 +114,25 @@ def test_tag_normalisation(spark):
     df = spark.createDataFrame([(["Graph Matchings", "DP", "unknown", "dfs and similar", "implementation"],)],
                                "raw array<string>")
     assert df.select(C.normalise_tags(F.col("raw")).alias("t")).first()["t"] == ["graphs", "dp", "impl"]
+
+
+def test_dedup_keeps_nulls_ids_and_types_for_every_payload(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t, None, 1, None), (2, t, -3, 1, 0), (3, t, 2 ** 62, None, 1), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "user_key long, submitted_at timestamp, attempt_id long, is_ac tinyint, is_wa tinyint")
+    for payload in (["is_ac", "is_wa"], ["is_ac", "is_wa", "name"]):
+        src = df.withColumn("name", F.lit("n"))
+        out = O.dedup_newest(src.unionByName(src), ["user_key"], payload)
+        assert out.schema["submitted_at"].dataType == df.schema["submitted_at"].dataType
+        got = out.select(*df.columns).orderBy("user_key").collect()
+        assert [tuple(r) for r in got] == rows
+
+
+def test_order_key_orders_any_id_like_the_struct(spark):
+    t = dt.datetime(2024, 1, 1)
+    ids = [None, -2 ** 63, -3, 0, 10 ** 13, 2 ** 63 - 1]
+    df = spark.createDataFrame([(ti, i) for ti in (dt.datetime(1900, 1, 1), t, dt.datetime(9990, 1, 1)) for i in ids],
+                               "submitted_at timestamp_ntz, attempt_id long")
+    rows = df.withColumn("n", O.order_key_num(F.lit(1))).withColumn("s", O.order_key()).orderBy("s").collect()
+    keys = [r["n"] for r in rows]
+    assert None not in keys and keys == sorted(set(keys))
