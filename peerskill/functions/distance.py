@@ -60,6 +60,38 @@ def exact_rows(t: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
+def _pair_distances(t: np.ndarray, p: np.ndarray, ri: np.ndarray, ci: np.ndarray, metric: str,
+                    step: int = 1 << 16) -> np.ndarray:
+    """Distances of the pairs (t[ri], p[ci]), in pieces of ``step`` pairs to bound memory."""
+    parts = [exact_rows(t[ri[s:s + step]], p[ci[s:s + step]], metric) for s in range(0, ri.shape[0], step)]
+    return np.concatenate(parts) if parts else np.array([])
+
+
+def needed_rows(p: np.ndarray, pid: np.ndarray, pg: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows of ``p`` that can be among the k smallest ids of
+    their vector for some target group: equal vectors are equally far from every
+    target and ties are ordered by id, so of each vector only a few rows count.
+
+    With g* the most frequent group in a vector's first 2k rows (by id), every
+    other group has at most k of them, so a target of another group finds k rows
+    there; a target of g* needs the first k rows outside g*."""
+    n = p.shape[0]
+    rows = np.ascontiguousarray(p + 0.0).view(np.dtype((np.void, p.dtype.itemsize * p.shape[1]))).ravel()  # + 0.0: -0.0 is 0.0
+    _, vec, count = np.unique(rows, return_inverse=True, return_counts=True)
+    vec = vec.ravel()
+    if count.max(initial=0) <= 2 * k:
+        return np.arange(n)
+    keep = [np.flatnonzero(count[vec] <= 2 * k)]
+    order = np.lexsort((pid, vec))
+    ends = np.cumsum(count)
+    for v in np.flatnonzero(count > 2 * k):
+        of = order[ends[v] - count[v]:ends[v]]
+        groups, n_of = np.unique(pg[of[:2 * k]], return_counts=True)
+        other = of[2 * k:][pg[of[2 * k:]] != groups[np.argmax(n_of)]]
+        keep += [of[:2 * k], other[:k]]
+    return np.sort(np.concatenate(keep))
+
+
 def topk_block(t: np.ndarray, tid: np.ndarray, tg: np.ndarray, p: np.ndarray, pid: np.ndarray, pg: np.ndarray,
                k: int, metric: str = "euclidean", chunk: int = 256):
     """Exact k nearest of every row of ``t`` among ``p`` (pairs with equal
@@ -69,7 +101,11 @@ def topk_block(t: np.ndarray, tid: np.ndarray, tg: np.ndarray, p: np.ndarray, pi
     Euclidean candidates come from the BLAS form |a|^2 + |b|^2 - 2ab with a
     guard band wider than its rounding error (so every true top-k member and
     every 1e-9 tie is a candidate), then the candidates' distances are
-    recomputed directly: the result equals a direct computation."""
+    recomputed directly: the result equals a direct computation.  Rows of equal
+    vectors that cannot be among any target's k nearest are left out first."""
+    if p.shape[0] and k:
+        need = needed_rows(p, pid, pg, k)
+        p, pid, pg = p[need], pid[need], pg[need]
     out_t, out_p, out_d, out_m = [], [], [], []
     pn2 = np.einsum("ij,ij->i", p, p)
     eps = np.finfo(np.float64).eps
@@ -97,7 +133,7 @@ def topk_block(t: np.ndarray, tid: np.ndarray, tg: np.ndarray, p: np.ndarray, pi
         ri, ci = np.nonzero(cand)
         if ri.size == 0:                     # no valid peer in this block for any row
             continue
-        exact = exact_rows(tc[ri], p[ci], metric)
+        exact = _pair_distances(tc, p, ri, ci, metric)
         order = np.lexsort((pid[ci], np.round(exact, 9), ri))
         ri, ci, exact = ri[order], ci[order], exact[order]
         starts = np.r_[0, np.flatnonzero(np.diff(ri)) + 1]
@@ -110,7 +146,7 @@ def topk_block(t: np.ndarray, tid: np.ndarray, tg: np.ndarray, p: np.ndarray, pi
         fmax = far.max(axis=1)
         mi, mj = np.nonzero(valid & (far >= (fmax - 2 * maxslack - 1e-12)[:, None]))
         dmax = np.full(tc.shape[0], -np.inf)
-        np.maximum.at(dmax, mi, exact_rows(tc[mi], p[mj], metric))
+        np.maximum.at(dmax, mi, _pair_distances(tc, p, mi, mj, metric))
         out_t.append(tidc[ri])
         out_p.append(pid[ci])
         out_d.append(exact)

@@ -3,11 +3,11 @@
 Plan of ``nearest_peers``:
 
 1. hash every user into one of B blocks (B = ceil(N / block_rows));
-2. give each target row a copy per population block and each population row
-   a copy per target block (2*N*B rows, one shuffle on the block pair);
-3. ``cogroup(...).applyInPandas``: one task per (target block, population
-   block) computes the |Tb| x |Pb| distances in NumPy and emits only the k best
-   per target plus the block's max distance (never all pairs);
+2. a population searched by its own members forms the block pairs i <= j, each
+   row copied to its B pairs; other targets meet every population block by a
+   cogroup (2*N*B rows, one shuffle on the block pair);
+3. one task per block pair runs the kernel ``distance.topk_block`` and emits
+   only the k best per target plus the pair's max distance (never all pairs);
 4. a window partitioned by target (at most k*B rows each) keeps the global
    top k and the population-wide max distance.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import parallelism as _parallelism
 
 from ..config import TAGS, VECTOR_TAG_FEATURES, VECTOR_USER_FEATURES, KnnConfig
-from ..functions.distance import distance_matrix, topk_block
+from ..functions.distance import topk_block
 
 
 # A-9 ------------------------------------------------------------------------
@@ -84,39 +84,12 @@ def _block_topk(k: int, metric: str):
         pid = ppdf["user_key"].to_numpy(dtype=np.int64)
         tm = np.vstack(tpdf["vec"].to_numpy()).astype(np.float64)
         pm = np.vstack(ppdf["vec"].to_numpy()).astype(np.float64)
-        d = distance_matrix(tm, pm, metric)
         # J-10: the target itself is no peer; with a group column, nobody of
         # the target's own group is (cross-validation folds)
         tg = tpdf["grp"].to_numpy(dtype=np.int64)
         pg = ppdf["grp"].to_numpy(dtype=np.int64)
-        self_mask = tg[:, None] == pg[None, :]
-        d_masked = np.where(self_mask, -np.inf, d)
-        bmax = d_masked.max(axis=1)
-        d = np.where(self_mask, np.inf, d)
-        kk = min(k, pm.shape[0])
-        rows_t, rows_p, rows_d, rows_m = [], [], [], []
-        dr = np.round(d, 9)
-        for i in range(tm.shape[0]):
-            # exact top-k under (rounded distance, peer key)
-            if kk < pm.shape[0]:
-                part = np.argpartition(dr[i], kk - 1)[:kk]
-                cut = dr[i][part].max()
-                cand = np.nonzero(dr[i] <= cut)[0]        # keep every tie at the cut
-            else:
-                cand = np.arange(pm.shape[0])
-            cand = cand[np.isfinite(d[i][cand])]
-            order = np.lexsort((pid[cand], dr[i][cand]))[:kk]
-            sel = cand[order]
-            rows_t.append(np.full(sel.shape[0], tid[i]))
-            rows_p.append(pid[sel])
-            rows_d.append(d[i][sel])
-            rows_m.append(np.full(sel.shape[0], bmax[i]))
-        return pd.DataFrame({
-            "target_key": np.concatenate(rows_t).astype(np.int64),
-            "peer_key": np.concatenate(rows_p).astype(np.int64),
-            "distance": np.concatenate(rows_d),
-            "block_max": np.concatenate(rows_m),
-        })
+        t, p, d, m = topk_block(tm, tid, tg, pm, pid, pg, k, metric)
+        return pd.DataFrame({"target_key": t.astype(np.int64), "peer_key": p.astype(np.int64), "distance": d, "block_max": m})
 
     return fn
 

@@ -52,7 +52,7 @@ def test_all_distances_equal(spark):
 
 def test_topk_block_kernel_matches_sort():
     """The vectorised block kernel against a plain sort, many random shapes."""
-    from peerskill.functions.distance import topk_block
+    from peerskill.functions.distance import exact_rows, topk_block
 
     rng = np.random.default_rng(11)
     for trial in range(60):
@@ -77,3 +77,33 @@ def test_topk_block_kernel_matches_sort():
             assert list(got_p[sel]) == list(pid[ok][order])
             assert np.allclose(got_d[sel], d[order])
             assert np.allclose(got_m[sel], d.max())
+
+
+def test_equal_vectors_with_groups_match_brute_force():
+    from peerskill.functions.distance import exact_rows, topk_block
+
+    rng = np.random.default_rng(3)
+    for n, groups, k, metric in ((300, 3, 4, "euclidean"), (300, 300, 5, "manhattan"), (200, 2, 7, "cosine"), (50, 1, 3, "euclidean")):
+        v = rng.integers(0, 2, (4, 3)).astype(float)[rng.integers(0, 4, n)] + 0.5
+        ids = rng.permutation(n).astype(np.int64)
+        g = ids.copy() if groups == n else np.where(rng.random(n) < 0.8, 0, rng.integers(0, groups, n)).astype(np.int64)
+        t, p, d, m = topk_block(v, ids, g, v, ids, g, k, metric)
+        full = np.array([exact_rows(np.repeat(v[i:i + 1], n, 0), v, metric) for i in range(n)])
+        for i in range(n):
+            ok = np.flatnonzero(g != g[i])
+            best = ok[np.lexsort((ids[ok], np.round(full[i, ok], 9)))][:k]
+            assert list(p[t == ids[i]]) == list(ids[best])
+            if ok.size:
+                assert np.allclose(m[t == ids[i]], full[i, ok].max())
+
+
+def test_many_equal_vectors_stay_cheap():
+    import time
+
+    from peerskill.functions.distance import exact_rows, topk_block
+
+    n = 8192
+    v, ids = np.ones((n, 82)), np.arange(n)
+    t0 = time.time()
+    t, p, d, m = topk_block(v, ids, ids, v, ids, ids, 50)
+    assert t.shape[0] == n * 50 and set(p[t == 0]) == set(range(1, 51)) and time.time() - t0 < 20
