@@ -15,7 +15,9 @@ from ..operators import recommend as R
 from ..operators import scoring as SC
 from ..operators import skill as S
 from ..session import scratch_path
+from . import sql_blocks as Q
 from .catalog import register
+from .registry_eval import _FRAME
 
 
 def _success_model(inp):
@@ -102,14 +104,18 @@ def rf_first_try_cv(inp):
         s.agg(F.stddev_pop(r)).scalar().alias("residual_std"))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", Q.with_(*_FRAME) + f""" SELECT user_key, item, round(solve_score, 6) AS solve_score, true AS same_prediction,
+      {len(SC.FEATURE_NAMES)} AS n_features FROM sframe WHERE split = 'test'""")
 def model_roundtrip(inp):
-    """S-10: save the success model with its metadata to the shared folder,
-    load it back and score the test split with the loaded copy."""
+    """S-10: save the success model with its metadata to the shared folder, load it back and compare
+    its predictions of the test split with those of the model in memory."""
     path = scratch_path(inp.spark, "success_model")
-    M.save_model(_success_model(inp), path, {"features": SC.FEATURE_NAMES, "wa_penalty": FE.WA_PENALTY,
-                                              "attempts_clip": M.ATTEMPTS_CLIP_RANGE[1]})
+    fitted = _success_model(inp)
+    M.save_model(fitted, path, {"features": SC.FEATURE_NAMES, "wa_penalty": FE.WA_PENALTY,
+                                "attempts_clip": M.ATTEMPTS_CLIP_RANGE[1]})
     model, meta = M.load_model(path)
     test = inp.success_frame().filter(F.col("split") == "test")
-    return model.transform(test).select("user_key", "item", "solve_score", F.col("prediction").alias("loaded_pred"),
-                                        F.lit(len(meta["features"])).alias("n_features"))
+    scored = fitted.transform(test).withColumnRenamed("prediction", "fitted_pred").drop("features")
+    return model.transform(scored).select(
+        "user_key", "item", "solve_score", (F.abs(F.col("prediction") - F.col("fitted_pred")) < 1e-9).alias("same_prediction"),
+        F.lit(len(meta["features"])).alias("n_features"))
