@@ -4,9 +4,9 @@ to the shared checkpoint folder and reads them back through the readers
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from ..config import TAGS
 from ..operators import clean as C
 from ..operators import ordered as O
 from ..session import scratch_path
@@ -37,53 +37,45 @@ def raw_records_flatten(inp):
                        F.array_join("tags", ",").alias("tags_csv"))
 
 
-@register("chunk_merge_refresh", Q.with_(Q.ATT_ORDER) + """ SELECT handle, problem_id, submitted_at, is_ac, is_wa, tag_impl FROM (
+_WIDE_FLAGS = ["is_ac", "is_wa", "is_tle", "is_mle"]
+_WIDE_COLS = ["handle", "problem_id", "problem_name", "problem_rating", *_WIDE_FLAGS, "submitted_at", *[f"tag_{t}" for t in TAGS]]
+
+
+@register("chunk_merge_refresh", Q.with_(Q.ATT_ORDER) + " SELECT " + ", ".join(_WIDE_COLS) + """ FROM (
       SELECT *, row_number() OVER (PARTITION BY handle, problem_id, submitted_at
-                                   ORDER BY is_ac DESC, is_wa DESC, tag_impl DESC, rating DESC) AS rn
-      FROM (SELECT CAST(user_key AS VARCHAR) AS handle, item AS problem_id,
-                   CAST(floor(epoch(submitted_at)) AS BIGINT) AS submitted_at, is_ac, is_wa,
-                   CAST(list_contains(tags, 'impl') AS TINYINT) AS tag_impl, item_rating AS rating FROM att_order))
-    WHERE rn = 1 AND rating > 0""")
+                                   ORDER BY is_ac DESC, is_wa DESC, is_tle DESC, is_mle DESC) AS rn
+      FROM (SELECT CAST(user_key AS VARCHAR) AS handle, item AS problem_id, item AS problem_name,
+                   CAST(item_rating AS DOUBLE) AS problem_rating, is_ac, is_wa, is_tle, is_mle,
+                   CAST(floor(epoch(submitted_at)) AS BIGINT) AS submitted_at,
+                   """ + ", ".join(f"CAST(list_contains(tags, '{t}') AS TINYINT) AS tag_{t}" for t in TAGS) + """ FROM att_order))
+    WHERE rn = 1 AND problem_rating > 0""")
 def chunk_merge_refresh(inp):
-    """E-5 / S-4 / P-15 / U-1 / W-5 / P-13: the attempt log written as three
-    wide CSV chunks (one with the old ``tag_implementation`` column name) plus
-    an unreadable chunk; chunks read with explicit types, schema aliased,
-    unioned by name, newest row kept per (handle, item, time), unrated dropped."""
+    """E-5 / S-4 / P-14 / P-15 / U-1 / W-5 / P-13: an existing dataset (a quarter of the attempt log) merged with
+    three wide CSV chunks (one with the old ``tag_implementation`` column name, one with unclean handles),
+    an unreadable chunk and one that is not there: handles cleaned, newest row kept per (handle, item, time),
+    unrated dropped, all columns kept."""
     spark = inp.spark
     a = td.att_order(spark, inp.sf_dir).join(inp.items_order().select("item", "tags"), "item")
     wide = IO.attempts_to_wide(a)
     base = scratch_path(spark, "chunks")
-    part = F.pmod(F.col("submitted_at"), F.lit(3))
+    part = F.pmod(F.col("submitted_at"), F.lit(4))
+    wide.filter(part == 3).write.parquet(f"{base}/existing")
     for i in range(3):
         c = wide.filter(part == i)
+        if i == 1:
+            c = c.withColumn("handle", F.concat(F.lit(" =@"), "handle")).unionByName(c.withColumn("handle", F.lit("=#NAME?")))
         if i == 2:
             c = c.withColumnRenamed("tag_impl", "tag_implementation")
         c.write.option("header", True).csv(f"{base}/chunk_{i}")
     spark.createDataFrame([("not,a,valid\x00chunk",)], "value string").write.text(f"{base}/chunk_3")
-    frames = []
-    for i in range(5):                       # chunk_4 was never written: skipped
-        try:
-            raw = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(f"{base}/chunk_{i}")
-        except AnalysisException:
-            continue
-        raw = C.alias_schema_drift(raw)
-        if "handle" not in raw.columns:      # unreadable chunk
-            continue
-        frames.append(raw)
-    merged = frames[0]
-    for f in frames[1:]:
-        merged = merged.unionByName(f, allowMissingColumns=True)
-    typed = merged.select(
-        F.col("handle"), F.col("problem_id"), F.col("problem_rating").cast("double").alias("problem_rating"),
-        F.col("submitted_at").cast("long").alias("submitted_at"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).cast("tinyint").alias(c) for c in ["is_ac", "is_wa", "tag_impl"]])
-    newest = O.dedup_newest(
-        typed.withColumnRenamed("handle", "user_key").withColumnRenamed("problem_id", "item")
-        .withColumn("attempt_id", F.lit(0)),
-        ["user_key", "item", "submitted_at"], ["is_ac", "is_wa", "tag_impl", "problem_rating"])
-    kept = C.drop_unrated(newest, "problem_rating")
-    return kept.select(F.col("user_key").alias("handle"), F.col("item").alias("problem_id"), "submitted_at",
-                       "is_ac", "is_wa", "tag_impl")
+    new = IO.read_attempts_csv(spark, [f"{base}/chunk_{i}" for i in range(5)])
+    old = spark.read.schema(IO.ATTEMPT_CSV_SCHEMA).parquet(f"{base}/existing").select(
+        *[F.col(c).cast(t.dataType) for c, t in zip(new.columns, new.schema)])
+    merged = C.clean_handles(old.unionByName(new))
+    payload = [c for c in _WIDE_COLS if c not in ("handle", "problem_id", "submitted_at")]
+    order = [*_WIDE_FLAGS, *[c for c in payload if c not in _WIDE_FLAGS]]
+    newest = O.dedup_newest(merged.withColumn("attempt_id", F.lit(0)), ["handle", "problem_id", "submitted_at"], order)
+    return C.drop_unrated(newest, "problem_rating").select(*_WIDE_COLS)
 
 
 _PEER_COLS = ["target_key", "peer_key", "rank", "distance", "similarity", "display_similarity"]
