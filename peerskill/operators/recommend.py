@@ -158,29 +158,28 @@ def prioritise(features: DataFrame, peer_strength: DataFrame, cfg: RecommendConf
 # M-17 / J-12 / A-37 / F-24 / F-25 / L-5 -----------------------------------------------
 
 def counterfactual_impact(features: DataFrame, ctx: DataFrame, cfg: RecommendConfig = RecommendConfig(),
-                          solve_score=SC.sql_solve_score) -> DataFrame:
+                          success_scorer=SC.sql_success_scorer) -> DataFrame:
     """M-17: for each target and tag, how many more pool items fall in the
     sweet spot when that tag's strength is raised by 0.2 (capped at 1).
+    ``success_scorer`` is any ``score(df) -> df`` over the feature frame that
+    adds ``solve_score``, a formula or a fitted model.
 
     Raising tag t only changes items that carry t, so instead of crossing the
     pool with 21 scenarios the item rows are exploded over their own 3-4 tags
-    (a generator, no join) and the change in the sweet-spot indicator is
-    summed per (target, tag)."""
-    def in_sweet(score):
-        return (score >= cfg.sweet_lo) & (score <= cfg.sweet_hi)
-
-    base_sweet = in_sweet(solve_score(F.col("rating_diff"), F.col("mean_tag_strength"))).cast("int")
-    per_tag = features.select(
-        "target_key", "rating_diff", "smap", "tags", base_sweet.alias("base_in"),
-        F.explode("tags").alias("tag"),
-    )
-    boosted = F.transform(
+    (a generator, no join), their features are built anew and scored, and the
+    change in the sweet-spot indicator is summed per (target, tag)."""
+    in_sweet = F.col("solve_score").between(cfg.sweet_lo, cfg.sweet_hi).cast("int")
+    base = success_scorer(features).withColumn("base_in", in_sweet)
+    raised = F.transform(
         F.col("tags"),
         lambda t: F.when(t == F.col("tag"), F.least(F.lit(1.0), F.coalesce(F.element_at("smap", t), F.lit(0.0)) + CF_BOOST))
         .otherwise(F.coalesce(F.element_at("smap", t), F.lit(0.0))),
     )
-    mean_b = F.aggregate(boosted, F.lit(0.0), lambda a, x: a + x) / F.size("tags")
-    change = in_sweet(solve_score(F.col("rating_diff"), mean_b)).cast("int") - F.col("base_in")
+    own_tags = base.select("target_key", "item_rating", "tags", "smap", "cf_rating", "num_solved", "base_in",
+                           F.explode("tags").alias("tag"))
+    per_tag = success_scorer(own_tags.select("target_key", "tag", "base_in", *SC.feature_columns(
+        F.col("tags"), F.col("item_rating"), F.col("cf_rating"), F.col("num_solved"), raised)))
+    change = in_sweet - F.col("base_in")
     deltas = per_tag.groupBy("target_key", "tag").agg(F.sum(change).alias("raw_delta"))
     # only targets with a non-empty pool get an impact table
     targets = features.select("target_key").distinct().join(ctx.select("target_key", "smap"), "target_key")

@@ -91,6 +91,14 @@ def recommendations_ml(inp):
                        "weakness_boost", "final_score", "rec_rank", "estimated_attempts", "difficulty_label")
 
 
+@register("tag_impact_ml")
+def tag_impact_ml(inp):
+    """M-17 with the trained success model: every pool item rescored with each of its tags raised."""
+    return R.counterfactual_impact(inp.features(), inp.context(), inp.settings.recommend,
+                                   success_scorer=M.ml_success_scorer(_success_model(inp))).select(
+        "target_key", "tag", "strength", "delta_problems", "estimated_rating_gain", "label", "impact_rank")
+
+
 @register("rf_first_try_cv")
 def rf_first_try_cv(inp):
     """M-23: 5-fold random forest, tag strengths -> first-try rate: R^2, MAE, residual mean / std."""

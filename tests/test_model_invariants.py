@@ -38,6 +38,14 @@ def test_growth_predictions_non_negative(spark):
 
 def test_model_roundtrip_and_pca(spark):
     rt = Q["model_roundtrip"](spark, SF_SMALL)
-    assert rt.count() > 0 and rt.first()["n_features"] == 29
+    rows = rt.collect()
+    assert rows and rows[0]["n_features"] == 29 and all(r["same_prediction"] for r in rows)
     load = Q["pca_loadings"](spark, SF_SMALL).toPandas()
     assert len(load) == 64 and abs((load["pc1_loading"] ** 2).sum() - 1.0) < 1e-6
+
+
+def test_model_counterfactual_covers_every_tag(spark):
+    t = Q["tag_impact_ml"](spark, SF_SMALL).toPandas()
+    assert len(t) > 0 and (t.groupby("target_key")["tag"].nunique() == 20).all()
+    assert (t["delta_problems"] >= 0).all()
+    assert (t.groupby("target_key")["impact_rank"].max() == 20).all()
