@@ -107,3 +107,18 @@ def test_many_equal_vectors_stay_cheap():
     t0 = time.time()
     t, p, d, m = topk_block(v, ids, ids, v, ids, ids, 50)
     assert t.shape[0] == n * 50 and set(p[t == 0]) == set(range(1, 51)) and time.time() - t0 < 20
+
+
+def test_distance_columns_equal_the_kernels(spark):
+    from pyspark.sql import functions as F
+
+    from peerskill.functions.distance import METRICS, distance_col, exact_rows
+
+    rng = np.random.default_rng(1)
+    a, b = rng.random((20, 6)), rng.random((20, 6))
+    a[0] = 0.0
+    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b))],
+                               "i int, a array<double>, b array<double>")
+    for metric in METRICS:
+        got = [r.d for r in df.select("i", distance_col(F.col("a"), F.col("b"), metric).alias("d")).orderBy("i").collect()]
+        assert np.allclose(got, exact_rows(a, b, metric))
