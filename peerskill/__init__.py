@@ -10,5 +10,5 @@ try:
     from pyspark import cloudpickle as _cloudpickle
 
     _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older cloudpickle: ship with --py-files instead
+except (ImportError, AttributeError):  # older cloudpickle: ship with --py-files instead
     pass

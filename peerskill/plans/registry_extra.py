@@ -95,7 +95,7 @@ acc AS (SELECT user_key, tag, solved, failed, CAST(floor(solved * 100.0 / (solve
 
 
 @register("accuracy_vs_strength", Q.with_(*_PEERS, Q.item_stats(), Q.bench(), _ACC) + """ SELECT a.user_key, a.tag, a.solved, a.failed,
-      a.accuracy, round(coalesce(b.strength, -1.0), 6) AS strength,
+      a.accuracy, round(b.strength, 6) AS strength,
       CAST(row_number() OVER (PARTITION BY a.user_key ORDER BY coalesce(b.strength, 101.0), a.tag) AS INTEGER) AS sort_pos
     FROM acc a LEFT JOIN bench b ON b.target_key = a.user_key AND b.tag = a.tag""")
 def accuracy_vs_strength(inp):
@@ -103,5 +103,4 @@ def accuracy_vs_strength(inp):
     (users without a benchmark keep accuracy only; missing strength sorts last)."""
     acc = O.tag_accuracy(inp.att_scale(), inp.items())
     out = RP.accuracy_vs_strength(acc, inp.peer_benchmark())
-    return out.select("user_key", "tag", "solved", "failed", "accuracy",
-                      F.coalesce(F.col("strength"), F.lit(-1.0)).alias("strength"), "sort_pos")
+    return out.select("user_key", "tag", "solved", "failed", "accuracy", "strength", "sort_pos")
