@@ -1,8 +1,8 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Documents with equal shingle sets form a class; a class is joined once.  Independent trees branch the classes by the minhash of selected
-coordinates; a node with few classes is compared exhaustively on sketches, one with many branches again by other coordinates.  Candidate
-links make coarse groups, in which links are confirmed on the full sets."""
+coordinates; a node with few classes is compared exhaustively on sketches, one with many branches again by other coordinates until few
+are left or all but a few are alike to one of them.  Candidate links make coarse groups, in which links are confirmed on the full sets."""
 
 from __future__ import annotations
 
@@ -19,8 +19,10 @@ from .text import Words, chunks, mix, window_hashes
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 80
-#: Coordinates of a sketch, trees, classes of a node that are compared exhaustively, levels of a tree.
+#: Coordinates of a sketch, trees, classes of a node that are compared exhaustively, levels of a tree before large nodes are judged.
 SKETCH, TREES, LEAF, LEVELS = 64, 16, 128, 3
+#: Levels after which what is not alike in a large node is compared with the whole node, in blocks of so many classes.
+DEPTH, BLOCK = 10, 1024
 #: Share of equal coordinates from which a pair is a candidate: five standard deviations below 0.8.
 CANDIDATE = 0.55
 #: Set elements of one group that a task confirms at once.
@@ -80,16 +82,64 @@ def _nodes(keyed: DataFrame, name: str) -> DataFrame:
     return written(keyed.join(sizes, "key"), name + "_sized")
 
 
-def _leaves(classes: DataFrame, trees: int, leaf: int, levels: int) -> DataFrame:
-    """(key, id) of the small nodes of all trees."""
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Share of equal coordinates of the sketches of two columns."""
+    x, y = (c.flatten().to_numpy().reshape(-1, SKETCH) for c in (a, b))
+    return (x == y).mean(axis=1)
+
+
+def _judged(big: DataFrame, classes: DataFrame, percent: int, name: str) -> DataFrame:
+    """Adds pivot (one class of the node) and alike (a candidate with it) to the members of large nodes, and others: how many are not."""
+    own = classes.select("id", "sketch", F.col("n_shingles").alias("size"))
+    pivots = big.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("pivot"))
+    pivots = pivots.join(own.select(F.col("id").alias("pivot"), F.col("sketch").alias("p_sketch"), F.col("size").alias("p_size")), "pivot")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = b.column("size").to_numpy(), b.column("p_size").to_numpy()
+            alike = (_same(b.column("sketch"), b.column("p_sketch")) >= CANDIDATE) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "coord", "id", "n", "pivot")), pa.array(alike)], names=["key", "coord", "id", "n", "pivot", "alike"])
+
+    both = big.join(own, "id").join(pivots, "key").select("key", "coord", "id", "n", "sketch", "size", "pivot", "p_sketch", "p_size")
+    judged = written(both.mapInArrow(run, "key long, coord int, id long, n long, pivot long, alike boolean"), name)
+    others = judged.where("not alike").groupBy("key").agg(F.count("*").alias("others"))
+    return written(judged.join(others, "key", "left").fillna(0, ["others"]), name + "_others")
+
+
+def _blocks(judged: DataFrame) -> DataFrame:
+    """(key, id, asked): each member that is not alike to the pivot meets every block of its node."""
+    blocks, parts = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("others") / BLOCK)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    own = judged.where("others > 0").select("key", "id", "alike", blocks.alias("blocks"), parts.alias("parts"))
+    whole = own.select("key", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), numbers(F.col("parts")).alias("part"), F.lit(False).alias("asked"))
+    few = own.where("not alike").select("key", "id", numbers(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).alias("part"), F.lit(True).alias("asked"))
+    return whole.unionByName(few).select(F.xxhash64("key", "block", "part").alias("key"), "id", "asked")
+
+
+def _leaves(classes: DataFrame, trees: int, leaf: int, levels: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(key, id, asked) of the small nodes and blocks of all trees, in which each pair with an asked class is to be compared; candidate
+    links (u, v) to the pivots of large nodes."""
     roots = [(t, 4 * t % SKETCH) for t in range(trees)] + [(t, (4 * t + 2) % SKETCH) for t in range(0, trees, 4)]
     at = F.array(*(F.struct(F.xxhash64(F.lit(t), F.lit(c), F.col("sketch")[c]).alias("key"), F.lit(c).alias("coord")) for t, c in roots))
     now = _nodes(classes.select("id", F.explode(at).alias("x")).select("x.key", "x.coord", "id"), "paths_1")
-    out = now.where(F.col("n") <= leaf).select("key", "id")
-    for level in range(2, levels + 1):
+    small = lambda now: now.where(F.col("n") <= leaf).select("key", "id", F.lit(True).alias("asked"))
+    out, links = small(now), None
+    for level in range(1, DEPTH + 1):
         big = now.where(F.col("n") > leaf)
         if big.isEmpty():
-            return out
+            return out, links
+        if level >= levels:
+            # what is alike to the pivot is in one coarse group already: when few are not, or on the last level, they meet the whole node
+            big = _judged(big, classes, percent, f"judged_{level}")
+            stars = big.where("alike and id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
+            links = stars if links is None else links.unionByName(stars)
+            done = F.col("others") <= (leaf if level < DEPTH else F.col("n"))
+            out = out.unionByName(_blocks(big.where(done)))
+            big = big.where(~done)
+            if level == DEPTH or big.isEmpty():
+                return out, links
         # children by one coordinate, for a quarter of the nodes by two: 1 / 0.8 on average
         step = F.pmod(F.xxhash64("key"), F.lit(SKETCH - 1))
         first = F.pmod(F.col("coord") + 1 + step, F.lit(SKETCH)).cast("int")
@@ -99,12 +149,9 @@ def _leaves(classes: DataFrame, trees: int, leaf: int, levels: int) -> DataFrame
             .join(classes.select("id", "sketch"), "id")
             .select(F.xxhash64("key", "coord", F.element_at("sketch", F.col("coord") + 1)).alias("key"), "coord", "id")
         )
-        now = _nodes(child, f"paths_{level}")
-        out = out.unionByName(now.where(F.col("n") <= leaf).select("key", "id"))
-    # nodes that still are large hold classes that agree everywhere: blocks of them, drawn anew in each tree
-    parts = F.ceil(F.col("n") * 2 / leaf)
-    rest = now.where(F.col("n") > leaf).select(F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), parts)).alias("key"), "id")
-    return out.unionByName(rest)
+        now = _nodes(child, f"paths_{level + 1}")
+        out = out.unionByName(small(now))
+    return out, links
 
 
 def _grouped(batches, columns: int):
@@ -149,21 +196,22 @@ def _stars(close: np.ndarray, ids: list[int]) -> list[tuple[int, int]]:
 
 
 def _candidates(leaves: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate links (u, v) that connect what is alike in some node: all pairs of a node are compared, a spanning forest is returned."""
-    low = F.col("sketch")
-    rows = leaves.join(classes.select("id", "n_shingles", low), "id").select("key", "id", "n_shingles", "sketch")
+    """Candidate links (u, v) that connect what is alike in some node: all pairs with an asked class are compared, a spanning forest is
+    returned."""
+    rows = leaves.join(classes.select("id", "n_shingles", "sketch"), "id").select("key", "id", "n_shingles", "sketch", "asked")
 
     def run(batches):
         pairs: list[tuple[int, int]] = []
-        for _, (ids, n, sk) in _grouped(batches, 4):
+        for _, (ids, n, sk, asked) in _grouped(batches, 5):
             s, size = np.array(sk, np.int32), np.array(n)
             if len(ids) == 2:
-                if (s[0] == s[1]).mean() >= CANDIDATE and 100 * size.min() >= percent * size.max():
+                if any(asked) and (s[0] == s[1]).mean() >= CANDIDATE and 100 * size.min() >= percent * size.max():
                     pairs.append((ids[0], ids[1]))
             else:
-                alike = np.empty((len(ids), len(ids)), bool)
-                for i in range(len(ids)):
+                alike = np.zeros((len(ids), len(ids)), bool)
+                for i in np.flatnonzero(asked).tolist():
                     alike[i] = (s == s[i]).mean(axis=1) >= CANDIDATE
+                alike |= alike.T
                 alike &= 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
                 pairs += _stars(alike, ids)
             if len(pairs) > 10_000:
@@ -292,7 +340,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     kept.  Rows with one doc_id are one document.  Texts with fewer than ``k`` words are linked by equality of the whole sequence.
 
     A pair with similarity 0.8 misses the candidates only if all ``trees`` separate it or its sketches differ by five standard
-    deviations; no node, group or partner count is capped."""
+    deviations; no node, group or partner count is capped.  From level ``levels`` on a large node is done when all but ``leaf`` of its
+    classes are alike to one of them: these few are compared with the whole node.  After DEPTH levels all that are not alike are."""
     small_batches(docs.sparkSession, 512)
     own = texts(docs)
     base = written(_sketched(own, k), "near_base")
@@ -300,7 +349,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
         base.where("set_hash is not null and doc_id is not null").groupBy("set_hash", "n_shingles")
         .agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch")), "near_classes"
     )
-    groups = connected_components(written(_candidates(_leaves(classes, trees, leaf, levels), classes, percent), "near_candidates"))
+    leaves, stars = _leaves(classes, trees, leaf, levels, percent)
+    found = _candidates(leaves, classes, percent)
+    groups = connected_components(written(found if stars is None else found.unionByName(stars), "near_candidates"))
     links = _exact_links(own, classes, written(groups, "near_coarse"), k, percent, group_elements)
     # rows that repeat a doc_id with another text tie its classes together
     texts_of = base.where("set_hash is not null and doc_id is not null").select("doc_id", "set_hash").distinct()

@@ -150,3 +150,20 @@ def test_near_duplicates(spark, odd, empty):
     kept = [r.doc_id for r in without_near_duplicates(odd).collect()]
     assert kept.count(None) == 2 and kept.count(3) == 0 and kept.count(12) == 1 and kept.count(8) == 0
     assert near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_among_frequent_lines(spark):
+    """Texts of 12 lines out of 60: nodes stay large for many levels, and planted pairs that differ in one word must still meet."""
+    from peerskill.llm.near_dedup import near_duplicates
+
+    rng = random.Random(8)
+    lines = [" ".join(f"l{i}w{j}" for j in range(8)) for i in range(60)]
+    docs = []
+    for i in range(700):
+        own = " ".join(rng.sample(lines, 12)).split()
+        docs.append((2 * i, " ".join(own)))
+        own[rng.randrange(40, 50)] = f"x{i}"
+        docs.append((2 * i + 1, " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, trees=2, leaf=16, levels=1).collect()}
+    assert sum(got[d] == d - d % 2 for d in got) >= 0.99 * len(got)
