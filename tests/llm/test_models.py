@@ -87,6 +87,18 @@ def test_lm(spark, odd, empty):
     assert lm_scores(empty).count() == 0
 
 
+def test_lm_trains_on_texts_of_every_length():
+    from peerskill.llm import attention as A
+    from peerskill.llm.lm import Chunk, _windows
+
+    length = np.arange(100)
+    token = np.arange(length.sum())
+    chunk = Chunk(length, length, length * 0, length % 10 == 0, (length > 0).astype(int), np.arange(99), length[1:], token)
+    before, target, scored = _windows(chunk, 9999)
+    want = [x for n, first in zip(length, np.cumsum(length) - length, strict=True) if n % 10 for x in (*range(first, first + n), 9999)]
+    assert sorted(target[scored].tolist()) == sorted(want) and before.shape[1] == A.WINDOW
+
+
 def test_raking(spark, odd, empty, monkeypatch):
     from peerskill.llm import mixing as M
 
