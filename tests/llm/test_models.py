@@ -99,6 +99,14 @@ def test_lm_trains_on_texts_of_every_length():
     assert sorted(target[scored].tolist()) == sorted(want) and before.shape[1] == A.WINDOW
 
 
+def test_attention_context_and_vectors():
+    from peerskill.llm import attention as A
+
+    places, scored = A.windows(np.array([1000]))
+    assert ((places - places[:, :1])[scored & (places >= A.WINDOW)] >= 8).all()  # tokens of context
+    assert len(set(A.Classes(np.arange(5000), np.arange(5000) % 2 == 0).vector.tolist())) == 4096
+
+
 def test_raking(spark, odd, empty, monkeypatch):
     from peerskill.llm import mixing as M
 
