@@ -107,6 +107,16 @@ def test_attention_context_and_vectors():
     assert len(set(A.Classes(np.arange(5000), np.arange(5000) % 2 == 0).vector.tolist())) == 4096
 
 
+def test_lm_continuations_do_not_depend_on_partitions(spark, monkeypatch):
+    from peerskill.llm import lm as L
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    one = {r.doc_id: r.score for r in L.lm_scores(docs.repartition(1), rounds=0).collect()}
+    monkeypatch.setattr(L, "CONTINUATIONS", 500)  # most are joined
+    many = {r.doc_id: r.score for r in L.lm_scores(docs.repartition(8), rounds=0).collect()}
+    assert len(one) > 20 and one.keys() == many.keys() and all(math.isclose(one[d], many[d], rel_tol=5e-3) for d in one)
+
+
 def test_raking(spark, odd, empty, monkeypatch):
     from peerskill.llm import mixing as M
 
