@@ -18,6 +18,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Cells that are raked on the driver; more are raked by Spark, with the same result.
 DRIVER_CELLS = 100_000
 ROUNDS, TOLERANCE = 200, 1e-9
+#: Most share of the weighted tokens that may be missed because a document is drawn once at most.
+MISSED = 0.01
 
 
 @dataclass(frozen=True)
@@ -130,20 +132,32 @@ def _rake_frame(cells: DataFrame, mixture: Mixture) -> DataFrame:
     return now
 
 
+def _scale(missed, total: float, top: float) -> float:
+    """The least weight (to a part in 2^40 of ``top``) for probability 1 at which ``missed``, the weighted tokens over it, is at most
+    MISSED of ``total``: no few cells of extreme weight lower the chance of all others."""
+    low, high = 0.0, top
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (mid, high) if missed(mid) > MISSED * total else (low, mid)
+    return high or 1.0
+
+
 def cell_weights(cells: DataFrame, mixture: Mixture, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """DIMENSIONS, weight and probability of each cell.  A probability is the weight over the largest weight, so that expected tokens keep
-    the targets; cells without tokens have probability 1."""
+    """DIMENSIONS, weight and probability of each cell.  A probability is the weight over a scale, at most 1, so that expected tokens keep
+    the targets but for MISSED of them (``_scale``); cells without tokens have probability 1."""
     spark = cells.sparkSession
     cells = written(cells, "mixing_cells")
     if cells.count() <= driver_cells:
         own = cells.toPandas()
         own["weight"] = rake(own, mixture)
-        top = float(own["weight"].max()) if len(own) else 1.0
-        own["probability"] = np.where(own["n_tokens"] > 0, own["weight"] / (top or 1.0), 1.0)
+        tokens, weight = own["n_tokens"].to_numpy(float), own["weight"].to_numpy(float)
+        scale = _scale(lambda s: float((tokens * np.maximum(weight - s, 0)).sum()), float((tokens * weight).sum()), float(weight.max(initial=0.0)))
+        own["probability"] = np.where(tokens > 0, np.minimum(weight / scale, 1.0), 1.0)
         return F.broadcast(spark.createDataFrame(own[[*DIMENSIONS, "weight", "probability"]], "source string, lang string, topic string, weight double, probability double"))
     weights = _rake_frame(cells, mixture)
-    top = float(weights.agg(F.max("weight")).first()[0] or 1.0)
-    return weights.select(*DIMENSIONS, "weight", F.when(F.col("n_tokens") > 0, F.col("weight") / F.lit(top)).otherwise(1.0).alias("probability"))
+    total, top = (float(x or 0) for x in weights.agg(F.sum(F.col("n_tokens") * F.col("weight")), F.max("weight")).first())
+    scale = _scale(lambda s: float(weights.agg(F.sum(F.col("n_tokens") * F.greatest(F.col("weight") - F.lit(s), F.lit(0.0)))).first()[0] or 0), total, top)
+    return weights.select(*DIMENSIONS, "weight", F.when(F.col("n_tokens") > 0, F.least(F.col("weight") / F.lit(scale), F.lit(1.0))).otherwise(1.0).alias("probability"))
 
 
 def calibrated(stats: DataFrame, mixture: Mixture, driver_cells: int = DRIVER_CELLS) -> DataFrame:

@@ -139,6 +139,18 @@ def test_raking(spark, odd, empty, monkeypatch):
     assert M.mix(empty).count() == 0 and M.sampled_documents(empty).count() == 0
 
 
+def test_one_odd_row_does_not_set_all_probabilities(spark):
+    from peerskill.llm import mixing as M
+
+    cells = pd.DataFrame([(s, x, "p", n) for s, n in (("a", 90_000), ("b", 60_000)) for x in ("en", "de")], columns=[*M.DIMENSIONS, "n_tokens"])
+    odd = pd.concat([cells, pd.DataFrame([("(none)", "en", "p", 5)], columns=cells.columns)])
+    kept = []
+    for c in (cells, odd):
+        out = M.cell_weights(spark.createDataFrame(c), M.FLATTENED).toPandas().merge(c, on=[*M.DIMENSIONS])
+        kept.append((out["probability"] * out["n_tokens"]).sum() / out["n_tokens"].sum())
+    assert kept[1] > kept[0] - 0.01
+
+
 def test_warc(spark):
     from peerskill.llm.warc import MAGIC, digest, read_warc, write_warc
 
