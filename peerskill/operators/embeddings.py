@@ -30,7 +30,7 @@ def knn_classifier(emb: DataFrame, k: int = 50, n_folds: int = 5) -> DataFrame:
     EV.stratified_folds(embedding_vectors(emb), "user_key", "label", n_folds).write.parquet(path)
     read = lambda: spark.read.parquet(path)
     v = read()
-    return K.knn_classify(v, v, read(), "label", "fold", KnnConfig(k=k))
+    return K.knn_classify(v, None, read(), "label", "fold", KnnConfig(k=k))
 
 
 def classifier_accuracy(pred: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Plan of ``nearest_peers``:
 
+Targets outside the population (or a given set of them) use the pivot index of
+``pivot``.  A population searched by its own members:
+
 1. hash every user into one of B blocks (B = ceil(N / block_rows));
-2. a population searched by its own members forms the block pairs i <= j, each
-   row copied to its B pairs; other targets meet every population block by a
-   cogroup (2*N*B rows, one shuffle on the block pair);
+2. form the block pairs i <= j, each row copied to its B pairs;
 3. one task per block pair runs the kernel ``distance.topk_block`` and emits
    only the k best per target plus the pair's max distance (never all pairs);
 4. a window partitioned by target (at most k*B rows each) keeps the global
@@ -76,24 +77,6 @@ def knn_vectors(user_tag: DataFrame, fallback: DataFrame | None = None) -> DataF
 _CAND_SCHEMA = "target_key long, peer_key long, distance double, block_max double"
 
 
-def _block_topk(k: int, metric: str):
-    def fn(tpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
-        if tpdf.empty or ppdf.empty:
-            return pd.DataFrame({"target_key": [], "peer_key": [], "distance": [], "block_max": []})
-        tid = tpdf["user_key"].to_numpy(dtype=np.int64)
-        pid = ppdf["user_key"].to_numpy(dtype=np.int64)
-        tm = np.vstack(tpdf["vec"].to_numpy()).astype(np.float64)
-        pm = np.vstack(ppdf["vec"].to_numpy()).astype(np.float64)
-        # J-10: the target itself is no peer; with a group column, nobody of
-        # the target's own group is (cross-validation folds)
-        tg = tpdf["grp"].to_numpy(dtype=np.int64)
-        pg = ppdf["grp"].to_numpy(dtype=np.int64)
-        t, p, d, m = topk_block(tm, tid, tg, pm, pid, pg, k, metric)
-        return pd.DataFrame({"target_key": t.astype(np.int64), "peer_key": p.astype(np.int64), "distance": d, "block_max": m})
-
-    return fn
-
-
 def _n_blocks(vectors: DataFrame, block_rows: int) -> int:
     """B = ceil(N / block_rows), but at least enough blocks that the B^2 block
     pairs keep every core busy (B^2 >= 2 x default parallelism)."""
@@ -104,26 +87,6 @@ def _n_blocks(vectors: DataFrame, block_rows: int) -> int:
     return max(1, min(max(by_size, by_cores), max(1, n)))
 
 
-def knn_candidates(targets: DataFrame, population: DataFrame, cfg: KnnConfig = KnnConfig(),
-                   n_blocks: int | None = None, group_col: str | None = None) -> DataFrame:
-    """Per-block top-k candidates (target_key, peer_key, distance, block_max).
-
-    ``targets`` and ``population`` are (user_key, vec) tables; the same table
-    may be passed twice (every user is a target).  Pairs with the same
-    ``group_col`` value are excluded (default: the key itself, i.e. self)."""
-    b = n_blocks or _n_blocks(population, cfg.block_rows)
-    blocks = F.array(*[F.lit(i) for i in range(b)]) if b <= 64 else F.sequence(F.lit(0), F.lit(b - 1))
-    bid = F.pmod(F.xxhash64(F.col("user_key")), F.lit(b)).cast("int")
-    grp = (F.col(group_col) if group_col else F.col("user_key")).cast("long").alias("grp")
-    t = targets.select("user_key", "vec", grp, bid.alias("tb"), F.explode(blocks).alias("pb"))
-    p = population.select("user_key", "vec", grp, bid.alias("pb"), F.explode(blocks).alias("tb"))
-    return (
-        t.groupBy("tb", "pb")
-        .cogroup(p.groupBy("tb", "pb"))
-        .applyInPandas(_block_topk(cfg.k, cfg.metric), _CAND_SCHEMA)
-    )
-
-
 def _pair_topk(k: int, metric: str):
     """Kernel of the symmetric block-pair search: the group holds block i and
     block j (i <= j; one copy when i == j); emits the k best of block i among
@@ -169,18 +132,21 @@ def self_knn_candidates(vectors: DataFrame, cfg: KnnConfig = KnnConfig(), n_bloc
     return rep.groupBy("pi", "pj").applyInPandas(_pair_topk(cfg.k, cfg.metric), _CAND_SCHEMA)
 
 
-def nearest_peers(targets: DataFrame, population: DataFrame, cfg: KnnConfig = KnnConfig(),
+def nearest_peers(targets: DataFrame, population: DataFrame | None = None, cfg: KnnConfig = KnnConfig(),
                   n_blocks: int | None = None, group_col: str | None = None) -> DataFrame:
     """E-3: peers(target_key, peer_key, rank, distance, similarity, display_similarity).
 
     similarity          = (1 - (d - d_first) / (d_last - d_first)) * 100, range 1 if equal (W-2)
     display_similarity  = max(0, 1 - d / d_max_all) * 100, 100 when d_max_all = 0 (W-3, V-7)
-    Kept at full precision; round in sinks only.  Passing the same DataFrame
-    as targets and population takes the symmetric block-pair path."""
-    if targets is population:
+    Kept at full precision; round in sinks only.  Without ``population`` the
+    targets are each other's population (symmetric block pairs); with one, each
+    target is searched in it by the pivot index, a row of its own key left out."""
+    if population is None:
         cand = self_knn_candidates(targets, cfg, n_blocks, group_col)
     else:
-        cand = knn_candidates(targets, population, cfg, n_blocks, group_col)
+        from .pivot import build_index, pivot_candidates
+
+        cand = pivot_candidates(targets, build_index(population, cfg, group_col), cfg, group_col)
     w = Window.partitionBy("target_key").orderBy(F.round("distance", 9), "peer_key")
     ranked = (
         cand.withColumn("d_max_all", F.max("block_max").over(Window.partitionBy("target_key")))
@@ -201,19 +167,13 @@ def nearest_peers(targets: DataFrame, population: DataFrame, cfg: KnnConfig = Kn
 
 # M-21 -------------------------------------------------------------------------------
 
-def knn_classify(targets: DataFrame, population: DataFrame, labels: DataFrame, label_col: str, fold_col: str,
+def knn_classify(targets: DataFrame, population: DataFrame | None, labels: DataFrame, label_col: str, fold_col: str,
                  cfg: KnnConfig = KnnConfig()) -> DataFrame:
     """Cross-validated KNN classification: each row's k nearest rows outside
     its own fold vote; the most frequent label wins, the smallest label on
-    ties.  The three inputs are independent reads of one written table of
-    (user_key, vec, label, fold): a self-join of one DataFrame object through
-    a cogrouped pandas function is not resolved reliably by the analyzer."""
-    if targets is population:
-        v = targets.select("user_key", "vec", fold_col)
-        peers = nearest_peers(v, v, cfg, group_col=fold_col)          # symmetric block pairs
-    else:
-        peers = nearest_peers(targets.select("user_key", "vec", fold_col),
-                              population.select("user_key", "vec", fold_col), cfg, group_col=fold_col)
+    ties.  Without ``population`` the targets are searched among themselves."""
+    of = lambda df: df.select("user_key", "vec", fold_col)
+    peers = nearest_peers(of(targets), None if population is None else of(population), cfg, group_col=fold_col)
     lab = labels.select(F.col("user_key").alias("peer_key"), F.col(label_col).alias("_lab"))
     votes = peers.join(lab, "peer_key").groupBy("target_key", "_lab").agg(F.count(F.lit(1)).alias("_n"))
     best = votes.groupBy("target_key").agg(F.max(F.struct(F.col("_n"), (-F.col("_lab")).alias("_neg"))).alias("_b"))

@@ -110,7 +110,7 @@ class Inputs:
     def peers(self) -> DataFrame:
         def build():
             v = materialize(self.spark, self.vectors(), "vectors")
-            return materialize(self.spark, K.nearest_peers(v, v, self.settings.knn), "peers")
+            return materialize(self.spark, K.nearest_peers(v, cfg=self.settings.knn), "peers")
         return self._get("peers", build)
 
     # E-2
