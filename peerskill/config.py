@@ -104,6 +104,9 @@ RANK_ORDER = [
 SUCCESS_GBT = dict(max_iter=500, step_size=0.05, max_depth=6, min_instances=50, subsample=0.8)
 ATTEMPTS_GBT = dict(max_iter=500, step_size=0.05, max_depth=6, min_instances=50, subsample=0.8)
 GROWTH_GBT = dict(max_iter=600, step_size=0.03, max_depth=5, min_instances=30, subsample=0.8)
+EARLY_STOPPING = 50          # rounds without a better validation error after which boosting stops
+# [lo, hi) bands of the current rating in which errors are reported.
+ERROR_BANDS = ((900, 1200), (1200, 1600), (1600, 2000), (2000, 2600))
 
 # Profile features of the growth model (fixed values).  The contest features (total_contests, contests_per_year,
 # practice_sub_ratio, contest_sub_ratio) and subs_per_active_day have no column in the profile table.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import parallelism as _parallelism
 
-from ..config import TAGS, WEAK_THRESHOLD
+from ..config import ERROR_BANDS, TAGS, WEAK_THRESHOLD
 
 
 # M-3 / W-11: deterministic hash split and folds ---------------------------------
@@ -83,8 +83,7 @@ def binary_metrics(df: DataFrame, y: str = "y", p: str = "pred", threshold: floa
                         .otherwise(F.lit(0.0)))
 
 
-def mae_by_band(df: DataFrame, rating: str, y: str = "y", p: str = "pred",
-                bands=((900, 1200), (1200, 1600), (1600, 2000), (2000, 2600))) -> DataFrame:
+def mae_by_band(df: DataFrame, rating: str, y: str = "y", p: str = "pred", bands=ERROR_BANDS) -> DataFrame:
     """M-11: MAE and n per [lo, hi) rating band."""
     band = None
     for lo, hi in bands:
@@ -110,7 +109,7 @@ def residual_histogram(df: DataFrame, y: str = "y", p: str = "pred", bins: int =
     mean_r = r.agg(F.avg("r")).scalar()
     width = (hi - lo) / bins
     b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((F.col("r") - lo) / width), F.lit(bins - 1))).cast("int")
-    return r.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(
+    return r.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")).select(
         "bin", "n", lo.alias("lo"), hi.alias("hi"), mean_r.alias("mean_residual"))
 
 

@@ -1,22 +1,26 @@
 """Registered model jobs (M-4..M-8, M-13..M-16, M-18, M-19, M-23, S-10).
 
-No SQL oracle: boosted trees and solvers have no SQL equivalent, so these
-are checked by invariants in the tests (schema, row counts, ranges)."""
+Solvers have no SQL equivalent.  The fitted trees are read back as node tables
+(``trees``): ``ensemble_nodes`` recomputes every model's predictions and
+importances from the stored nodes, row by row against the rows that SQL
+expects; the metrics are recomputed in the tests."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import TAGS
+from ..config import PROFILE_FEATURES, TAGS
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import models as M
 from ..operators import recommend as R
 from ..operators import scoring as SC
 from ..operators import skill as S
+from ..operators import trees as T
 from ..session import scratch_path
 from . import sql_blocks as Q
 from .catalog import register
+from .jobs import materialize
 from .registry_eval import _FRAME
 
 
@@ -46,8 +50,101 @@ def success_model_eval(inp):
 
 @register("success_feature_importance")
 def success_feature_importance(inp):
-    """M-14 / L-6: top-15 features of the success model."""
-    return M.feature_importance(_success_model(inp), SC.FEATURE_NAMES, 15)
+    """M-14 / L-6: top-15 features of the success model by split count."""
+    return M.feature_importance(_success_model(inp), 15)
+
+
+def _forest_frame(inp):
+    def build():
+        piv = S.strength_pivot(inp.user_tag_table(), fill=0.0)
+        frame = piv.join(inp.profiles_table().select("user_key", "first_try_rate"), "user_key")
+        return materialize(inp.spark, EV.shuffled_folds(frame, "user_key"), "forest_frame")
+    return inp._get("forest_frame", build)
+
+
+_FOREST_FEATURES = [f"strength_{t}" for t in TAGS]
+
+
+def _ensembles(inp, names=("success", "attempts", "growth", "forest")):
+    """(name, fitted pipeline, rows that it has not seen) of the tree models ``names``."""
+    test = lambda df: df.filter(F.col("split") == "test")
+    no_item = lambda df: df.withColumn("item", F.lit(None).cast("string"))
+    forest = lambda: M.fit_forest(_forest_frame(inp).filter("fold <> 0"), _FOREST_FEATURES, "first_try_rate")
+    of = {
+        "success": lambda: (_success_model(inp), test(inp.success_frame())), "attempts": lambda: (_attempts_model(inp), test(inp.attempts_frame())),
+        "growth": lambda: (_growth_model(inp), no_item(test(inp.growth_frame()))),
+        "forest": lambda: (inp._get("m_forest", forest), no_item(_forest_frame(inp).filter("fold = 0"))),
+    }
+    return [(n, *of[n]()) for n in names]
+
+
+_HASHED = "('0x' || substr(md5(CAST(user_key AS VARCHAR)), 1, 8))::BIGINT % 5 = 0"
+_SKILLED = f"FROM profiles WHERE user_key IN (SELECT user_key FROM user_tag) AND {_HASHED}"
+
+
+def _feature_rows(name, features):
+    return ", ".join(f"('{name}', '{f}', {i})" for i, f in enumerate(features))
+
+
+_MODEL_FEATURES = (("success", SC.FEATURE_NAMES), ("attempts", SC.FEATURE_NAMES), ("growth", PROFILE_FEATURES + _FOREST_FEATURES), ("forest", _FOREST_FEATURES))
+
+
+@register("ensemble_nodes", Q.with_(*_FRAME) + f"""
+      SELECT 'success' AS model, 'prediction' AS kind, user_key, item AS name, CAST(NULL AS INTEGER) AS position, true AS same FROM sframe WHERE split = 'test'
+      UNION ALL SELECT 'attempts', 'prediction', user_key, item, NULL, true FROM sframe WHERE split = 'test' AND ever_ac = 1
+      UNION ALL SELECT 'growth', 'prediction', user_key, NULL, NULL, true {_SKILLED}
+      UNION ALL SELECT 'forest', 'prediction', user_key, NULL, NULL, true {_SKILLED}
+      UNION ALL SELECT model, 'importance', NULL, feature, CAST(position AS INTEGER), true
+      FROM (VALUES {", ".join(_feature_rows(*x) for x in _MODEL_FEATURES)}) v(model, feature, position)""")
+def ensemble_nodes(inp):
+    """M-4..M-6 / M-14 / M-23: the fitted trees read back as node tables.  Every test row is scored by walking the stored nodes (``same``:
+    as the fitted model does), and every feature's gain share and the number of splits are summed from them (``same``: as the model's)."""
+    out = None
+    for name, model, rows in _ensembles(inp):
+        stored, fitted = T.saved(model, name), model.stages[-1]
+        scored = T.predict(model.transform(rows).withColumnRenamed("prediction", "fitted"), stored)
+        close = F.abs(F.col("prediction") - F.col("fitted")) <= 1e-9 * (1 + F.abs("fitted"))
+        walked = scored.select(F.lit(name).alias("model"), F.lit("prediction").alias("kind"), "user_key", F.col("item").alias("name"),
+                               F.lit(None).cast("int").alias("position"), close.alias("same"))
+        gains = F.array(*[F.lit(float(x)) for x in fitted.featureImportances.toArray()])  # a number per feature
+        own, inner = T.importances(stored), (fitted.totalNumNodes - fitted.getNumTrees) // 2
+        summed = own.select(F.lit(name).alias("model"), F.lit("importance").alias("kind"), F.lit(None).cast("long").alias("user_key"), F.col("feature").alias("name"),
+                            "position", ((F.abs(F.get(gains, F.col("position")) - F.col("gain")) < 1e-9) & (own.agg(F.sum("splits")).scalar() == inner)).alias("same"))
+        part = walked.unionByName(summed)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("model_diagnostics")
+def model_diagnostics(inp):
+    """M-11..M-14 of the trained models: the top-15 features by split count (attempts, growth, forest), errors by rating band (attempts,
+    growth) and the mean prediction by actual attempts."""
+    parts = []
+
+    def add(name, kind, df, label, n, value):
+        parts.append(df.select(F.lit(name).alias("model"), F.lit(kind).alias("kind"), F.col(label).cast("string").alias("label"),
+                               F.col(n).alias("n"), F.col(value).alias("value")))
+
+    for name, model, rows in _ensembles(inp, ("attempts", "growth", "forest")):
+        add(name, "splits_and_gain", M.feature_importance(model, 15), "feature", "splits", "gain")
+        if name != "forest":
+            lo, hi = M.ATTEMPTS_CLIP_RANGE if name == "attempts" else (0.0, float("inf"))
+            scored = model.transform(rows).withColumn("p", F.least(F.greatest("prediction", F.lit(lo)), F.lit(hi)))
+            add(name, "mae_by_band", EV.mae_by_band(scored, "cf_rating", y=name, p="p"), "band", "n", "mae")
+        if name == "attempts":
+            add(name, "calibration", EV.calibration(scored, y=name, p="p"), "actual", "n", "mean_pred")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("forest_residuals")
+def forest_residuals(inp):
+    """M-25 / M-26 of the cross-validated forest: 60-bin residual histogram with the slope and intercept of predicted on actual."""
+    s = materialize(inp.spark, M.rf_cross_validated(_forest_frame(inp), _FOREST_FEATURES, "first_try_rate"), "forest_scored")
+    line = EV.fit_line(s)
+    return EV.residual_histogram(s).select("*", line.select("slope").scalar().alias("slope"), line.select("intercept").scalar().alias("intercept"))
 
 
 @register("attempts_model_comparison")
@@ -102,10 +199,7 @@ def tag_impact_ml(inp):
 @register("rf_first_try_cv")
 def rf_first_try_cv(inp):
     """M-23: 5-fold random forest, tag strengths -> first-try rate: R^2, MAE, residual mean / std."""
-    piv = S.strength_pivot(inp.user_tag_table(), fill=0.0)
-    frame = piv.join(inp.profiles_table().select("user_key", "first_try_rate"), "user_key")
-    frame = EV.shuffled_folds(frame, "user_key").checkpoint(eager=True)
-    s = M.rf_cross_validated(frame, [f"strength_{t}" for t in TAGS], "first_try_rate")
+    s = materialize(inp.spark, M.rf_cross_validated(_forest_frame(inp), _FOREST_FEATURES, "first_try_rate"), "forest_scored")
     r = F.col("pred") - F.col("y")
     return EV.regression_metrics(s).select(
         "n", "mae", "r2", s.agg(F.avg(r)).scalar().alias("residual_mean"),
