@@ -1,13 +1,14 @@
 """Peer benchmark (E-2): every target's tag stats against the medians of its peers.
 
 Inputs are whole tables: per-(user, item) rows, and ``peers(target_key,
-peer_key, ...)`` for all targets at once.  The peer side is one equi-join on
-peer_key followed by one grouped median per (target, tag); each group holds
-at most k values, so the holistic median is bounded."""
+peer_key, ...)`` for all targets at once.  A user's stats of the 20 tags are
+one row with a fixed array (three whole numbers a tag), so peers meet them in
+N x k rows, not N x k x 20; the k arrays of a target are gathered, and the
+medians of a tag are read from its sorted slice of at most k values."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TAGS
@@ -15,36 +16,87 @@ from ..functions import formulas as fx
 from . import skill as S
 
 
-def item_stats(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """A-1 (rated items only, P-13) -> A-5, zero-filled for the 20 tags."""
-    return S.user_tag_item_stats(pairs.filter(F.col("item_rating") > 0), items, zero_fill=True)
+def user_slots(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """A-1 (rated items only, P-13) -> A-5 as one row per user: total_solved and ``slots``, for each of the 20 tags in canonical order the
+    solved and attempted items and the ratings solved, added up.  One shuffle on the user, with 60 conditional sums."""
+    rated = pairs.filter(F.col("item_rating") > 0).select("user_key", "item", "item_rating", "ever_ac")
+    t = S.with_tags(rated, items)
+    tag = lambda x: F.array_contains("tags", x)
+    solved = F.col("ever_ac") == 1
+    cells = [F.coalesce(c, F.lit(0).cast("long")) for x in TAGS for c in (
+        F.count_if(tag(x) & solved), F.count_if(tag(x)), F.sum(F.when(tag(x) & solved, F.col("item_rating").cast("long"))))]
+    return t.groupBy("user_key").agg(F.sum("ever_ac").cast("long").alias("total_solved"), F.array(*cells).alias("slots"))
 
 
-def peer_medians(peers: DataFrame, stats: DataFrame) -> DataFrame:
-    """A-12: per (target, tag) the medians over peers; 0 when no value.
+def slots_of(stats: DataFrame) -> DataFrame:
+    """``user_slots`` of long stats (user_key, tag, solved, attempted, avg_difficulty, total_solved)."""
+    cell = lambda x, c: F.coalesce(F.max(F.when(F.col("tag") == x, c)), F.lit(0)).cast("long")
+    rated = F.round(F.col("avg_difficulty") * F.col("solved"))
+    return stats.groupBy("user_key").agg(F.max("total_solved").alias("total_solved"), F.array(
+        *[cell(x, c) for x in TAGS for c in (F.col("solved"), F.col("attempted"), rated)]).alias("slots"))
 
-    median_solved over all peers present in the stats table (J-17);
-    acceptance over peers with attempted > 0; difficulty over solved > 0;
-    specialization over total_solved > 0."""
-    p = peers.select("target_key", "peer_key").join(
-        stats.withColumnRenamed("user_key", "peer_key"), "peer_key"
-    )
-    med = lambda c: F.coalesce(F.median(c), F.lit(0.0))
-    return p.groupBy("target_key", "tag").agg(
-        med(F.col("solved").cast("double")).alias("peer_median_solved"),
-        med(F.when(F.col("attempted") > 0, F.col("solved") / F.col("attempted"))).alias("peer_median_acceptance"),
-        med(F.when(F.col("solved") > 0, F.col("avg_difficulty"))).alias("peer_median_difficulty"),
-        med(F.when(F.col("total_solved") > 0, F.col("solved") / F.col("total_solved"))).alias(
-            "peer_median_specialization"
-        ),
-    )
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value found once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def median_of(values: Column) -> Column:
+    """Median of an array: the middle of its sorted values, the mean of two for an even number; null for none."""
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        half = F.floor(n / 2).cast("int")
+        return F.when(n == 0, F.lit(None).cast("double")).when(n % 2 == 1, F.get(s, half)).otherwise((F.get(s, half - 1) + F.get(s, half)) / 2)
+
+    return _let(F.array_sort(values), middle)
+
+
+_MEDIANS = ["peer_median_solved", "peer_median_acceptance", "peer_median_difficulty", "peer_median_specialization"]
+
+
+def slot_medians(peers: DataFrame, slots: DataFrame) -> DataFrame:
+    """A-12: target_key and ``medians``, an array of 20 structs; 0 when no value.
+
+    solved over all peers present in the stats (J-17); acceptance over peers
+    with attempted > 0; difficulty over solved > 0; specialization over
+    total_solved > 0."""
+    side = slots.select(F.col("user_key").alias("peer_key"), F.struct("total_solved", "slots").alias("p"))
+    own = peers.select("target_key", "peer_key").join(side, "peer_key", "left").groupBy("target_key").agg(F.collect_list("p").alias("ps"))  # k rows a target
+    ps = F.col("ps")
+
+    def of(i: Column) -> Column:
+        at = lambda p, j: F.get(p["slots"], i * 3 + j)
+        med = lambda keep, value: F.coalesce(median_of(F.transform(F.filter(ps, keep), value)), F.lit(0.0))
+        return F.struct(
+            F.coalesce(median_of(F.transform(ps, lambda p: at(p, 0).cast("double"))), F.lit(0.0)).alias(_MEDIANS[0]),
+            med(lambda p: at(p, 1) > 0, lambda p: at(p, 0) / at(p, 1)).alias(_MEDIANS[1]),
+            med(lambda p: at(p, 0) > 0, lambda p: at(p, 2) / at(p, 0)).alias(_MEDIANS[2]),
+            med(lambda p: p["total_solved"] > 0, lambda p: at(p, 0) / p["total_solved"]).alias(_MEDIANS[3]),
+        )
+
+    return own.select("target_key", F.transform(F.sequence(F.lit(0), F.lit(len(TAGS) - 1)), of).alias("medians"))
 
 
-def tag_strengths_vs_peers(target_stats: DataFrame, medians: DataFrame) -> DataFrame:
-    """F-9 / F-10 and L-3 for every (target, tag)."""
-    j = target_stats.withColumnRenamed("user_key", "target_key").join(medians, ["target_key", "tag"], "left")
-    j = j.fillna(0.0, subset=["peer_median_solved", "peer_median_acceptance", "peer_median_difficulty",
-                              "peer_median_specialization"])
+def _by_tag(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """A row per entry of ``column``: ord, tag and the entry ``x``."""
+    names = F.array(*[F.lit(t) for t in TAGS])
+    return df.select(*keep, F.posexplode(column).alias("ord", "x")).withColumn("tag", F.get(names, F.col("ord")))
+
+
+def peer_medians(peers: DataFrame, stats: DataFrame) -> DataFrame:
+    """A-12 in long form, from long stats: per (target, tag) the medians over peers that have stats."""
+    return _by_tag(slot_medians(peers, slots_of(stats)), "medians", "target_key").select("target_key", "tag", "x.*")
+
+
+def peer_benchmark(pairs: DataFrame, items: DataFrame, peers: DataFrame) -> DataFrame:
+    """E-2 for all targets in ``peers`` that have stats: F-9 / F-10 and L-3 for every (target, tag)."""
+    slots = user_slots(pairs, items)
+    own = slots.withColumnRenamed("user_key", "target_key").join(slot_medians(peers, slots), "target_key")
+    each = F.transform(F.col("medians"), lambda m, i: F.struct(
+        F.get("slots", i * 3).alias("solved"), F.get("slots", i * 3 + 1).alias("attempted"), F.get("slots", i * 3 + 2).alias("rated"), m.alias("m")))
+    j = _by_tag(own.withColumn("each", each), "each", "target_key", "total_solved").select(
+        "target_key", "tag", "ord", "total_solved", "x.solved", "x.attempted", "x.m.*",
+        F.when(F.col("x.solved") > 0, F.col("x.rated") / F.col("x.solved")).otherwise(F.lit(0.0)).alias("avg_difficulty"))
     solved, attempted, total = F.col("solved"), F.col("attempted"), F.col("total_solved")
     user_acc = F.when(attempted > 0, solved / attempted).otherwise(F.lit(0.0))
     user_spec = F.when(total > 0, solved / total).otherwise(F.lit(0.0))
@@ -53,41 +105,37 @@ def tag_strengths_vs_peers(target_stats: DataFrame, medians: DataFrame) -> DataF
     spec = fx.ratio_score(user_spec, F.col("peer_median_specialization"))
     vol = fx.volume_ratio(solved, F.col("peer_median_solved"))
     out = j.select(
-        "target_key", "tag", "solved", "attempted", "avg_difficulty",
+        "target_key", "tag", "ord", "solved", "attempted", "avg_difficulty",
         user_acc.alias("acceptance_rate"), user_spec.alias("specialization_score"),
         acc.alias("acc_score"), diff.alias("diff_score"), spec.alias("spec_score"), vol.alias("vol_score"),
-        fx.peer_strength(acc, diff, spec, vol).alias("strength"),
-        "peer_median_solved", "peer_median_acceptance", "peer_median_difficulty", "peer_median_specialization",
-    )
-    # L-3: rank tags with attempted >= 1 by strength desc, canonical tag order on ties
-    ord_ = F.array_position(F.array(*[F.lit(t) for t in TAGS]), F.col("tag"))
-    w = Window.partitionBy("target_key", (F.col("attempted") >= 1)).orderBy(F.col("strength").desc(), ord_)
-    return out.withColumn(
-        "tag_rank", F.when(F.col("attempted") >= 1, F.row_number().over(w)).cast("int")
+        fx.peer_strength(acc, diff, spec, vol).alias("strength"), *_MEDIANS,
     )
+    # L-3: rank tags with attempted >= 1 by strength desc, canonical tag order on ties; at most 20 rows a window
+    w = Window.partitionBy("target_key", (F.col("attempted") >= 1)).orderBy(F.col("strength").desc(), "ord")
+    return out.withColumn("tag_rank", F.when(F.col("attempted") >= 1, F.row_number().over(w)).cast("int")).drop("ord")
 
 
-def peer_benchmark(pairs: DataFrame, items: DataFrame, peers: DataFrame) -> DataFrame:
-    """E-2 for all targets in ``peers``."""
-    stats = item_stats(pairs, items)
-    targets = peers.select("target_key").distinct().withColumnRenamed("target_key", "user_key")
-    target_stats = stats.join(targets, "user_key", "left_semi")
-    return tag_strengths_vs_peers(target_stats, peer_medians(peers, stats))
+# A-13 / A-14 / F-11 variant ----------------------------------------------------
 
+_STORED = ["acceptance_rate", "difficulty_score", "specialization_score", "ac_count", "tag_strength"]
 
-# A-13 / A-14 / F-11 variant ----------------------------------------------------
 
 def peer_medians_variant(peers: DataFrame, user_tag: DataFrame) -> DataFrame:
-    """A-13: medians of the stored component scores and ac_count, only peers
-    that have the tag."""
-    p = peers.select("target_key", "peer_key").join(user_tag.withColumnRenamed("user_key", "peer_key"), "peer_key")
-    return p.groupBy("target_key", "tag").agg(
-        F.median("acceptance_rate").alias("med_acceptance"),
-        F.median("difficulty_score").alias("med_difficulty"),
-        F.median("specialization_score").alias("med_specialization"),
-        F.median(F.col("ac_count").cast("double")).alias("med_ac_count"),
-        F.median("tag_strength").alias("med_strength"),   # A-14
-    )
+    """A-13: medians of the stored component scores and ac_count (A-14: of the strength), only peers that have the tag.
+
+    A peer's scores are one row with 20 slots (null: a tag it has not), as in ``slot_medians``."""
+    slot = lambda t: F.max(F.when(F.col("tag") == t, F.array(*[F.col(c).cast("double") for c in _STORED])))
+    slots = user_tag.groupBy(F.col("user_key").alias("peer_key")).agg(F.array(*[slot(t) for t in TAGS]).alias("slots"))
+    own = peers.select("target_key", "peer_key").join(slots, "peer_key").groupBy("target_key").agg(F.collect_list("slots").alias("ps"))
+
+    def of(i: Column) -> Column:
+        has = F.filter(F.transform("ps", lambda s: F.get(s, i)), lambda s: s.isNotNull())
+        names = ["med_acceptance", "med_difficulty", "med_specialization", "med_ac_count", "med_strength"]
+        score = lambda j: F.transform(has, lambda s: F.get(s, F.lit(j)))
+        return F.struct(F.size(has).alias("n"), *[median_of(score(j)).alias(name) for j, name in enumerate(names)])
+
+    each = own.select("target_key", F.transform(F.sequence(F.lit(0), F.lit(len(TAGS) - 1)), of).alias("medians"))
+    return _by_tag(each, "medians", "target_key").where("x.n > 0").select("target_key", "tag", "x.*").drop("n")
 
 
 def peer_strength_variant(user_tag: DataFrame, peers: DataFrame) -> DataFrame:
