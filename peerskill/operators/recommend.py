@@ -3,8 +3,9 @@ M-16, M-17, M-19, E-4).
 
 Shapes and bounds:
 * the candidate pool is peers (N x k) joined to each peer's distinct solved
-  items, anti-joined with the target's solved items and summed per
-  (target, item) - a partial/final aggregate, skew handled by AQE;
+  items, summed per (target, item) and anti-joined with the target's solved
+  items; peers that many targets share are dealt to several tasks by their
+  number of pairs (``skew.salted_join``);
 * every per-target window is over at most ``limit`` (200) rows, or 20 tags;
 * per-user strength maps hold at most 20 entries (fixed vocabulary).
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import CF_BOOST, DEFAULT_RATING, PROBLEMS_PER_50_RATING, TAGS, RecommendConfig
 from ..functions import formulas as fx
 from . import scoring as SC
+from .skew import salted_join
 
 
 # A-18 / U-4 -------------------------------------------------------------------
@@ -43,14 +45,14 @@ def collaborative_candidates(peers: DataFrame, pairs: DataFrame, items: DataFram
     solved = solved_pairs(pairs)
     # the peer side keeps only rated items (J-7 drops the rest anyway): the
     # join below is the O(N x k x solved) step of E-4, so shrink it first;
-    # partial aggregation on (target, item) follows in the same stage
+    # each task sums its own (target, item) pairs before they are shuffled
     peer_solved = solved_pairs(pairs.filter(F.col("item_rating") > 0))
     w = peers.select("target_key", "peer_key", (F.col(weight_col) / 100.0).alias("w"))
     pool = (
-        w.join(peer_solved.withColumnRenamed("user_key", "peer_key"), "peer_key")
-        .join(solved.withColumnRenamed("user_key", "target_key"), ["target_key", "item"], "left_anti")
+        salted_join(w, peer_solved.withColumnRenamed("user_key", "peer_key"), "peer_key", "target_key", "item")
         .groupBy("target_key", "item")
         .agg(F.sum("w").alias("collab_score"))
+        .join(solved.withColumnRenamed("user_key", "target_key"), ["target_key", "item"], "left_anti")
         .join(item_metadata(items), "item")
     )
     # order keys rounded to 1e-9 so float summation order cannot flip ties
@@ -71,16 +73,18 @@ def weighted_peer_strength(peers: DataFrame, user_tag: DataFrame) -> DataFrame:
     """A-15: per (target, tag) sum(w * s) / sum(w), w = display_similarity / 100;
     0.5 when the weight sum is 0 or no peer has the tag.  All 20 tags."""
     w = peers.select("target_key", "peer_key", (F.col("display_similarity") / 100.0).alias("w"))
-    agg = (
-        w.join(user_tag.select(F.col("user_key").alias("peer_key"), "tag", "tag_strength"), "peer_key")
-        .groupBy("target_key", "tag")
-        .agg(F.sum(F.col("w") * F.col("tag_strength")).alias("ws"), F.sum("w").alias("sw"))
-    )
-    grid = peers.select("target_key").distinct().withColumn("tag", F.explode(F.array(*[F.lit(t) for t in TAGS])))
-    return grid.join(agg, ["target_key", "tag"], "left").select(
-        "target_key", "tag",
-        F.when(F.col("sw") > 0, F.col("ws") / F.col("sw")).otherwise(F.lit(0.5)).alias("peer_strength"),
-    )
+    own = user_tag.groupBy(F.col("user_key").alias("peer_key")).agg(
+        F.array(*[F.max(F.when(F.col("tag") == t, F.col("tag_strength"))) for t in TAGS]).alias("s"))  # a row per peer, 20 slots
+    joined = salted_join(w, own, "peer_key", "target_key", "peer_key")
+    cells = []
+    for i in range(len(TAGS)):
+        s = F.get("s", F.lit(i))
+        cells += [F.sum(F.col("w") * s), F.sum(F.when(s.isNotNull(), F.col("w")))]
+    sums = joined.groupBy("target_key").agg(F.array(*cells).alias("sums"))
+    grid = peers.select("target_key").distinct().join(sums, "target_key", "left").select(
+        "target_key", "sums", F.posexplode(F.array(*[F.lit(t) for t in TAGS])).alias("ord", "tag"))
+    ws, sw = F.get("sums", F.col("ord") * 2), F.get("sums", F.col("ord") * 2 + 1)
+    return grid.select("target_key", "tag", F.when(sw > 0, ws / sw).otherwise(F.lit(0.5)).alias("peer_strength"))
 
 
 def strength_map(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
