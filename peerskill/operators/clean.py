@@ -4,7 +4,7 @@ Every function is ``DataFrame -> DataFrame``; nothing is collected."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import MIN_ACCEPTED, RAW_TAG_MAP, TAGS, VERDICT_FAIL, VERDICT_OK
@@ -131,16 +131,17 @@ def clean_attempts(df: DataFrame, items: DataFrame, min_accepted: int = MIN_ACCE
 
 # P-14 .. P-23 ----------------------------------------------------------------
 
-def clean_handles(df: DataFrame, col: str = "handle") -> DataFrame:
+def clean_handles(df: DataFrame, col: str = "handle", observed: Observation | None = None) -> DataFrame:
     """P-14 (F-31 string helpers: strip, lstrip set, compare): strip any whitespace, then leading ``=+-@``; drop '#NAME?', null, empty.
 
-    Strip first, then test (V-24): ``=#NAME?`` cleans to ``#NAME?`` and is dropped."""
+    Strip first, then test (V-24): ``=#NAME?`` cleans to ``#NAME?`` and is dropped.  ``observed`` takes the number of rows read and
+    dropped from the same pass over the rows; its ``get`` waits for the first action on the result."""
     stripped = F.regexp_replace(F.col(col), r"^\s+|\s+$", "")
-    cleaned = F.regexp_replace(stripped, r"^[=+\-@]+", "")
-    return (
-        df.withColumn(col, cleaned)
-        .filter(F.col(col).isNotNull() & (F.col(col) != "#NAME?") & (F.length(F.col(col)) > 0))
-    )
+    cleaned = df.withColumn(col, F.regexp_replace(stripped, r"^[=+\-@]+", ""))
+    good = F.col(col).isNotNull() & (F.col(col) != "#NAME?") & (F.length(F.col(col)) > 0)
+    if observed is not None:
+        cleaned = cleaned.observe(observed, F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(good, F.lit(False))).alias("dropped"))
+    return cleaned.filter(good)
 
 
 def alias_schema_drift(df: DataFrame, old: str = "tag_implementation", new: str = "tag_impl") -> DataFrame:

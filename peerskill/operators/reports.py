@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RANK_ORDER, TAGS
+from ..session import scratch_path
+from .quantile import exact_quantile
 
 
 def distinct_users(user_tag: DataFrame, approx: bool = False) -> DataFrame:
@@ -86,11 +88,15 @@ def target_vs_peer_profile(peers: DataFrame, strengths: DataFrame) -> DataFrame:
 
 
 def recommendation_quadrants(recs: DataFrame) -> DataFrame:
-    """M-28: split by the median weakness_boost (global) and difficulty_match 0.5."""
-    med = recs.agg(F.median("weakness_boost")).scalar()
+    """M-28: split by the exact median weakness_boost (global) and difficulty_match 0.5.  The two columns are written
+    once; the median comes from counting passes over them (``quantile``), not from a sort in one task."""
+    path = scratch_path(recs.sparkSession, "quadrants")
+    recs.select("weakness_boost", "difficulty_match").write.parquet(path)
+    own = recs.sparkSession.read.parquet(path)
+    med = F.lit(exact_quantile(own, "weakness_boost", 0.5)).cast("double")
     q = (F.when(F.col("weakness_boost") >= med, F.lit("high_boost")).otherwise(F.lit("low_boost")))
     m = F.when(F.col("difficulty_match") >= 0.5, F.lit("reachable")).otherwise(F.lit("stretch"))
-    return recs.groupBy(q.alias("boost_half"), m.alias("match_half")).agg(F.count(F.lit(1)).alias("n")).select(
+    return own.groupBy(q.alias("boost_half"), m.alias("match_half")).agg(F.count(F.lit(1)).alias("n")).select(
         "*", med.alias("median_boost"))
 
 

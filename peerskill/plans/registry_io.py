@@ -4,6 +4,7 @@ to the shared checkpoint folder and reads them back through the readers
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..config import TAGS
@@ -12,6 +13,7 @@ from ..operators import ordered as O
 from ..session import scratch_path
 from ..sources import io as IO
 from ..sources import testdata as td
+from . import refresh as RF
 from . import sql_blocks as Q
 from .catalog import register, rounded_select
 
@@ -37,27 +39,22 @@ def raw_records_flatten(inp):
                        F.array_join("tags", ",").alias("tags_csv"))
 
 
-_WIDE_FLAGS = ["is_ac", "is_wa", "is_tle", "is_mle"]
-_WIDE_COLS = ["handle", "problem_id", "problem_name", "problem_rating", *_WIDE_FLAGS, "submitted_at", *[f"tag_{t}" for t in TAGS]]
-
-
-@register("chunk_merge_refresh", Q.with_(Q.ATT_ORDER) + " SELECT " + ", ".join(_WIDE_COLS) + """ FROM (
-      SELECT *, row_number() OVER (PARTITION BY handle, problem_id, submitted_at
+_WIDE_COLS = RF.WIDE
+_MERGED = """ (SELECT *, row_number() OVER (PARTITION BY handle, problem_id, submitted_at
                                    ORDER BY is_ac DESC, is_wa DESC, is_tle DESC, is_mle DESC) AS rn
       FROM (SELECT CAST(user_key AS VARCHAR) AS handle, item AS problem_id, item AS problem_name,
                    CAST(item_rating AS DOUBLE) AS problem_rating, is_ac, is_wa, is_tle, is_mle,
-                   CAST(floor(epoch(submitted_at)) AS BIGINT) AS submitted_at,
+                   CAST(floor(epoch(submitted_at)) AS BIGINT) AS submitted_at, tags,
                    """ + ", ".join(f"CAST(list_contains(tags, '{t}') AS TINYINT) AS tag_{t}" for t in TAGS) + """ FROM att_order))
-    WHERE rn = 1 AND problem_rating > 0""")
-def chunk_merge_refresh(inp):
-    """E-5 / S-4 / P-14 / P-15 / U-1 / W-5 / P-13: an existing dataset (a quarter of the attempt log) merged with
-    three wide CSV chunks (one with the old ``tag_implementation`` column name, one with unclean handles),
-    an unreadable chunk and one that is not there: handles cleaned, newest row kept per (handle, item, time),
-    unrated dropped, all columns kept."""
+    WHERE rn = 1 AND problem_rating > 0"""
+
+
+def _weekly_chunks(inp, base: str) -> list[str]:
+    """An existing dataset (a quarter of the attempt log) and three wide CSV chunks under ``base`` (one with the old
+    ``tag_implementation`` column name, one with unclean handles), an unreadable chunk and one that is not there."""
     spark = inp.spark
     a = td.att_order(spark, inp.sf_dir).join(inp.items_order().select("item", "tags"), "item")
     wide = IO.attempts_to_wide(a)
-    base = scratch_path(spark, "chunks")
     part = F.pmod(F.col("submitted_at"), F.lit(4))
     wide.filter(part == 3).write.parquet(f"{base}/existing")
     for i in range(3):
@@ -68,14 +65,60 @@ def chunk_merge_refresh(inp):
             c = c.withColumnRenamed("tag_impl", "tag_implementation")
         c.write.option("header", True).csv(f"{base}/chunk_{i}")
     spark.createDataFrame([("not,a,valid\x00chunk",)], "value string").write.text(f"{base}/chunk_3")
-    new = IO.read_attempts_csv(spark, [f"{base}/chunk_{i}" for i in range(5)])
-    old = spark.read.schema(IO.ATTEMPT_CSV_SCHEMA).parquet(f"{base}/existing").select(
-        *[F.col(c).cast(t.dataType) for c, t in zip(new.columns, new.schema)])
-    merged = C.clean_handles(old.unionByName(new))
-    payload = [c for c in _WIDE_COLS if c not in ("handle", "problem_id", "submitted_at")]
-    order = [*_WIDE_FLAGS, *[c for c in payload if c not in _WIDE_FLAGS]]
-    newest = O.dedup_newest(merged.withColumn("attempt_id", F.lit(0)), ["handle", "problem_id", "submitted_at"], order)
-    return C.drop_unrated(newest, "problem_rating").select(*_WIDE_COLS)
+    return [f"{base}/chunk_{i}" for i in range(5)]
+
+
+@register("chunk_merge_refresh", Q.with_(Q.ATT_ORDER) + " SELECT " + ", ".join(_WIDE_COLS) + " FROM" + _MERGED)
+def chunk_merge_refresh(inp):
+    """E-5 / S-4 / P-14 / P-15 / U-1 / W-5 / P-13: the weekly chunks merged with the existing dataset: handles cleaned,
+    newest row kept per (handle, item, time), unrated dropped, all columns kept."""
+    base = scratch_path(inp.spark, "chunks")
+    return RF.merge_chunks(inp.spark, _weekly_chunks(inp, base), f"{base}/existing")
+
+
+_REFRESHED = Q.with_(Q.ATT_ORDER, "mrg AS (SELECT CAST(handle AS BIGINT) AS user_key, problem_id AS item, CAST(problem_rating AS INTEGER) AS item_rating, tags,"
+                     " is_ac, CAST(greatest(is_wa, is_tle, is_mle) AS TINYINT) AS is_wa, submitted_at, 0 AS attempt_id FROM" + _MERGED
+                     + " AND (is_ac <> 0 OR greatest(is_wa, is_tle, is_mle) <> 0))", Q.profiles("mrg"), Q.user_tag("mrg"))
+
+
+def _refreshed(inp):
+    """The refresh job over the weekly chunks up to the skill tables, run twice: the second run finds all steps done."""
+    base = scratch_path(inp.spark, "refresh")
+    chunks = _weekly_chunks(inp, f"{base}/in")
+    inp.ratings().select(F.col("user_key").cast("string").alias("handle"), "cf_rating", "cf_max_rating", "cf_rank").write.parquet(f"{base}/ratings")
+    for _ in range(2):
+        job = RF.refresh(inp.spark, f"{base}/job", chunks, f"{base}/in/existing", f"{base}/ratings", models=False)
+    return job
+
+
+@register("refresh_skill_table", _REFRESHED + " SELECT user_key, tag, total_attempts, ac_count, wa_count, round(tag_strength, 6) AS tag_strength, 0 AS steps_run_again FROM user_tag")
+def refresh_skill_table(inp):
+    """E-5 / E-1 / P-14: the skill table of the restartable refresh job, and how many steps its second run had to do."""
+    job = _refreshed(inp)
+    return job.read(job.notes["folders"]["skill"], "user_tag").select(
+        F.col("user_key").cast("long").alias("user_key"), "tag", "total_attempts", "ac_count", "wa_count", "tag_strength", F.lit(len(job.ran)).alias("steps_run_again"))
+
+
+@register("refresh_enriched_profiles", _REFRESHED + """ SELECT p.user_key, p.unique_problems_solved, p.total_ac, s.tag AS strongest_tag_computed,
+      round(s.tag_strength, 6) AS strongest_tag_score FROM profiles p LEFT JOIN (
+        SELECT user_key, tag, tag_strength, row_number() OVER (PARTITION BY user_key ORDER BY tag_strength DESC, list_position(["""
+          + ", ".join(f"'{t}'" for t in TAGS) + """], tag)) AS rn FROM user_tag) s ON s.user_key = p.user_key AND s.rn = 1""")
+def refresh_enriched_profiles(inp):
+    """E-1 / J-2: the enriched profiles that the refresh job has written."""
+    job = _refreshed(inp)
+    return job.read(job.notes["folders"]["skill"], "enriched").select(
+        F.col("user_key").cast("long").alias("user_key"), "unique_problems_solved", "total_ac", "strongest_tag_computed", "strongest_tag_score")
+
+
+@register("handle_drops", Q.with_(Q.ATT_ORDER) + """ SELECT count(*) + count(*) FILTER (WHERE second % 4 = 1) AS rows,
+      count(*) FILTER (WHERE second % 4 = 1) AS dropped FROM (SELECT CAST(floor(epoch(submitted_at)) AS BIGINT) AS second FROM att_order)""")
+def handle_drops(inp):
+    """P-14: rows read and rows without a usable handle, counted in the pass that merges the weekly chunks."""
+    base = scratch_path(inp.spark, "drops")
+    chunks, seen = _weekly_chunks(inp, base), Observation()
+    RF.merge_chunks(inp.spark, chunks, f"{base}/existing", seen).write.format("noop").mode("overwrite").save()
+    got = seen.get
+    return inp.spark.createDataFrame([(int(got["rows"]), int(got["dropped"]))], "rows long, dropped long")
 
 
 _PEER_COLS = ["target_key", "peer_key", "rank", "distance", "similarity", "display_similarity"]

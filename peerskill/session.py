@@ -64,3 +64,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store it is."""
+    store, target = _file_system(spark, path)
+    return store.exists(target)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that a job has written, in whatever store it is."""
+    store, target = _file_system(spark, path)
+    store.delete(target, True)

@@ -23,6 +23,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..operators import clean as C
 from ..operators import ordered as O
+from ..session import drop_path as _drop
 from ..session import scratch_path
 
 #: Batches between two snapshots, and key buckets of a job (each is rewritten on its own).
@@ -30,12 +31,6 @@ COMPACT_EVERY, BUCKETS = 8, 64
 _MANIFEST = "version long, through long, bucket int, folder long"
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the job, in whatever store it is."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
 def _commit(rows: DataFrame, path: str) -> None:
     """Write the manifest: one file, which is there as a whole or not at all."""
     rows.coalesce(1).write.mode("overwrite").parquet(path)
