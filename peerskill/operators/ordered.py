@@ -117,17 +117,63 @@ def tag_accuracy(df: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+#: Hash ranges of (user, item) whose rows are counted to find hot pairs; time ranges per task into which a hot range's rows are dealt.
+PAIR_RANGES, TIMES_PER_TASK = 4096, 4
+
+
+def _time_ranges(df: DataFrame) -> tuple[list[int], list[float]]:
+    """(hot hash ranges of (user, item), bounds of time ranges).  A range is hot if its rows exceed the mean of a task: there are fewer hot
+    ranges than tasks.  Both come from counts over the log, without a shuffle of it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    sizes = df.groupBy(_pair_range().alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()  # PAIR_RANGES rows
+    mean = sum(r["n"] for r in sizes) / parts
+    hot = sorted(r["r"] for r in sizes if r["n"] > mean)
+    if not hot:
+        return [], []
+    n = parts * TIMES_PER_TASK
+    cuts = df.where(_pair_range().isin(hot)).agg(
+        F.percentile_approx(_micros(), F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10 * n)).alias("q")).first()["q"]
+    return hot, sorted(set(cuts or []))
+
+
+def _pair_range() -> Column:
+    return F.pmod(F.xxhash64("user_key", "item"), F.lit(PAIR_RANGES)).cast("int")
+
+
+def _micros() -> Column:
+    from ..functions.formulas import epoch_micros_ntz
+
+    return epoch_micros_ntz(F.col("submitted_at"))
+
+
 def rating_buckets(df: DataFrame) -> DataFrame:
     """A-33: bucket = round(rating / 100) * 100 (half up); solved = accepted
     rows, failed = failed rows listed before the first listed AC of the item
-    (rows, not items); unrated rows skipped."""
-    m = solve_markers(df).select("user_key", "item", "newest_ok")
-    rows = df.filter(F.col("item_rating") > 0).join(m, ["user_key", "item"])
-    ok = F.col("verdict") == "OK"
-    fail_before = ~ok & (F.col("newest_ok").isNull() | (order_key_num() > F.col("newest_ok")))
-    bucket = (F.floor(F.col("item_rating") / 100.0 + 0.5) * 100).cast("int")
-    agg = rows.groupBy("user_key", bucket.alias("bucket")).agg(
-        F.count_if(ok).alias("solved"), F.count_if(fail_before).alias("failed"))
+    (rows, not items); unrated rows skipped.
+
+    The log is shuffled once, by (user, item) and, for hot pairs, a range of time.  What a range adds up to (accepted rows, failed rows newer
+    than its newest accepted one, whether it has one) can be put together in the order of time: the failed rows of the newest range with
+    an accepted row and of all newer ranges count.  So a pair that holds any share of the log is spread over tasks, and only its few range
+    sums meet again."""
+    hot, cuts = _time_ranges(df)
+    ok = F.coalesce(F.col("verdict") == "OK", F.lit(False))
+    rows = df.select("user_key", "item", "item_rating", ok.alias("ok"), order_key_num().alias("key"),
+                     (_pair_range().isin(hot) if hot else F.lit(False)).alias("hot"), _micros().alias("t"))
+    # a row without time has no order key: oldest of all
+    place = F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c <= F.col("t"))), F.lit(-1)) if cuts else F.lit(0)
+    rows = rows.withColumn("range", F.when(F.col("hot") & F.col("t").isNull(), F.lit(-1)).when(F.col("hot"), place).otherwise(F.lit(0)).cast("int")).drop("t")
+    newest = F.max(F.when(F.col("ok"), F.col("key"))).over(Window.partitionBy("user_key", "item", "range"))
+    rows = rows.withColumn("newest", newest)
+    bucket = F.when(F.col("item_rating") > 0, (F.floor(F.col("item_rating") / 100.0 + 0.5) * 100).cast("int"))
+    sums = rows.groupBy("user_key", "item", "range", "hot", bucket.alias("bucket")).agg(
+        F.count_if("ok").alias("solved"), F.count_if(~F.col("ok") & (F.col("newest").isNull() | (F.col("key") > F.col("newest")))).alias("failed"),
+        F.max("newest").isNotNull().alias("any_ok"))
+    if hot:
+        last = F.max(F.when(F.col("any_ok"), F.col("range"))).over(Window.partitionBy("user_key", "item"))
+        spread = sums.where("hot").withColumn("last", last)
+        spread = spread.withColumn("failed", F.when(F.col("last").isNull() | (F.col("range") >= F.col("last")), F.col("failed")).otherwise(F.lit(0)))
+        sums = sums.where("not hot").unionByName(spread.drop("last"))
+    agg = sums.where("bucket is not null").groupBy("user_key", "bucket").agg(F.sum("solved").alias("solved"), F.sum("failed").alias("failed"))
     tot = F.col("solved") + F.col("failed")
     return agg.withColumn(
         "accuracy", F.when(tot > 0, F.floor(F.col("solved") * 100.0 / tot + 0.5)).otherwise(F.lit(0)).cast("int"))
