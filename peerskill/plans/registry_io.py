@@ -152,7 +152,7 @@ def skill_csv_roundtrip(inp):
 
 @register("crawl_plan", Q.with_(Q.ATT_SCALE, Q.clean(), """
   rated AS (SELECT CAST(c_custkey AS BIGINT) AS user_key FROM customer
-            WHERE 900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 BETWEEN 900 AND 3500),
+            WHERE c_custkey % 19 <> 3 AND 900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 BETWEEN 900 AND 3500),
   part AS (SELECT DISTINCT user_key FROM att_scale
            WHERE submitted_at >= (SELECT max(submitted_at) FROM att_scale) - INTERVAL 90 DAY
              AND user_key IN (SELECT user_key FROM rated)),

@@ -13,7 +13,7 @@ from ..config import MIN_ACCEPTED, TAGS
 
 def _tags_list(k: str) -> str:
     items = ", ".join(f"CASE WHEN (({k}) * 7 + {i * 3}) % 11 < 2 THEN '{t}' END" for i, t in enumerate(TAGS))
-    return f"[x FOR x IN [{items}] IF x IS NOT NULL]"
+    return f"CASE WHEN ({k}) % 50 = 0 OR ({k}) % 37 = 5 THEN []::VARCHAR[] ELSE [x FOR x IN [{items}] IF x IS NOT NULL] END"
 
 
 def _rating(k: str) -> str:
@@ -31,7 +31,7 @@ def _flags(v: str) -> str:
 
 ATT_SCALE = f"""
 att_scale_raw AS (
-  SELECT o.o_custkey AS user_key, l.l_partkey % 200 AS k, l.l_shipdate AS submitted_at,
+  SELECT o.o_custkey AS user_key, l.l_partkey AS k, l.l_shipdate AS submitted_at,
          l.l_orderkey * 16 + l.l_linenumber AS attempt_id,
          CASE WHEN l.l_returnflag = 'A' THEN 'OK'
               WHEN l.l_returnflag = 'N' AND l.l_linestatus = 'O' THEN 'OK'
@@ -101,8 +101,8 @@ def profiles(src: str = "clean", name: str = "profiles") -> str:
     return per_item(src, f"{name}_pi") + f""",
 {name}_rt AS (
   SELECT CAST(c_custkey AS BIGINT) AS user_key,
-         CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 AS INTEGER) AS cf_rating,
-         CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 + c_custkey % 300 AS INTEGER) AS cf_max_rating
+         CASE WHEN c_custkey % 19 <> 3 THEN CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 AS INTEGER) END AS cf_rating,
+         CASE WHEN c_custkey % 19 <> 3 THEN CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 + c_custkey % 300 AS INTEGER) END AS cf_max_rating
   FROM customer
 ),
 {name}_pu AS (

@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from ..config import RANK_ORDER, TAGS
 
-ITEM_MOD = 200
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -30,9 +27,10 @@ def item_rating_col(item_key: Column) -> Column:
 
 
 def item_tags_col(item_key: Column) -> Column:
-    """Active tags of an item, in canonical tag order (3 or 4 per item)."""
+    """Active tags of an item, in canonical tag order: 3 or 4, or none for one item in 50 (unrated too) and one in 37."""
     flags = [F.when((item_key * 7 + i * 3) % 11 < 2, F.lit(t)) for i, t in enumerate(TAGS)]
-    return F.filter(F.array(*flags), lambda x: x.isNotNull())
+    untagged = (item_key % 50 == 0) | (item_key % 37 == 5)
+    return F.when(untagged, F.array().cast("array<string>")).otherwise(F.filter(F.array(*flags), lambda x: x.isNotNull()))
 
 
 def _attempt_columns(user_key: Column, item_key: Column, verdict: Column, ts: Column, attempt_id: Column) -> list[Column]:
@@ -65,7 +63,7 @@ def items(attempts: DataFrame) -> DataFrame:
 
 
 def att_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One attempt per lineitem row; user = order customer, item = part % 200.
+    """One attempt per lineitem row; user = order customer, item = part.
 
     ``attempt_id`` (orderkey*16 + linenumber) is a tie-break, not a unique key:
     (orderkey, linenumber) repeats in this data."""
@@ -89,7 +87,7 @@ def att_scale_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     return j.select(
         *_attempt_columns(
             F.col("o_custkey"),
-            F.col("l_partkey") % ITEM_MOD,
+            F.col("l_partkey"),
             verdict,
             F.col("l_shipdate"),
             F.col("l_orderkey") * 16 + F.col("l_linenumber"),
@@ -127,9 +125,10 @@ def rank_label(rating: Column) -> Column:
 
 
 def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rating columns of every customer (activity columns are derived later)."""
+    """Rating columns of every customer (activity columns are derived later); one in 19 has no rating."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     rating = (F.lit(900) + F.floor(F.abs(F.col("c_acctbal"))).cast("int") % 1700).cast("int")
+    rating = F.when(F.col("c_custkey") % 19 != 3, rating)
     return c.select(
         F.col("c_custkey").cast("bigint").alias("user_key"),
         rating.alias("cf_rating"),
