@@ -123,10 +123,10 @@ _RANK = "CASE " + " ".join(f"WHEN cf_rating < {b} THEN {i}" for i, b in enumerat
 
 @register("rank_classifier", Q.with_(*_PIVOT[:5]) + "," + _KNN_SQL.removeprefix("WITH ").replace(
     "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label,", f"SELECT x.user_key AS vec_id, v AS vec, CAST({_RANK} AS INTEGER) AS label,").replace(
-    "md5(CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT AS h FROM embeddings", "md5(CAST(x.user_key AS VARCHAR)), 1, 8))::BIGINT AS h FROM x JOIN profiles p ON p.user_key = x.user_key WHERE p.cf_rating IS NOT NULL")
+    "md5(CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT AS h FROM embeddings", "md5(CAST(x.user_key AS VARCHAR)), 1, 8))::BIGINT AS h FROM x JOIN profiles p ON p.user_key = x.user_key WHERE p.cf_rating > 0")
     + " SELECT target_key, predicted, actual, fold FROM res")
 def rank_classifier(inp):
     """M-21: rank label of every rated user predicted from the strengths of its 50 nearest users of other folds."""
     rank = F.array_position(F.array(*[F.lit(r) for r in RANK_ORDER]), F.col("cf_rank")) - 1
-    own = _strengths(inp).join(inp.profiles_table().where("cf_rating is not null").select("user_key", rank.cast("int").alias("label")), "user_key")
+    own = _strengths(inp).join(inp.profiles_table().where("cf_rating > 0").select("user_key", rank.cast("int").alias("label")), "user_key")
     return EM.knn_classifier(own.select(F.col("user_key").alias("vec_id"), F.array(*_AXES).alias("embedding"), "label")).select("target_key", "predicted", "actual", "fold")

@@ -14,8 +14,8 @@ from .catalog import register, rounded_select
 _UT = [Q.ATT_SCALE, Q.clean(), Q.profiles(), Q.user_tag()]
 _PEERS = _UT + [Q.TAG_DIM, Q.vectors(), Q.peers()]
 _RT = """rt AS (SELECT CAST(c_custkey AS BIGINT) AS user_key,
-         CASE WHEN c_custkey % 19 <> 3 THEN CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 AS INTEGER) END AS cf_rating,
-         CASE WHEN c_custkey % 19 <> 3 THEN CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 + c_custkey % 300 AS INTEGER) END AS cf_max_rating
+         CASE WHEN c_custkey % 19 <> 3 THEN CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 AS INTEGER) ELSE 0 END AS cf_rating,
+         CASE WHEN c_custkey % 19 <> 3 THEN CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 + c_custkey % 300 AS INTEGER) ELSE 0 END AS cf_max_rating
   FROM customer)"""
 
 

@@ -90,11 +90,11 @@ _MODEL_FEATURES = (("success", SC.FEATURE_NAMES), ("attempts", SC.FEATURE_NAMES)
 
 
 @register("ensemble_nodes", Q.with_(*_FRAME) + f"""
-      SELECT 'success' AS model, 'prediction' AS kind, user_key, item AS name, CAST(NULL AS INTEGER) AS position, true AS same FROM sframe WHERE split = 'test'
-      UNION ALL SELECT 'attempts', 'prediction', user_key, item, NULL, true FROM sframe WHERE split = 'test' AND ever_ac = 1
-      UNION ALL SELECT 'growth', 'prediction', user_key, NULL, NULL, true {_SKILLED}
-      UNION ALL SELECT 'forest', 'prediction', user_key, NULL, NULL, true {_SKILLED}
-      UNION ALL SELECT model, 'importance', NULL, feature, CAST(position AS INTEGER), true
+      SELECT 'success' AS model, 'prediction' AS kind, user_key, item AS name, -1 AS position, true AS same FROM sframe WHERE split = 'test'
+      UNION ALL SELECT 'attempts', 'prediction', user_key, item, -1, true FROM sframe WHERE split = 'test' AND ever_ac = 1
+      UNION ALL SELECT 'growth', 'prediction', user_key, NULL, -1, true {_SKILLED}
+      UNION ALL SELECT 'forest', 'prediction', user_key, NULL, -1, true {_SKILLED}
+      UNION ALL SELECT model, 'importance', -1, feature, CAST(position AS INTEGER), true
       FROM (VALUES {", ".join(_feature_rows(*x) for x in _MODEL_FEATURES)}) v(model, feature, position)""")
 def ensemble_nodes(inp):
     """M-4..M-6 / M-14 / M-23: the fitted trees read back as node tables.  Every test row is scored by walking the stored nodes (``same``:
@@ -105,10 +105,10 @@ def ensemble_nodes(inp):
         scored = T.predict(model.transform(rows).withColumnRenamed("prediction", "fitted"), stored)
         close = F.abs(F.col("prediction") - F.col("fitted")) <= 1e-9 * (1 + F.abs("fitted"))
         walked = scored.select(F.lit(name).alias("model"), F.lit("prediction").alias("kind"), "user_key", F.col("item").alias("name"),
-                               F.lit(None).cast("int").alias("position"), close.alias("same"))
+                               F.lit(-1).alias("position"), close.alias("same"))
         gains = F.array(*[F.lit(float(x)) for x in fitted.featureImportances.toArray()])  # a number per feature
         own, inner = T.importances(stored), (fitted.totalNumNodes - fitted.getNumTrees) // 2
-        summed = own.select(F.lit(name).alias("model"), F.lit("importance").alias("kind"), F.lit(None).cast("long").alias("user_key"), F.col("feature").alias("name"),
+        summed = own.select(F.lit(name).alias("model"), F.lit("importance").alias("kind"), F.lit(-1).cast("long").alias("user_key"), F.col("feature").alias("name"),
                             "position", ((F.abs(F.get(gains, F.col("position")) - F.col("gain")) < 1e-9) & (own.agg(F.sum("splits")).scalar() == inner)).alias("same"))
         part = walked.unionByName(summed)
         out = part if out is None else out.unionByName(part)

@@ -101,8 +101,8 @@ def profiles(src: str = "clean", name: str = "profiles") -> str:
     return per_item(src, f"{name}_pi") + f""",
 {name}_rt AS (
   SELECT CAST(c_custkey AS BIGINT) AS user_key,
-         CASE WHEN c_custkey % 19 <> 3 THEN CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 AS INTEGER) END AS cf_rating,
-         CASE WHEN c_custkey % 19 <> 3 THEN CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 + c_custkey % 300 AS INTEGER) END AS cf_max_rating
+         CASE WHEN c_custkey % 19 <> 3 THEN CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 AS INTEGER) ELSE 0 END AS cf_rating,
+         CASE WHEN c_custkey % 19 <> 3 THEN CAST(900 + CAST(floor(abs(c_acctbal)) AS INTEGER) % 1700 + c_custkey % 300 AS INTEGER) ELSE 0 END AS cf_max_rating
   FROM customer
 ),
 {name}_pu AS (

@@ -125,14 +125,15 @@ def rank_label(rating: Column) -> Column:
 
 
 def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rating columns of every customer (activity columns are derived later); one in 19 has no rating."""
+    """Rating columns of every customer (activity columns are derived later); one in 19 has none (0)."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     rating = (F.lit(900) + F.floor(F.abs(F.col("c_acctbal"))).cast("int") % 1700).cast("int")
-    rating = F.when(F.col("c_custkey") % 19 != 3, rating)
+    rated = F.col("c_custkey") % 19 != 3
+    rating = F.when(rated, rating).otherwise(F.lit(0))
     return c.select(
         F.col("c_custkey").cast("bigint").alias("user_key"),
         rating.alias("cf_rating"),
-        (rating + (F.col("c_custkey") % 300).cast("int")).cast("int").alias("cf_max_rating"),
+        F.when(rated, rating + (F.col("c_custkey") % 300).cast("int")).otherwise(F.lit(0)).cast("int").alias("cf_max_rating"),
         rank_label(rating).alias("cf_rank"),
     )
 
