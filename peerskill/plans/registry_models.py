@@ -21,19 +21,33 @@ from ..session import scratch_path
 from . import sql_blocks as Q
 from .catalog import register
 from .jobs import materialize
+from .refresh import source_fingerprint
 from .registry_eval import _FRAME
 
 
+#: Models of this process, by application, name and the fingerprints of the files that they are trained on.
+_TRAINED: dict[tuple, object] = {}
+
+
+def _trained(inp, name, fit):
+    """The fitted model ``name``: trained once for all queries of an application over the same files."""
+    sources = tuple(source_fingerprint(inp.spark, f"{inp.sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer"))
+    key = (inp.spark.conf.get("spark.app.id", ""), name, inp.sf_dir, inp.settings, M.ROUNDS_CAP, sources)
+    if key not in _TRAINED:
+        _TRAINED[key] = fit()
+    return _TRAINED[key]
+
+
 def _success_model(inp):
-    return inp._get("m_success", lambda: M.fit_success(inp.success_frame()))
+    return _trained(inp, "success", lambda: M.fit_success(inp.success_frame()))
 
 
 def _attempts_model(inp):
-    return inp._get("m_attempts", lambda: M.fit_attempts(inp.attempts_frame()))
+    return _trained(inp, "attempts", lambda: M.fit_attempts(inp.attempts_frame()))
 
 
 def _growth_model(inp):
-    return inp._get("m_growth", lambda: M.fit_growth(inp.growth_frame()))
+    return _trained(inp, "growth", lambda: M.fit_growth(inp.growth_frame()))
 
 
 @register("success_model_eval")

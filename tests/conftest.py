@@ -16,3 +16,11 @@ def spark():
 
 
 SF_SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session", autouse=True)
+def short_trainings():
+    """Trainings of at most 20 rounds; the queries run the configured ones."""
+    from peerskill.operators import models
+
+    models.ROUNDS_CAP = 20
