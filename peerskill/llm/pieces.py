@@ -10,6 +10,7 @@ between them are encoded on their own and remembered within a task."""
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,9 +45,12 @@ class Vocabulary:
     longest: int
     memo: dict = field(default_factory=dict, repr=False)
     pairs: dict = field(default_factory=dict, repr=False)
+    states: dict = field(default_factory=dict, repr=False)
+    begins: set = field(default_factory=set, repr=False)
+    apart: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "pairs": {}}
+        return self.__dict__ | {"memo": {}, "pairs": {}, "states": {}, "begins": set(), "apart": None}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -105,58 +109,74 @@ class Vocabulary:
         return parts
 
     def _follows(self, before: int, piece: int) -> bool:
-        """True if ``piece`` may come after ``before`` (-1: at a start)."""
-        key = before << 32 | piece if before >= 0 else ~piece
+        """True if ``piece`` may come after ``before`` (-1: at a start; -2, a boundary that is not reached: never)."""
+        key = before << 32 | piece
         got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) >= 2 * _REMEMBERED:
                 self.pairs.clear()
             a, b = self.pieces[before] if before >= 0 else "", self.pieces[piece]
-            got = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
+            got = self.pairs[key] = before > -2 and self.merged(a + b) == ([a, b] if a else [b])
         return got
 
-    def _short(self, s: str) -> list[int]:
-        """``stretch`` of a BPE vocabulary for a string that the window holds whole."""
-        n = len(s)
-        trie, pairs, follows = self.trie, self.pairs, self._follows
-        back, own = [-1] * (n + 1), [-1] * (n + 1)  # start and id of the piece that ends at each boundary
-        for i in range(n):
-            if i and back[i] < 0:
-                continue
-            before, node, j = own[i], trie, i
-            high = before << 32
-            while j < n:
-                node = node.get(s[j])
-                if node is None:
+    def stretch(self, s: str) -> list[int]:
+        """Ids of the best segmentation of ``s``; of equal scores the one that begins each piece earliest."""
+        return self._only_way(s) if self.kind == "bpe" else self._best_way(s)
+
+    def _state(self, begun: str) -> tuple[dict, list]:
+        """The state of a search that has read ``begun``, the longest end of the text that begins a piece, and the pieces that end here."""
+        if not self.begins:
+            self.begins.update(x[:i] for x in self.scores for i in range(len(x) + 1))
+        while begun not in self.begins:
+            begun = begun[1:]
+        got = self.states.get(begun)
+        if got is None:
+            got = self.states[begun] = ({"": begun}, [(self.scores[x][0], len(x)) for x in (begun[i:] for i in range(len(begun))) if x in self.scores])
+        return got
+
+    def _only_way(self, s: str) -> list[int]:
+        """``stretch`` of a BPE vocabulary, where one way at most leads to each boundary: of the pieces that end there, the longest first,
+        the one that may come after the piece before it."""
+        pairs, follows, (state, _) = self.pairs, self._follows, self._state("")
+        out, at, check = [], 0, 2 * self.longest  # boundaries count from the last committed one
+        back, own = [0], [-1]  # start and id (-1: none) of the piece that ends at each boundary; id -2: not reached
+        for i, ch in enumerate(s, 1):
+            at += 1
+            step = state.get(ch)
+            if step is None:
+                step = state[ch] = self._state(state[""] + ch)
+            state, ends = step
+            length = 0
+            for piece, length in ends:
+                key = own[at - length] << 32 | piece
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = follows(own[at - length], piece)
+                if fits:
+                    back.append(at - length), own.append(piece)
                     break
-                j += 1
-                if back[j] < 0:
-                    got = node.get("")
-                    if got is not None:
-                        piece = got[0]
-                        fits = pairs.get(high | piece if before >= 0 else ~piece)
-                        if fits is None:
-                            fits = follows(before, piece)
-                        if fits:
-                            back[j], own[j] = i, piece
-            if back[i + 1] < 0 and s[i] not in trie:
-                back[i + 1] = i
-            elif back[i + 1] < 0 and "" not in trie[s[i]]:
-                back[i + 1] = i
-        out, j = [], n
-        while j > 0:
-            i = back[j]
-            if own[j] >= 0:
-                out.append(own[j])
             else:
-                out += reversed(self._spell(s[i]))
-            j = i
-        out.reverse()
+                back.append(at - 1), own.append(-2 if length == 1 or own[-1] == -2 else -1)
+            if at < check and i < len(s):
+                continue
+            # boundaries that are reached and from which a piece may go on; their paths go back until one boundary is left
+            alive = {k for k in range(at - len(state[""]), at + 1) if own[k] != -2} if i < len(s) else {at}
+            while len(alive) > 1:
+                last = max(alive)
+                alive.remove(last)
+                alive.add(back[last])
+            k = meet = alive.pop()
+            path = []
+            while k > 0:
+                path += [own[k]] if own[k] >= 0 else reversed(self._spell(s[i - at + k - 1]))
+                k = back[k]
+            out += reversed(path)
+            back, own, at = [x - meet for x in back[meet:]], own[meet:], at - meet
+            check = max(2 * self.longest, at + self.longest)  # what is not yet decided is looked at later
         return out
 
-    def stretch(self, s: str) -> list[int]:
-        """Ids of the best segmentation of ``s``; of equal scores the one that begins each piece earliest."""
-        bpe, follows = self.kind == "bpe", self._follows
+    def _best_way(self, s: str) -> list[int]:
+        """``stretch`` of a unigram vocabulary: the highest sum of scores."""
         n, out = len(s), []
         base = 0  # all before is committed
         score: list = [0.0]  # of the boundaries base, base + 1, ...
@@ -167,8 +187,6 @@ class Vocabulary:
             here = score[at]
             if here is not None:
                 node, j, single = self.trie, i, False
-                if bpe:
-                    before = -1 if back[at] is None or back[at][1] is None else back[at][1]
                 while j < n and (node := node.get(s[j])) is not None:
                     j += 1
                     got = node.get("")
@@ -176,17 +194,13 @@ class Vocabulary:
                         single |= j == i + 1
                         while len(score) <= j - base:
                             score.append(None), back.append(None)
-                        if bpe:  # at most one piece fits at each end
-                            if score[j - base] is None and follows(before, got[0]):
-                                score[j - base], back[j - base] = 0.0, (i, got[0])
-                            continue
                         total = here + got[1]
                         if score[j - base] is None or total > score[j - base]:
                             score[j - base], back[j - base] = total, (i, got[0])
                 if not single:
                     if len(score) <= at + 1:
                         score.append(None), back.append(None)
-                    total = 0.0 if bpe else here + self.unknown_score
+                    total = here + self.unknown_score
                     if score[at + 1] is None or total > score[at + 1]:
                         score[at + 1], back[at + 1] = total, (i, None)
             if at >= check or i == n - 1:
@@ -214,22 +228,21 @@ class Vocabulary:
                     check = at + self.longest  # not yet decided: look again later
         return out
 
-    def _remembered(self, s: str) -> bytes:
-        got = self.memo.get(s)
+    def _part(self, part: str) -> bytes:
+        got = self.memo.get(part)
         if got is None:
-            sides, cut = self.sides, len(s) - 1
-            while cut > 0 and s[cut - 1 : cut + 1] in sides:
-                cut -= 1
-            if 0 < cut < 64 and len(s) < 256:  # no piece crosses here
-                return self._remembered(s[:cut]) + self._remembered(s[cut:])
-            short = self.kind == "bpe" and len(s) <= 2 * self.longest
-            got = np.array(self._short(s) if short else self.stretch(s), np.int32).tobytes()
-            if len(s) <= 64:
+            got = array("i", self.stretch(part)).tobytes()
+            if len(part) <= 64:
                 if len(self.memo) >= _REMEMBERED:
                     self.memo.clear()
-                self.memo[s] = got
+                self.memo[part] = got
         return got
 
+    def _remembered(self, s: str) -> bytes:
+        """Ids of a stretch, encoded in parts that no piece crosses."""
+        cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.sides]
+        return b"".join([self._part(s[i:j]) for i, j in zip([0, *cuts], [*cuts, len(s)], strict=True)])
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; a space is put in front of it, as the format does.  An empty text has none."""
         if not text:
@@ -247,10 +260,64 @@ class Vocabulary:
                 out.append(got if got is not None else self._remembered(s))
         return np.frombuffer(b"".join(out), np.int32)
 
+    def _parted(self) -> np.ndarray:
+        """By two ASCII characters (256 * first + second): no piece holds them side by side."""
+        if self.apart is None:
+            self.apart = np.zeros(1 << 16, bool)
+            self.apart.reshape(256, 256)[:128, :128] = True
+            for x in self.sides:
+                if x.isascii():
+                    self.apart[256 * ord(x[0]) + ord(x[1])] = False
+        return self.apart
+
+    def encode_all(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and the place where those of each text begin (and, last, end).
+
+        As ``encode`` of each; equal stretches of the texts are told apart by their bytes and looked up once."""
+        if self.crossing or self.newline:
+            ids = [self.encode(t.decode()) for t in own]
+            return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
+        size = np.array([len(t) + 1 if t else 0 for t in own], np.int64)
+        first = np.concatenate(([0], np.cumsum(size)))
+        if not first[-1]:
+            return np.zeros(0, np.int32), np.zeros(len(own) + 1, np.int64)
+        data = b"".join([b" " + t for t in own if t])
+        a = np.frombuffer(data, np.uint8)
+        blank, line = a == 32, a == 10
+        # a stretch begins with a text, at a line end, behind one, with a run of spaces and between characters that no piece holds side by side
+        begins = line.copy()
+        begins[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        begins[1:] |= self._parted().take(a[:-1].astype(np.uint16) << 8 | a[1:])
+        begins[first[:-1][size > 0]] = True
+        starts = np.flatnonzero(begins)
+        stretches = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)])
+        stretches = stretches.dictionary_encode()
+        which, memo = stretches.indices.to_numpy(), self.memo
+        found = [memo.get(s) or (self._part(s) if s.isascii() else self._remembered(s)) for s in stretches.dictionary.to_pylist()]
+        flat = np.frombuffer(b"".join(found), np.int32)
+        count = np.array([len(x) // 4 for x in found], np.int64)
+        at = _gathered(np.cumsum(count) - count, count, which)
+        ends = np.concatenate(([0], np.cumsum(count[which])))
+        return flat[at], ends[np.searchsorted(starts, first)]
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids; the leading space goes.  Bytes that are not UTF-8 become U+FFFD."""
-        spelled = self.spelled
-        return b"".join([spelled[i] for i in ids]).removeprefix(b" ").decode("utf-8", "replace")
+        return self.decode_all(np.array(ids, np.int32), np.array([0, len(ids)]))[0].decode("utf-8", "replace")
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Bytes of the texts whose ids lie between consecutive ``ends``; the leading space of each goes."""
+        sizes = np.array([len(x) for x in self.spelled], np.int64)
+        offsets = np.concatenate(([0], np.cumsum(sizes[ids])))[ends].tolist()
+        data = pa.array(self.spelled, pa.large_binary()).take(pa.array(ids)).buffers()[2]
+        data = b"" if data is None else data.to_pybytes()
+        return [data[a:b].removeprefix(b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _gathered(starts: np.ndarray, count: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the runs ``which``, one run behind the other; a run has ``count`` places from its start on."""
+    n = count[which]
+    ends = np.cumsum(n)
+    return np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _fields(message: bytes):
@@ -297,8 +364,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids = [vocabulary.encode(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids)], names=["doc_id", "ids"])
+            ids, ends = vocabulary.encode_all(_bytes(b.column("text")))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids, ends)], names=["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -315,9 +382,12 @@ def decoded(ids: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def _lists(ids: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+def _bytes(own: pa.Array) -> list[bytes]:
+    return own.cast(pa.large_binary()).to_pylist()
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 def encode_decode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -333,13 +403,13 @@ def encode_decode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] =
         import hashlib
 
         for b in batches:
-            own = b.column("text").to_pylist()
-            ids = [vocabulary.encode(t) for t in own]
-            back = [vocabulary.decode(x.tolist()) for x in ids]
+            own = _bytes(b.column("text"))
+            ids, ends = vocabulary.encode_all(own)
+            back = [x if x == t else x.decode("utf-8", "replace").encode() for x, t in zip(vocabulary.decode_all(ids, ends), own, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), _lists(ids),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == t for x, t in zip(back, own, strict=True)]),
+                    b.column("doc_id"), pa.array(np.diff(ends), pa.int64()), _lists(ids, ends),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()), pa.array([x == t for x, t in zip(back, own, strict=True)], pa.bool_()),
                     *map(b.column, carried),
                 ],
                 names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip", *carried],
