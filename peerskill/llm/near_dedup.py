@@ -2,7 +2,8 @@
 
 Documents with equal shingle sets form a class; a class is joined once.  Independent trees branch the classes by the minhash of selected
 coordinates; a node with few classes is compared exhaustively on sketches, one with many branches again by other coordinates until few
-are left or all but a few are alike to one of them.  Candidate links make coarse groups, in which links are confirmed on the full sets."""
+are left or all but a few are alike to one of them.  What is very alike to a node's pivot leaves it, so that a large group of near
+copies does not branch on.  Candidate links make coarse groups, in which links are confirmed on the full sets."""
 
 from __future__ import annotations
 
@@ -20,11 +21,13 @@ from .text import Words, chunks, mix, window_hashes
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 80
 #: Coordinates of a sketch, trees, classes of a node that are compared exhaustively, levels of a tree before large nodes are judged.
-SKETCH, TREES, LEAF, LEVELS = 64, 16, 128, 3
+SKETCH, TREES, LEAF, LEVELS = 64, 16, 128, 1
 #: Levels after which what is not alike in a large node is compared with the whole node, in blocks of so many classes.
 DEPTH, BLOCK = 10, 1024
 #: Share of equal coordinates from which a pair is a candidate: five standard deviations below 0.8.
 CANDIDATE = 0.55
+#: Share of coordinates equal to those of a large node's pivot from which a class leaves the node.
+LEAVE = 0.8
 #: Set elements of one group that a task confirms at once.
 GROUP_ELEMENTS = 1_000_000
 _rng = np.random.default_rng(20240607)
@@ -89,7 +92,12 @@ def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def _judged(big: DataFrame, classes: DataFrame, percent: int, name: str) -> DataFrame:
-    """Adds pivot (one class of the node) and alike (a candidate with it) to the members of large nodes, and others: how many are not."""
+    """Adds to the members of large nodes pivot (one class of the node), same (share of coordinates equal to the pivot's), alike (a
+    candidate with it), leaves, others (how many of the node are not alike) and ring.
+
+    Members that leave are links of the pivot.  Shares of unequal coordinates obey the triangle inequality: a candidate of one that
+    leaves with share ``least`` has the share CANDIDATE + least - 1 with the pivot at least, and ring marks all these.  When they too
+    are linked to the pivot, the pairs of those that leave are all within one coarse group."""
     own = classes.select("id", "sketch", F.col("n_shingles").alias("size"))
     pivots = big.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("pivot"))
     pivots = pivots.join(own.select(F.col("id").alias("pivot"), F.col("sketch").alias("p_sketch"), F.col("size").alias("p_size")), "pivot")
@@ -99,13 +107,18 @@ def _judged(big: DataFrame, classes: DataFrame, percent: int, name: str) -> Data
             if not b.num_rows:
                 continue
             x, y = b.column("size").to_numpy(), b.column("p_size").to_numpy()
-            alike = (_same(b.column("sketch"), b.column("p_sketch")) >= CANDIDATE) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "coord", "id", "n", "pivot")), pa.array(alike)], names=["key", "coord", "id", "n", "pivot", "alike"])
+            same, small, large = _same(b.column("sketch"), b.column("p_sketch")), np.minimum(x, y), np.maximum(x, y)
+            fits = 100 * small >= percent * large
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("key", "coord", "id", "n", "pivot")), *map(pa.array, (same, fits & (same >= CANDIDATE), fits & (same >= LEAVE), 10_000 * small >= percent * percent * large))],
+                names=["key", "coord", "id", "n", "pivot", "same", "alike", "leaves", "sized"],
+            )
 
     both = big.join(own, "id").join(pivots, "key").select("key", "coord", "id", "n", "sketch", "size", "pivot", "p_sketch", "p_size")
-    judged = written(both.mapInArrow(run, "key long, coord int, id long, n long, pivot long, alike boolean"), name)
-    others = judged.where("not alike").groupBy("key").agg(F.count("*").alias("others"))
-    return written(judged.join(others, "key", "left").fillna(0, ["others"]), name + "_others")
+    judged = written(both.mapInArrow(run, "key long, coord int, id long, n long, pivot long, same double, alike boolean, leaves boolean, sized boolean"), name)
+    of_node = judged.groupBy("key").agg(F.count_if(~F.col("alike")).alias("others"), F.min(F.when(F.col("leaves"), F.col("same"))).alias("least"))
+    ring = F.col("sized") & (F.col("same") >= CANDIDATE + F.col("least") - 1)
+    return written(judged.join(of_node, "key").withColumn("ring", ring).drop("sized", "least"), name + "_others")
 
 
 def _blocks(judged: DataFrame) -> DataFrame:
@@ -133,11 +146,11 @@ def _leaves(classes: DataFrame, trees: int, leaf: int, levels: int, percent: int
         if level >= levels:
             # what is alike to the pivot is in one coarse group already: when few are not, or on the last level, they meet the whole node
             big = _judged(big, classes, percent, f"judged_{level}")
-            stars = big.where("alike and id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v"))
-            links = stars if links is None else links.unionByName(stars)
             done = F.col("others") <= (leaf if level < DEPTH else F.col("n"))
+            stars = big.where((F.col("id") != F.col("pivot")) & (F.col("alike") | (F.col("ring") & ~done))).select(F.col("id").alias("u"), F.col("pivot").alias("v"))
+            links = stars if links is None else links.unionByName(stars)
             out = out.unionByName(_blocks(big.where(done)))
-            big = big.where(~done)
+            big = big.where(~done & ~F.col("leaves"))
             if level == DEPTH or big.isEmpty():
                 return out, links
         # children by one coordinate, for a quarter of the nodes by two: 1 / 0.8 on average
@@ -341,7 +354,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
 
     A pair with similarity 0.8 misses the candidates only if all ``trees`` separate it or its sketches differ by five standard
     deviations; no node, group or partner count is capped.  From level ``levels`` on a large node is done when all but ``leaf`` of its
-    classes are alike to one of them: these few are compared with the whole node.  After DEPTH levels all that are not alike are."""
+    classes are alike to one of them: these few are compared with the whole node.  After DEPTH levels all that are not alike are.  From a
+    node that is not done, those leave that share LEAVE of their coordinates with its pivot; no candidate pair is lost by that."""
     small_batches(docs.sparkSession, 512)
     own = texts(docs)
     base = written(_sketched(own, k), "near_base")

@@ -141,7 +141,8 @@ def test_near_duplicates(spark, odd, empty):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for more in ({}, {"leaf": 4, "levels": 2, "group_elements": 400}):  # the second: deep trees, and groups confirmed in blocks
+    # the second and third: deep trees, large nodes judged from the start or later, and groups confirmed in blocks
+    for more in ({}, {"leaf": 4, "group_elements": 400}, {"leaf": 4, "levels": 2, "group_elements": 400}):
         assert {r.doc_id: r.component_id for r in near_duplicates(df, **more).collect()} == label
     got = near_duplicates(odd).collect()
     assert len(got) == odd.count()
