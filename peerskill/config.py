@@ -22,6 +22,15 @@ TAGS = [
     "probabilities", "constructive",
 ]
 
+# Long display names of the tags, in the order of TAGS.
+TAG_LABELS = {
+    "dp": "Dynamic Programming", "greedy": "Greedy", "graphs": "Graphs", "math": "Math", "strings": "Strings",
+    "impl": "Implementation", "binary_search": "Binary Search", "data_structures": "Data Structures",
+    "number_theory": "Number Theory", "combinatorics": "Combinatorics", "geometry": "Geometry", "trees": "Trees",
+    "sortings": "Sortings", "two_pointers": "Two Pointers", "bitmasks": "Bitmasks", "flows": "Flows", "fft": "FFT",
+    "games": "Games", "probabilities": "Probabilities", "constructive": "Constructive",
+}
+
 # Raw (lower-cased) tag name -> canonical tag.  Union of both raw maps
 # ("graph matchings" from one, "dfs and similar"/"shortest paths" from the other).
 RAW_TAG_MAP = {

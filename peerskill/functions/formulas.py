@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import MAX_RATING, PEER_WEIGHTS, SMOOTHING, STRENGTH_WEIGHTS, VOLUME_CAP
+from ..config import MAX_RATING, PEER_WEIGHTS, SMOOTHING, STRENGTH_WEIGHTS, TAG_LABELS, VOLUME_CAP
 
 
 def lit(x) -> Column:
@@ -115,6 +115,11 @@ def difficulty_match(solve_score: Column) -> Column:
     return (solve_score + F.lit(1.0)) / F.lit(2.0)
 
 
+def difficulty_match_variant(solve_score: Column) -> Column:
+    """F-19 of the variant: the sweet spot [-0.2, 0.8] moved to [0, 1]."""
+    return solve_score + F.lit(0.2)
+
+
 def difficulty_label(attempts: Column) -> Column:
     """F-22: <1.5 easy, <2.5 moderate, else hard."""
     return F.when(attempts < 1.5, "easy").when(attempts < 2.5, "moderate").otherwise("hard")
@@ -130,6 +135,17 @@ def tag_label(tag: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(tag, "^tag_", ""), "_", " ")
 
 
+def long_tag_label(tag: Column) -> Column:
+    """F-27, long form: the display name of a tag of the vocabulary, any other tag itself."""
+    names = F.create_map(*[F.lit(x) for pair in TAG_LABELS.items() for x in pair])
+    return F.coalesce(F.element_at(names, tag), tag)
+
+
+def at_sink(value: Column, digits: int) -> Column:
+    """Rounding at a sink (F-10, F-21), half up; float noise below 1e-9 does not decide a half."""
+    return F.round(F.round(value, 9), digits)
+
+
 def round_to_100(r: Column) -> Column:
     """Half-up rounding to the nearest 100 (F-28)."""
     return (F.floor(r / 100.0 + 0.5) * 100).cast("int")

@@ -169,6 +169,13 @@ def recent_window(df: DataFrame, ts_col: str, since: Column) -> DataFrame:
     return df.filter(F.col(ts_col) >= since)
 
 
+def finished_window(contests: DataFrame, since: Column) -> DataFrame:
+    """P-18 on contests (contest, phase, start_second, duration_seconds): finished ones whose end is not before ``since`` (epoch seconds).
+    A missing start or duration counts as 0."""
+    end = F.coalesce("start_second", F.lit(0)) + F.coalesce("duration_seconds", F.lit(0))
+    return contests.filter((F.col("phase") == "FINISHED") & (end >= since))
+
+
 def conditional_history(df: DataFrame, known_users: DataFrame, ts_col: str, since: Column) -> DataFrame:
     """P-19: new users keep all history, known users only rows since ``since``."""
     known = known_users.select("user_key").distinct().withColumn("_known", F.lit(True))

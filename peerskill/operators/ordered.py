@@ -232,3 +232,10 @@ def assign_chunks(users: DataFrame, n_chunks: int, new_flag: str = "is_new") ->
     size = n // n_chunks + 1
     ranked = global_rank(users, [F.col(new_flag).desc(), F.col("user_key")])
     return ranked.withColumn("chunk", F.floor((F.col("global_rank") - 1) / size).cast("int"))
+
+
+def chunk_manifest(chunks: DataFrame, n_chunks: int) -> DataFrame:
+    """W-12, padded: one row per chunk 0 .. ``n_chunks`` - 1 with its users and new users, 0 for lists that nobody is dealt to."""
+    sums = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n_users"), F.sum(F.col("is_new").cast("long")).alias("n_new"))
+    every = chunks.sparkSession.range(n_chunks).select(F.col("id").cast("int").alias("chunk"))
+    return every.join(sums, "chunk", "left").fillna(0, ["n_users", "n_new"])

@@ -12,7 +12,7 @@ Shapes and bounds:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CF_BOOST, DEFAULT_RATING, PROBLEMS_PER_50_RATING, TAGS, RecommendConfig
@@ -127,6 +127,17 @@ def candidate_features(pool: DataFrame, ctx: DataFrame) -> DataFrame:
 
 # M-16 / L-2 / M-19 -----------------------------------------------------------------
 
+def _weakness_boost() -> Column:
+    """F-20: mean of (1 - user) x peer strength over the item's tags, from the maps ``smap`` and ``pmap``; 0 without tags."""
+    contrast = F.transform(
+        F.col("tags"),
+        lambda t: (F.lit(1.0) - F.coalesce(F.element_at("smap", t), F.lit(0.0)))
+        * F.coalesce(F.element_at("pmap", t), F.lit(0.0)),
+    )
+    n = F.size("tags")
+    return F.when(n > 0, F.aggregate(contrast, F.lit(0.0), lambda a, x: a + x) / n).otherwise(F.lit(0.0))
+
+
 def prioritise(features: DataFrame, peer_strength: DataFrame, cfg: RecommendConfig = RecommendConfig(),
                success_scorer=SC.sql_success_scorer, attempts_scorer=SC.sql_attempts_scorer) -> DataFrame:
     """M-16: score, keep the sweet spot (P-20), weakness boost (F-20: mean of
@@ -137,15 +148,8 @@ def prioritise(features: DataFrame, peer_strength: DataFrame, cfg: RecommendConf
     scored = success_scorer(features).filter(F.col("solve_score").between(cfg.sweet_lo, cfg.sweet_hi))
     pmap = strength_map(peer_strength, "target_key", "peer_strength", "pmap")
     s = scored.join(pmap, "target_key", "left")
-    contrast = F.transform(
-        F.col("tags"),
-        lambda t: (F.lit(1.0) - F.coalesce(F.element_at("smap", t), F.lit(0.0)))
-        * F.coalesce(F.element_at("pmap", t), F.lit(0.0)),
-    )
-    n = F.size("tags")
-    boost = F.when(n > 0, F.aggregate(contrast, F.lit(0.0), lambda a, x: a + x) / n).otherwise(F.lit(0.0))
     s = (
-        s.withColumn("weakness_boost", boost)
+        s.withColumn("weakness_boost", _weakness_boost())
         .withColumn("difficulty_match", fx.difficulty_match(F.col("solve_score")))
         .withColumn("final_score", F.lit(cfg.alpha) * F.col("difficulty_match") + F.lit(cfg.beta) * F.col("weakness_boost"))
     )
@@ -159,12 +163,32 @@ def prioritise(features: DataFrame, peer_strength: DataFrame, cfg: RecommendConf
         "difficulty_label", F.when(est.isNotNull(), fx.difficulty_label(est))).drop("attempts_raw")
 
 
+def prioritise_variant(features: DataFrame, peer_median: DataFrame, keep: int = 50, cfg: RecommendConfig = RecommendConfig(),
+                       success_scorer=SC.sql_success_scorer, attempts_scorer=SC.sql_attempts_scorer) -> DataFrame:
+    """M-16 / L-2 / F-19 / F-21 of the self-contained variant: items without tags are left out, the peers' side of the boost is the
+    median strength of the peers that have the tag (``peer_median``: target_key, tag, peer_strength; 0 when none has it),
+    the match is score + 0.2, scores are rounded to 3 decimals before they are ordered, and ``keep`` items stay a target,
+    each with an attempts estimate (2 decimals), its label (of the estimate before rounding) and the tags' long names."""
+    scored = success_scorer(features.filter(F.size("tags") > 0)).filter(F.col("solve_score").between(cfg.sweet_lo, cfg.sweet_hi))
+    s = scored.join(strength_map(peer_median, "target_key", "peer_strength", "pmap"), "target_key", "left")
+    boost, match = _weakness_boost(), fx.difficulty_match_variant(F.col("solve_score"))
+    s = attempts_scorer(s).select(
+        "target_key", "item", "item_rating", F.transform("tags", fx.long_tag_label).alias("tag_labels"),
+        fx.at_sink(F.col("solve_score"), 3).alias("solve_score"), fx.at_sink(match, 3).alias("difficulty_match"),
+        fx.at_sink(boost, 3).alias("weakness_boost"), fx.at_sink(F.lit(cfg.alpha) * match + F.lit(cfg.beta) * boost, 3).alias("final_score"),
+        fx.at_sink(F.col("attempts_raw"), 2).alias("estimated_attempts"), fx.difficulty_label(F.round("attempts_raw", 9)).alias("difficulty_label"))
+    order = Window.partitionBy("target_key").orderBy(F.col("weakness_boost").desc(), F.col("final_score").desc(), "item")
+    return s.withColumn("rec_rank", F.row_number().over(order)).filter(F.col("rec_rank") <= keep)
+
+
 # M-17 / J-12 / A-37 / F-24 / F-25 / L-5 -----------------------------------------------
 
 def counterfactual_impact(features: DataFrame, ctx: DataFrame, cfg: RecommendConfig = RecommendConfig(),
-                          success_scorer=SC.sql_success_scorer) -> DataFrame:
+                          success_scorer=SC.sql_success_scorer, signed: bool = False) -> DataFrame:
     """M-17: for each target and tag, how many more pool items fall in the
     sweet spot when that tag's strength is raised by 0.2 (capped at 1).
+    ``signed`` gives the variant: losses stay negative, the gain is five
+    points an item, labels are long and the strength has 3 decimals.
     ``success_scorer`` is any ``score(df) -> df`` over the feature frame that
     adds ``solve_score``, a formula or a fitted model.
 
@@ -191,12 +215,18 @@ def counterfactual_impact(features: DataFrame, ctx: DataFrame, cfg: RecommendCon
     out = grid.join(deltas, ["target_key", "tag"], "left").select(
         "target_key", "tag", "ord",
         F.coalesce(F.element_at("smap", F.col("tag")), F.lit(0.0)).alias("strength"),
-        F.greatest(F.coalesce("raw_delta", F.lit(0)), F.lit(0)).cast("int").alias("delta_problems"),
+        (F.coalesce("raw_delta", F.lit(0)) if signed else F.greatest(F.coalesce("raw_delta", F.lit(0)), F.lit(0))).cast("int").alias("delta_problems"),
     )
-    out = out.withColumn(
-        "estimated_rating_gain",
-        F.round(F.col("delta_problems") / F.lit(float(PROBLEMS_PER_50_RATING)) * 50).cast("int"),
-    ).withColumn("label", fx.tag_label(F.col("tag")))
+    per_item = F.lit(50.0 / PROBLEMS_PER_50_RATING)
+    out = out.withColumn("estimated_rating_gain", F.round(F.col("delta_problems") * per_item).cast("int")).withColumn(
+        "label", fx.long_tag_label(F.col("tag")) if signed else fx.tag_label(F.col("tag")))
+    if signed:
+        out = out.withColumn("strength", fx.at_sink(F.col("strength"), 3))
     w = Window.partitionBy("target_key").orderBy(F.col("delta_problems").desc(), F.col("estimated_rating_gain").desc(),
                                                  "ord")
     return out.withColumn("impact_rank", F.row_number().over(w)).drop("ord")
+
+
+def top_impacts(impact: DataFrame, n: int = 8) -> DataFrame:
+    """L-5, the shown part: the first ``n`` tags of a target whose raise gains items (fewer where fewer do)."""
+    return impact.filter((F.col("delta_problems") > 0) & (F.col("impact_rank") <= n))

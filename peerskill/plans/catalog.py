@@ -58,7 +58,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all():
     # importing the modules registers their queries
-    from . import registry_core, registry_embed, registry_io, registry_eval, registry_extra, registry_models, registry_ordered, registry_peers, registry_reports, registry_stream  # noqa: F401
+    from . import registry_core, registry_embed, registry_io, registry_eval, registry_extra, registry_models, registry_ordered, registry_peers, registry_records, registry_reports, registry_stream  # noqa: F401
 
 
 def rounded_select(cols: list[str], dbl: list[str]) -> str:
