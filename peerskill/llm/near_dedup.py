@@ -19,8 +19,8 @@ from .text import Words, chunks, mix, window_hashes
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 80
-#: Coordinates of a sketch, trees, classes of a node that are compared exhaustively, levels of a tree before large nodes are judged.
-SKETCH, TREES, LEAF, LEVELS = 64, 16, 128, 3
+#: Coordinates of a sketch, trees, classes of a node that are compared exhaustively, first level of a tree whose large nodes are judged.
+SKETCH, TREES, LEAF, LEVELS = 64, 16, 128, 1
 #: Levels after which what is not alike in a large node is compared with the whole node, in blocks of so many classes.
 DEPTH, BLOCK = 10, 1024
 #: Share of equal coordinates from which a pair is a candidate: five standard deviations below 0.8.
