@@ -45,6 +45,18 @@ def test_few_blocks_are_met_on_clustered_vectors(spark):
     assert met < 0.5 * 300 * len(index.rows), met / (300 * len(index.rows))
 
 
+def test_candidates_grow_with_units_not_with_blocks(spark):
+    rng = np.random.default_rng(6)
+    pop, t = rng.normal(size=(1500, 12)), rng.normal(size=(40, 12))  # nothing to prune: most blocks are met
+    cfg = KnnConfig(k=20, block_rows=32)
+    index = P.build_index(frame(spark, np.arange(1500), pop), cfg)
+    assert len(index.rows) >= 40 and index.rows.sum() == 1500
+    units = len(set(index.unit.tolist()))
+    assert units < len(index.rows) / 2 and np.bincount(index.unit, index.rows).max() <= index.unit_rows
+    rows = P.pivot_candidates(frame(spark, 10_000 + np.arange(40), t), index, cfg)
+    assert rows.count() <= 40 * units * 20  # one k per block before: about 40 * 47 * 20
+
+
 def test_groups_small_and_empty_populations(spark):
     ids = np.arange(12)
     m = np.random.default_rng(0).normal(size=(12, 3))
