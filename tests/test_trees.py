@@ -47,6 +47,32 @@ def test_early_stopping_waits(frame):
     assert M.fit_boosted(every, ["a", "b"], "y", params, iters=7, patience=5).stages[-1].getNumTrees == 7
 
 
+def test_best_round_needs_no_further_fit(spark, frame, monkeypatch):
+    fitted = []
+    original = M._gbt
+    monkeypatch.setattr(M, "_gbt", lambda label, params, iters: fitted.append(iters) or original(label, params, iters))
+    params = dict(step_size=0.1, max_depth=3, min_instances=5, subsample=0.8, max_iter=60)
+    noise = frame.withColumn("y", F.round(F.xxhash64("user_key") % 1000 / 1000.0, 3)).cache()
+    cut = M.fit_boosted(noise, ["a", "b", "c", "d"], "y", params, patience=5)
+    best = cut.stages[-1].getNumTrees
+    assert best < fitted[-1] <= 20  # one more fit, of the best number, before
+    fit = cut.stages[0].transform(noise).filter("not is_valid").coalesce(1)
+    again = original("y", params, best).fit(fit)
+    assert cut.stages[-1].toDebugString.split("\n", 1)[1] == again.toDebugString.split("\n", 1)[1]
+    assert cut.stages[-1].getMaxIter() == best and np.allclose(cut.stages[-1].featureImportances.toArray(), again.featureImportances.toArray())
+    assert T.saved(cut, "cut").nodes.select("tree").distinct().count() == best
+
+
+def test_rounds_to_fit_next():
+    falls = [1.0 / (i + 1) for i in range(300)]
+    assert M.stopping_round(falls[:51], 50) == (51, 204)  # still falling
+    flat = falls[:13] + [1.0] * 38
+    assert M.stopping_round(flat, 50) == (13, 63)  # 204 before; 63 rounds end the wait
+    assert M.stopping_round(flat + [1.0] * 12, 50) == (13, 0)
+    assert M.stopping_round(flat + [1.0] * 12 + [0.0], 50) == (13, 0)  # it has stopped by then
+    assert M.stopping_round(flat + [0.01], 50) == (52, 208)
+
+
 def test_metrics_of_a_trained_model_equal_numpy(frame):
     fit, test = frame.filter("user_key % 5 > 0"), frame.filter("user_key % 5 = 0")
     params = dict(step_size=0.1, max_depth=3, min_instances=5, subsample=1.0, max_iter=20)
