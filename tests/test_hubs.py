@@ -60,3 +60,16 @@ def test_empty_and_null_keys(spark):
     right = spark.createDataFrame([(None, "a"), (5, "b")], "peer_key long, item string")
     assert [tuple(r) for r in salted_join(left, right, "peer_key", "target_key", "item").select("target_key", "item").collect()] == [(2, "b")]
     assert salted_join(left.limit(0), right, "peer_key", "target_key", "item").count() == 0
+
+
+def test_pool_is_shuffled_once_by_target(spark):
+    peers = spark.createDataFrame([(1, 2, 100.0), (1, 3, 50.0), (2, 1, 100.0)], "target_key long, peer_key long, similarity double")
+    pairs = spark.createDataFrame([(1, "a", 1, 900), (2, "a", 1, 900), (2, "b", 1, 900), (3, "b", 1, 900), (3, "c", 1, 0), (3, "d", 1, 900), (3, "e", 0, 900),
+                                   (3, None, 1, 900)], "user_key long, item string, ever_ac int, item_rating int")
+    items = spark.createDataFrame([("a", 900, ["x"]), ("b", 900, []), ("c", 0, []), ("e", 900, [])], "item string, item_rating int, tags array<string>")
+    pool = R.collaborative_candidates(peers, pairs, items, limit=5)
+    assert [tuple(r) for r in pool.orderBy("target_key").select("target_key", "item", "collab_score", "pool_rank", "item_rating", "tags").collect()] == [
+        (1, "b", 1.5, 1, 900, [])]  # a is solved by both, c has no rating, d no metadata, e is not solved
+    plan = pool._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning(target_key" in x]
+    assert len(shuffles) == 1 and "target_key" in shuffles[0] and "item" not in shuffles[0].split("ENSURE")[0].split("REPARTITION")[0]
