@@ -122,3 +122,24 @@ def test_distance_columns_equal_the_kernels(spark):
     for metric in METRICS:
         got = [r.d for r in df.select("i", distance_col(F.col("a"), F.col("b"), metric).alias("d")).orderBy("i").collect()]
         assert np.allclose(got, exact_rows(a, b, metric))
+
+
+def test_blocks_become_wider_with_the_population(spark):
+    assert K.n_blocks(spark, 610_000, 8192) == 19  # 75 before: so many times each vector was shuffled, with k candidates each time
+    assert K.n_blocks(spark, 8 * 610_000, 8192) == 149
+    assert K.n_blocks(spark, 30, 8192) == 3 and K.n_blocks(spark, 0, 8192) == 1
+
+
+def test_temporary_arrays_do_not_grow_with_the_block():
+    import tracemalloc
+
+    from peerskill.functions.distance import topk_block
+
+    peaks = []
+    for n in (2_000, 16_000):
+        p, ids = np.random.default_rng(1).normal(size=(n, 10)), np.arange(n)
+        tracemalloc.start()
+        topk_block(p[:500], ids[:500], ids[:500], p, ids, ids, 5)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 3 * peaks[0], peaks  # 8 x before
