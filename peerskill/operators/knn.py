@@ -22,7 +22,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,29 +96,31 @@ def _n_blocks(vectors: DataFrame, block_rows: int) -> int:
     return n_blocks(vectors.sparkSession, vectors.count(), block_rows)  # one scalar; sizes the block grid
 
 
+def vector_matrix(col: pa.ChunkedArray) -> np.ndarray:
+    """The rows of a list column as one float64 matrix, filled chunk by chunk (no object per row)."""
+    sizes = {n for c in col.chunks for n in pc.unique(pc.list_value_length(c)).to_pylist()}
+    if len(sizes) != 1 or None in sizes:
+        raise ValueError(f"vectors must have one length and must not be null: {sorted(map(str, sizes))}")
+    out, at = np.empty((len(col), sizes.pop())), 0
+    for c in col.chunks:
+        out[at:at + len(c)] = c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), out.shape[1])
+        at += len(c)
+    return out
+
+
 def _pair_topk(k: int, metric: str):
     """Kernel of the symmetric block-pair search: the group holds block i and
     block j (i <= j; one copy when i == j); emits the k best of block i among
     block j and, when i != j, of block j among block i."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["pi"].iloc[0]), int(pdf["pj"].iloc[0])
-        blk = pdf["blk"].to_numpy()
-        parts = []
-        a, b = pdf[blk == bi], pdf[blk == bj]
-        sides = [(a, b)] if bi == bj else [(a, b), (b, a)]
-        for t, p in sides:
-            if t.empty or p.empty:
-                continue
-            r = topk_block(
-                np.vstack(t["vec"].to_numpy()).astype(np.float64), t["user_key"].to_numpy(np.int64),
-                t["grp"].to_numpy(np.int64),
-                np.vstack(p["vec"].to_numpy()).astype(np.float64), p["user_key"].to_numpy(np.int64),
-                p["grp"].to_numpy(np.int64), k, metric)
-            parts.append(pd.DataFrame({"target_key": r[0], "peer_key": r[1], "distance": r[2], "block_max": r[3]}))
-        if not parts:
-            return pd.DataFrame({"target_key": pd.Series([], dtype="int64"), "peer_key": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64"), "block_max": pd.Series([], dtype="float64")})
-        return pd.concat(parts, ignore_index=True)
+    def fn(rows: pa.Table) -> pa.Table:
+        bi, bj = rows["pi"][0].as_py(), rows["pj"][0].as_py()
+        blk, key, grp = (rows[c].to_numpy() for c in ("blk", "user_key", "grp"))
+        vec = vector_matrix(rows["vec"])
+        a, b = ((vec[of], key[of], grp[of]) for of in (blk == bi, blk == bj))
+        del vec
+        found = [topk_block(*t, *p, k, metric) for t, p in ([(a, b)] if bi == bj else [(a, b), (b, a)]) if len(t[1]) and len(p[1])]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        return pa.table(dict(zip(("target_key", "peer_key", "distance", "block_max"), map(np.concatenate, zip(none, *found)))))
 
     return fn
 
@@ -137,7 +140,7 @@ def self_knn_candidates(vectors: DataFrame, cfg: KnnConfig = KnnConfig(), n_bloc
     pairs = F.transform(F.sequence(F.lit(0), F.lit(b - 1)),
                         lambda j: F.struct(F.least(F.col("blk"), j).alias("pi"), F.greatest(F.col("blk"), j).alias("pj")))
     rep = base.select("*", F.explode(pairs).alias("pr")).select("user_key", "vec", "grp", "blk", "pr.pi", "pr.pj")
-    return rep.groupBy("pi", "pj").applyInPandas(_pair_topk(cfg.k, cfg.metric), _CAND_SCHEMA)
+    return rep.groupBy("pi", "pj").applyInArrow(_pair_topk(cfg.k, cfg.metric), _CAND_SCHEMA)
 
 
 def nearest_peers(targets: DataFrame, population: DataFrame | None = None, cfg: KnnConfig = KnnConfig(),

@@ -143,3 +143,45 @@ def test_temporary_arrays_do_not_grow_with_the_block():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 3 * peaks[0], peaks  # 8 x before
+
+
+def test_kernel_is_one_pass_over_the_distances(monkeypatch):
+    """The k-th distance is bounded by sets of columns: no selection over whole rows, and the bound holds with few valid columns."""
+    from peerskill.functions import distance as D
+
+    rng = np.random.default_rng(5)
+    x = rng.random((40, 4000))
+    x[1, 60:] = np.inf
+    x[2] = np.nan
+    x[2, :200] = rng.random(200)
+    bound = D._kth_bound(x, 50)
+    for row, b in zip(x, bound):
+        assert b >= np.sort(row)[49] and (row <= b).sum() <= 200
+    widest, plain = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *args, **kw: widest.append(a.shape[1]) or plain(a, *args, **kw))
+    p, ids = rng.normal(size=(6000, 8)), np.arange(6000)
+    t, q, d, m = D.topk_block(p[:100], ids[:100], ids[:100] % 3, p, ids, ids % 3, 20)
+    assert max(widest) < 600  # 6000 before
+    for i in range(0, 100, 9):
+        ok = np.flatnonzero(ids % 3 != i % 3)
+        full = D.exact_rows(np.repeat(p[i:i + 1], len(ok), 0), p[ok], "euclidean")
+        assert list(q[t == i]) == list(ok[np.lexsort((ok, np.round(full, 9)))][:20]) and np.isclose(m[t == i][0], full.max())
+
+
+def test_blocks_come_as_one_matrix_without_an_object_a_row():
+    import tracemalloc
+
+    import pyarrow as pa
+    import pytest
+
+    n, dim = 4000, 82
+    flat = np.random.default_rng(2).random(n * dim)
+    col = pa.chunked_array([pa.ListArray.from_arrays(np.arange(0, n * dim // 2 + 1, dim, dtype=np.int32), flat[i * n * dim // 2:(i + 1) * n * dim // 2]) for i in (0, 1)])
+    tracemalloc.start()
+    got = K.vector_matrix(col.slice(5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == flat.reshape(n, dim)[5:]).all() and peak < 1.1 * got.nbytes + 100_000
+    for odd in ([[1.0], [1.0, 2.0]], [[1.0], None]):
+        with pytest.raises(ValueError):
+            K.vector_matrix(pa.chunked_array([odd]))
