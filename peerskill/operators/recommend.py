@@ -121,11 +121,10 @@ def user_context(user_tag: DataFrame, profiles: DataFrame, pairs: DataFrame) ->
 
 def candidate_features(pool: DataFrame, ctx: DataFrame) -> DataFrame:
     """M-1 style feature frame for every (target, candidate item)."""
-    j = pool.join(ctx, "target_key")
-    strengths = SC.strength_lookup(F.col("smap"), F.col("tags"))
+    j = pool.join(ctx, "target_key").withColumn("strengths", SC.strength_lookup(F.col("smap"), F.col("tags")))  # looked up once a row
     return j.select(
         "target_key", "item", "item_rating", "tags", "collab_score", "smap",
-        *SC.feature_columns(F.col("tags"), F.col("item_rating"), F.col("user_rating"), F.col("num_solved"), strengths),
+        *SC.feature_columns(F.col("tags"), F.col("item_rating"), F.col("user_rating"), F.col("num_solved"), F.col("strengths")),
     )
 
 
@@ -199,27 +198,29 @@ def counterfactual_impact(features: DataFrame, ctx: DataFrame, cfg: RecommendCon
     Raising tag t only changes items that carry t, so instead of crossing the
     pool with 21 scenarios the item rows are exploded over their own 3-4 tags
     (a generator, no join), their features are built anew and scored, and the
-    change in the sweet-spot indicator is summed per (target, tag)."""
+    change in the sweet-spot indicator is summed per (target, tag), then put
+    into one map per target.  The frame is read once: an item without tags
+    stays as a row without tag, so a target with any item has its table."""
     in_sweet = F.col("solve_score").between(cfg.sweet_lo, cfg.sweet_hi).cast("int")
     base = success_scorer(features).withColumn("base_in", in_sweet)
-    raised = F.transform(
-        F.col("tags"),
-        lambda t: F.when(t == F.col("tag"), F.least(F.lit(1.0), F.coalesce(F.element_at("smap", t), F.lit(0.0)) + CF_BOOST))
-        .otherwise(F.coalesce(F.element_at("smap", t), F.lit(0.0))),
-    )
-    own_tags = base.select("target_key", "item_rating", "tags", "smap", "cf_rating", "num_solved", "base_in",
-                           F.explode("tags").alias("tag"))
+    own_tags = base.select("target_key", "item_rating", "tags", "cf_rating", "num_solved", "base_in",
+                           SC.strength_lookup(F.col("smap"), F.col("tags")).alias("strengths"), F.explode_outer("tags").alias("tag"))
+    # strengths are looked up once an item; a column of its own is not computed again for each feature that is made of it
+    own_tags = own_tags.withColumn("raised", F.transform(
+        "strengths", lambda s, i: F.when(F.get("tags", i) == F.col("tag"), F.least(F.lit(1.0), s + CF_BOOST)).otherwise(s)))
     per_tag = success_scorer(own_tags.select("target_key", "tag", "base_in", *SC.feature_columns(
-        F.col("tags"), F.col("item_rating"), F.col("cf_rating"), F.col("num_solved"), raised)))
+        F.col("tags"), F.col("item_rating"), F.col("cf_rating"), F.col("num_solved"), F.col("raised"))))
     change = in_sweet - F.col("base_in")
     deltas = per_tag.groupBy("target_key", "tag").agg(F.sum(change).alias("raw_delta"))
     # only targets with a non-empty pool get an impact table
-    targets = features.select("target_key").distinct().join(ctx.select("target_key", "smap"), "target_key")
-    grid = targets.select("target_key", "smap", F.posexplode(F.array(*[F.lit(t) for t in TAGS])).alias("ord", "tag"))
-    out = grid.join(deltas, ["target_key", "tag"], "left").select(
+    changed = F.when(F.col("tag").isNotNull(), F.struct("tag", "raw_delta"))
+    targets = deltas.groupBy("target_key").agg(F.map_from_entries(F.collect_list(changed)).alias("deltas")).join(ctx.select("target_key", "smap"), "target_key")
+    grid = targets.select("target_key", "smap", "deltas", F.posexplode(F.array(*[F.lit(t) for t in TAGS])).alias("ord", "tag"))
+    delta = F.coalesce(F.element_at("deltas", F.col("tag")), F.lit(0))
+    out = grid.select(
         "target_key", "tag", "ord",
         F.coalesce(F.element_at("smap", F.col("tag")), F.lit(0.0)).alias("strength"),
-        (F.coalesce("raw_delta", F.lit(0)) if signed else F.greatest(F.coalesce("raw_delta", F.lit(0)), F.lit(0))).cast("int").alias("delta_problems"),
+        (delta if signed else F.greatest(delta, F.lit(0))).cast("int").alias("delta_problems"),
     )
     per_item = F.lit(50.0 / PROBLEMS_PER_50_RATING)
     out = out.withColumn("estimated_rating_gain", F.round(F.col("delta_problems") * per_item).cast("int")).withColumn(

@@ -75,7 +75,7 @@ _VARIANT = f"""med AS (SELECT p.target_key, u.tag, median(u.tag_strength) AS m F
 
 def _features_300(inp):
     pool = R.collaborative_candidates_rr(inp.peers(), inp.pairs_table(), inp.items_table())
-    return materialize(inp.spark, R.candidate_features(pool, inp.context()), "features_300")
+    return R.candidate_features(pool, inp.context())
 
 
 @register("recommendations_variant", Q.with_(*_BASE, _POOL_300, _VARIANT) + f""" SELECT v.target_key, v.item, v.item_rating, solve_score, difficulty_match, weakness_boost,

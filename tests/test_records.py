@@ -97,6 +97,20 @@ def test_signed_impact_keeps_losses(spark):
     assert by[True]["dp"] == (-1, -5) and by[False]["dp"] == (0, 0) and len(by[True]) == 20  # 0.8 goes to 1.0 and leaves the sweet spot
 
 
+def test_impact_reads_the_pool_once(spark):
+    """An item without tags still gives its target a table, a tag named twice counts twice, and the feature frame is planned once."""
+    rows = [(1, "a", 1000, ["dp", "dp"], {"dp": 0.0}, 1200, 0), (2, "b", 1000, [], {"dp": 0.3}, 1200, 0), (3, "c", 1000, None, {}, 1200, 0), (None, "d", 1000, ["dp"], {}, 1200, 0)]
+    feats = spark.createDataFrame(rows, "target_key long, item string, item_rating int, tags array<string>, smap map<string,double>, cf_rating int, num_solved int")
+    feats = feats.select(*feats.columns, F.lit(1100.0).alias("rating_diff"), F.lit(0.0).alias("mean_tag_strength"))  # -1.0: outside the sweet spot
+    ctx = spark.createDataFrame([(1, {"dp": 0.0}), (2, {"dp": 0.3}), (3, {}), (4, {})], "target_key long, smap map<string,double>")
+    out = R.counterfactual_impact(feats.repartition(2, "item"), ctx)
+    got = {(r["target_key"], r["tag"]): (r["delta_problems"], r["strength"], r["impact_rank"]) for r in out.collect()}
+    assert {k for k, _ in got} == {1, 2, 3} and len(got) == 60
+    assert got[1, "dp"] == (2, 0.0, 1) and all(v[0] == 0 for k, v in got.items() if k != (1, "dp")) and got[2, "dp"][1] == 0.3
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1, plan
+
+
 def test_finished_window_and_padded_lists(spark):
     contests = spark.createDataFrame([(1, "FINISHED", 100, 50), (2, "FINISHED", 100, 49), (3, "CODING", 500, 50), (4, "FINISHED", None, 150), (5, "FINISHED", 150, None), (6, None, 500, 1)],
                                      "contest long, phase string, start_second long, duration_seconds long")
