@@ -28,7 +28,7 @@ def raw_records_flatten(inp):
     dropped) and completed from the item catalogue."""
     a = td.att_scale(inp.spark, inp.sf_dir).join(inp.items().select("item", "tags"), "item")
     path = scratch_path(inp.spark, "raw_records")
-    IO.attempts_to_raw_records(a).write.json(path)
+    IO.write_raw_records(a, path)
     flat = IO.flatten_raw_records(inp.spark.read.schema(IO.RAW_RECORD_SCHEMA).json(path))
     # J-14: the catalogue (item dimension, keyed like the records) wins over embedded fields
     cat = inp.items().filter(F.col("item_rating") > 0).select(
