@@ -96,6 +96,10 @@ def _n_blocks(vectors: DataFrame, block_rows: int) -> int:
     return n_blocks(vectors.sparkSession, vectors.count(), block_rows)  # one scalar; sizes the block grid
 
 
+#: Stands for a null key in the kernel and in its results.
+_NO_KEY = np.iinfo(np.int64).min
+
+
 def vector_matrix(col: pa.ChunkedArray) -> np.ndarray:
     """The rows of a list column as one float64 matrix, filled chunk by chunk (no object per row)."""
     sizes = {n for c in col.chunks for n in pc.unique(pc.list_value_length(c)).to_pylist()}
@@ -114,7 +118,7 @@ def _pair_topk(k: int, metric: str):
     block j and, when i != j, of block j among block i."""
     def fn(rows: pa.Table) -> pa.Table:
         bi, bj = rows["pi"][0].as_py(), rows["pj"][0].as_py()
-        blk, key, grp = (rows[c].to_numpy() for c in ("blk", "user_key", "grp"))
+        blk, key, grp = (rows[c].fill_null(_NO_KEY).to_numpy() if c != "blk" else rows[c].to_numpy() for c in ("blk", "user_key", "grp"))
         vec = vector_matrix(rows["vec"])
         a, b = ((vec[of], key[of], grp[of]) for of in (blk == bi, blk == bj))
         del vec

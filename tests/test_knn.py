@@ -185,3 +185,11 @@ def test_blocks_come_as_one_matrix_without_an_object_a_row():
     for odd in ([[1.0], [1.0, 2.0]], [[1.0], None]):
         with pytest.raises(ValueError):
             K.vector_matrix(pa.chunked_array([odd]))
+
+
+def test_a_user_without_key_is_searched_and_keeps_long_keys_whole(spark):
+    big = (1 << 60) + 1
+    vec = spark.createDataFrame([(None, [0.0]), (big, [1.0]), (3, [3.0])], "user_key long, vec array<double>")
+    got = {(r["target_key"], r["peer_key"]) for r in K.nearest_peers(vec, cfg=KnnConfig(k=1), n_blocks=1).collect()}
+    none = -(1 << 63)
+    assert got == {(none, big), (big, none), (3, big)}
