@@ -75,11 +75,21 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sketch array<int>")
 
 
-def _nodes(keyed: DataFrame, name: str) -> DataFrame:
-    """(key, coord, id, n): the members of the nodes with two classes or more, and how many there are."""
+def _nodes(keyed: DataFrame, name: str, labelled: bool = True) -> DataFrame:
+    """(key, coord, id, label, n, others, alike): the members of the nodes with two labels or more, how many there are, and how many do not
+    have the node's most frequent label (alike: has it).  Members with one label were alike to one pivot before, so their pairs are
+    covered.  Not ``labelled``: each member has a label of its own."""
     keyed = written(keyed, name)
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), name + "_sizes")
-    return written(keyed.join(sizes, "key"), name + "_sized")
+    if labelled:
+        sizes = keyed.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+        sizes = sizes.agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("top"))
+        sizes = sizes.where("n > most").select("key", "n", (F.col("n") - F.col("most")).alias("others"), "top")
+        alike = F.col("label") == F.col("top")
+    else:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("others", F.col("n"))
+        alike = F.lit(False)
+    sized = keyed.join(written(sizes, name + "_sizes"), "key")
+    return written(sized.select("key", "coord", "id", "label", "n", "others", alike.alias("alike")), name + "_sized")
 
 
 def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -89,8 +99,9 @@ def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def _judged(big: DataFrame, classes: DataFrame, percent: int, name: str) -> DataFrame:
-    """Adds pivot (one class of the node) and alike (a candidate with it) to the members of large nodes, and others: how many are not."""
-    own = classes.select("id", "sketch", F.col("n_shingles").alias("size"))
+    """(key, coord, id, label, n, pivot, alike, others): of large nodes one class as pivot, whether each member is a candidate with it, and how
+    many are not."""
+    own, big = classes.select("id", "sketch", F.col("n_shingles").alias("size")), big.drop("others", "alike")
     pivots = big.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("pivot"))
     pivots = pivots.join(own.select(F.col("id").alias("pivot"), F.col("sketch").alias("p_sketch"), F.col("size").alias("p_size")), "pivot")
 
@@ -100,16 +111,16 @@ def _judged(big: DataFrame, classes: DataFrame, percent: int, name: str) -> Data
                 continue
             x, y = b.column("size").to_numpy(), b.column("p_size").to_numpy()
             alike = (_same(b.column("sketch"), b.column("p_sketch")) >= CANDIDATE) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "coord", "id", "n", "pivot")), pa.array(alike)], names=["key", "coord", "id", "n", "pivot", "alike"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "coord", "id", "label", "n", "pivot")), pa.array(alike)], names=["key", "coord", "id", "label", "n", "pivot", "alike"])
 
-    both = big.join(own, "id").join(pivots, "key").select("key", "coord", "id", "n", "sketch", "size", "pivot", "p_sketch", "p_size")
-    judged = written(both.mapInArrow(run, "key long, coord int, id long, n long, pivot long, alike boolean"), name)
+    both = big.join(own, "id").join(pivots, "key").select("key", "coord", "id", "label", "n", "sketch", "size", "pivot", "p_sketch", "p_size")
+    judged = written(both.mapInArrow(run, "key long, coord int, id long, label long, n long, pivot long, alike boolean"), name)
     others = judged.where("not alike").groupBy("key").agg(F.count("*").alias("others"))
     return written(judged.join(others, "key", "left").fillna(0, ["others"]), name + "_others")
 
 
 def _blocks(judged: DataFrame) -> DataFrame:
-    """(key, id, asked): each member that is not alike to the pivot meets every block of its node."""
+    """(key, id, asked): each member that is not alike meets every block of its node."""
     blocks, parts = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("others") / BLOCK)
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
     own = judged.where("others > 0").select("key", "id", "alike", blocks.alias("blocks"), parts.alias("parts"))
@@ -123,11 +134,14 @@ def _leaves(classes: DataFrame, trees: int, leaf: int, levels: int, percent: int
     links (u, v) to the pivots of large nodes."""
     roots = [(t, 4 * t % SKETCH) for t in range(trees)] + [(t, (4 * t + 2) % SKETCH) for t in range(0, trees, 4)]
     at = F.array(*(F.struct(F.xxhash64(F.lit(t), F.lit(c), F.col("sketch")[c]).alias("key"), F.lit(c).alias("coord")) for t, c in roots))
-    now = _nodes(classes.select("id", F.explode(at).alias("x")).select("x.key", "x.coord", "id"), "paths_1")
-    small = lambda now: now.where(F.col("n") <= leaf).select("key", "id", F.lit(True).alias("asked"))
+    now = _nodes(classes.select("id", F.explode(at).alias("x")).select("x.key", "x.coord", "id", F.col("id").alias("label")), "paths_1", labelled=False)
+    small = lambda now: now.where(F.col("n") <= leaf).select("key", "id", (~F.col("alike")).alias("asked"))
     out, links = small(now), None
     for level in range(1, DEPTH + 1):
-        big = now.where(F.col("n") > leaf)
+        # where all but a few have one label, these few meet the whole node
+        few = (F.col("n") > leaf) & (F.col("others") <= leaf)
+        out = out.unionByName(_blocks(now.where(few)))
+        big = now.where((F.col("n") > leaf) & ~few)
         if big.isEmpty():
             return out, links
         if level >= levels:
@@ -137,7 +151,7 @@ def _leaves(classes: DataFrame, trees: int, leaf: int, levels: int, percent: int
             links = stars if links is None else links.unionByName(stars)
             done = F.col("others") <= (leaf if level < DEPTH else F.col("n"))
             out = out.unionByName(_blocks(big.where(done)))
-            big = big.where(~done)
+            big = big.where(~done).withColumn("label", F.when(F.col("alike"), F.col("pivot")).otherwise(F.col("label")))
             if level == DEPTH or big.isEmpty():
                 return out, links
         # children by one coordinate, for a quarter of the nodes by two: 1 / 0.8 on average
@@ -145,9 +159,9 @@ def _leaves(classes: DataFrame, trees: int, leaf: int, levels: int, percent: int
         first = F.pmod(F.col("coord") + 1 + step, F.lit(SKETCH)).cast("int")
         second = F.when(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(4)) == 0, F.pmod(F.col("coord") + 1 + F.pmod(step + 1 + F.pmod(F.xxhash64("key", F.lit(2)), F.lit(SKETCH - 2)), F.lit(SKETCH - 1)), F.lit(SKETCH)).cast("int"))
         child = (
-            big.select("key", "id", F.explode(F.filter(F.array(first, second), lambda c: c.isNotNull())).alias("coord"))
+            big.select("key", "id", "label", F.explode(F.filter(F.array(first, second), lambda c: c.isNotNull())).alias("coord"))
             .join(classes.select("id", "sketch"), "id")
-            .select(F.xxhash64("key", "coord", F.element_at("sketch", F.col("coord") + 1)).alias("key"), "coord", "id")
+            .select(F.xxhash64("key", "coord", F.element_at("sketch", F.col("coord") + 1)).alias("key"), "coord", "id", "label")
         )
         now = _nodes(child, f"paths_{level + 1}")
         out = out.unionByName(small(now))
@@ -341,7 +355,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
 
     A pair with similarity 0.8 misses the candidates only if all ``trees`` separate it or its sketches differ by five standard
     deviations; no node, group or partner count is capped.  From level ``levels`` on a large node is done when all but ``leaf`` of its
-    classes are alike to one of them: these few are compared with the whole node.  After DEPTH levels all that are not alike are."""
+    classes are alike to one of them: these few are compared with the whole node.  After DEPTH levels all that are not alike are.  Classes
+    alike to one pivot are in one group, so below their node they are not compared with each other again."""
     small_batches(docs.sparkSession, 512)
     own = texts(docs)
     base = written(_sketched(own, k), "near_base")

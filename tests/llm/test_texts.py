@@ -167,3 +167,35 @@ def test_near_duplicates_among_frequent_lines(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_duplicates(df, trees=2, leaf=16, levels=1).collect()}
     assert sum(got[d] == d - d % 2 for d in got) >= 0.99 * len(got)
+
+
+def test_near_duplicates_that_met_at_a_pivot_do_not_branch_again(spark, monkeypatch):
+    """Below the first level only nodes are judged in which more than a few classes did not meet at one pivot before."""
+    from pyspark.sql import functions as F
+
+    from peerskill.llm import near_dedup as N
+
+    rng = random.Random(11)
+    base, line = [f"b{i}" for i in range(150)], [f"c{i}" for i in range(12)]
+    docs = []
+    for i in range(120):  # near copies, and texts that share a line only
+        w = list(base)
+        w[rng.randrange(1, 149)] = f"n{i}"
+        docs.append((i, " ".join(line + w)))
+        docs.append((1000 + i, " ".join(line + [f"o{i}x{j}" for j in range(20)])))
+    judged, seen = N._judged, []
+
+    def watch(big, classes, percent, name):
+        if name != "judged_1":
+            own = big.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"))
+            seen.extend((r.n, r.most) for r in own.collect())
+        return judged(big, classes, percent, name)
+
+    monkeypatch.setattr(N, "_judged", watch)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), leaf=4, levels=1).collect()}
+    assert all(n - most > 4 for n, most in seen)
+    assert got == {d: 0 if d < 1000 else d for d, _ in docs}
+    # a node of one label is done, in another the ones that differ are asked
+    rows = [(1, 0, 1, 7), (1, 0, 2, 7), (2, 0, 1, 7), (2, 0, 2, 7), (2, 0, 3, 3)]
+    nodes = N._nodes(spark.createDataFrame(rows, "key long, coord int, id long, label long"), "test_nodes").collect()
+    assert sorted((r.key, r.id, r.n, r.others, r.alike) for r in nodes) == [(2, 1, 3, 1, True), (2, 2, 3, 1, True), (2, 3, 3, 1, False)]
