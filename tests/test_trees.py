@@ -78,12 +78,14 @@ def test_a_falling_error_is_fitted_twice_at_most(frame, monkeypatch):
     original = M._gbt
     monkeypatch.setattr(M, "_gbt", lambda label, params, iters: fitted.append(iters) or original(label, params, iters))
     monkeypatch.setattr(M, "ROUNDS_CAP", None)
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 500)
     params = dict(step_size=0.01, max_depth=3, min_instances=5, subsample=1.0, max_iter=40)  # slow steps: the error falls to the end
     model = M.fit_boosted(frame, ["a", "b", "c", "d"], "y", params, patience=5).stages[-1]
     assert fitted == [6, 40] and model.getNumTrees == 40  # 6, 24 and 40 before
-    fit = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(frame).filter("not is_valid").coalesce(1)
+    fit = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(frame).filter("not is_valid").coalesce(2)
     assert model.toDebugString.split("\n", 1)[1] == original("y", params, 40).fit(fit).toDebugString.split("\n", 1)[1]
-    assert M.next_rounds(51, 63, 500) == 63 and M.next_rounds(51, 101, 90) == 90
+    assert M.next_rounds(51, 63, 500, 9) == 63 and M.next_rounds(51, 101, 90, 9) == 90
+    assert M.next_rounds(51, 204, 500, 1) == 204  # few rows: their error turns sooner
 
 
 def test_metrics_of_a_trained_model_equal_numpy(frame):
